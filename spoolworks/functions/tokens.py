@@ -45,8 +45,8 @@ def attention_mask(ids: Column, length: Column | int) -> Column:
 
 
 def mask_prefix(labels: Column, prefix: Column) -> Column:
-    """First ``prefix`` entries ignored in the loss."""
-    return F.transform(labels, lambda x, i: F.when(i < prefix, F.lit(IGNORE_INDEX)).otherwise(x))
+    """First ``prefix`` entries ignored in the loss; ``prefix`` is at most the length."""
+    return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), prefix), F.slice(labels, prefix + 1, F.size(labels) - prefix))
 
 
 def mask_value(ids: Column, value: Column | int) -> Column:
@@ -57,7 +57,7 @@ def mask_value(ids: Column, value: Column | int) -> Column:
 
 def mask_tail(ids: Column, kept: Column) -> Column:
     """Only positions past the kept tokens ignored, so a real end-of-text keeps its label."""
-    return F.transform(ids, lambda x, i: F.when(i >= kept, F.lit(IGNORE_INDEX)).otherwise(x))
+    return F.concat(F.slice(ids, F.lit(1), kept), F.array_repeat(F.lit(IGNORE_INDEX), F.size(ids) - kept))
 
 
 def round_up(n: Column, multiple: int) -> Column:

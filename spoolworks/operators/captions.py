@@ -31,7 +31,7 @@ def first_caption(df: DataFrame, captions: str, out: str = "caption") -> DataFra
 
 
 def _listing(files: DataFrame, path: str) -> DataFrame:
-    return files.select(F.col(path).alias("__found")).distinct()
+    return files.select(F.col(path).alias("__found"))
 
 
 def semi_join_images(records: DataFrame, files: DataFrame, on: str = "image_path", file_path: str = "path") -> DataFrame:
@@ -48,7 +48,7 @@ def anti_join_missing(records: DataFrame, files: DataFrame, on: str = "image_pat
 
 def has_image_left_join(records: DataFrame, files: DataFrame, on: str = "image_path", file_path: str = "path") -> DataFrame:
     """All records, with ``has_image`` and the path only where the file exists."""
-    found = _listing(files, file_path)
+    found = _listing(files, file_path).distinct()
     return (
         records.join(found, F.col(on) == F.col("__found"), "left")
         .withColumn("has_image", F.col("__found").isNotNull())

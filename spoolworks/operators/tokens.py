@@ -61,11 +61,12 @@ def mask_prompt_labels(
     """
     ids = F.col("input_ids")
     length = F.size(prompt_ids) if prompt_ids else F.size(K.split_tokens(F.col(prompt)))
-    prompt_tokens = F.least(length, F.size(ids))
-    labels = K.mask_prefix(ids, prompt_tokens)
+    # a column of its own, so that the prompt is split once per row
+    counted = df.withColumn("__prompt", F.least(length, F.size(ids)))
+    labels = K.mask_prefix(ids, F.col("__prompt"))
     if mask_pad:
         labels = K.mask_value(labels, pad_id)
-    return df.withColumn("labels", labels)
+    return counted.withColumn("labels", labels).drop("__prompt")
 
 
 def mask_pad_labels(df: DataFrame, pad_id: int = PAD_TOKEN_ID, mask_only_tail: bool = False) -> DataFrame:
@@ -77,7 +78,8 @@ def mask_pad_labels(df: DataFrame, pad_id: int = PAD_TOKEN_ID, mask_only_tail: b
     ids = F.col("input_ids")
     if mask_only_tail:
         kept = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-        return df.withColumn("labels", K.mask_tail(ids, kept))
+        counted = df.withColumn("__kept", kept)
+        return counted.withColumn("labels", K.mask_tail(ids, F.col("__kept"))).drop("__kept")
     return df.withColumn("labels", K.mask_value(ids, pad_id))
 
 
@@ -119,4 +121,4 @@ def special_token_ids(df: DataFrame, text: str = "text") -> DataFrame:
 
 def joined(ids: Column) -> Column:
     """Array as one printable string."""
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    return F.array_join(ids.cast("array<string>"), " ")

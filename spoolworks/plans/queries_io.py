@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import round_half_up
 from ..operators import metrics as M
 from ..operators.ranking import split_exact
 from ..session import scratch_path
 from ..sinks import files as K
 from ..sources import files as S
 from .catalog import query
-from .queries_metrics import LONG, r
+from .queries_metrics import LONG, r, settled
 from .queries_sampling import V_RANKED, V_SPLIT
 from .standins import V_TRAIN_LOG
 
@@ -129,7 +128,7 @@ def _(t):
         F.to_json(F.struct(F.col("logged").alias("rows"))).alias("data_args"),
         F.to_json(F.struct(F.col("steps").alias("max_steps"))).alias("training_args"),
         F.create_map(
-            F.lit("train_loss"), round_half_up(F.col("train_loss"), 6), F.lit("steps"), F.col("steps").cast("double")
+            F.lit("train_loss"), settled(F.col("train_loss")), F.lit("steps"), F.col("steps").cast("double")
         ).alias("final_metrics"),
     )
     K.write_run_info(info, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,8 +17,17 @@ LONG = """v_long AS (
   UNION ALL SELECT run, step, 'learning_rate', learning_rate FROM v_train_log)"""
 
 
+# Means of short decimals often lie exactly on a rounding boundary, where the order of
+# summing would decide. Both engines round at a boundary moved off those values.
+NUDGE = 1e-3
+
+
 def r(x: str, places: int = 6) -> str:
-    return f"floor(({x}) * 1e{places} + 0.5) / 1e{places}"
+    return f"floor(({x}) * 1e{places} + {0.5 + NUDGE}) / 1e{places}"
+
+
+def settled(value: Column, places: int = 6) -> Column:
+    return round_half_up(value + NUDGE / 10**places, places)
 
 
 @query(
@@ -28,7 +38,7 @@ def r(x: str, places: int = 6) -> str:
 def _(t):
     rows = t.train_log.withColumn("predictions", F.array("loss", "learning_rate"))
     metric = M.metric_function("generation")(rows, "predictions", ["run"])
-    return metric.select("run", round_half_up(F.col("eval_loss"), 6).alias("eval_loss"), round_half_up(F.col("eval_perplexity"), 6).alias("eval_perplexity"))
+    return metric.select("run", settled(F.col("eval_loss")).alias("eval_loss"), settled(F.col("eval_perplexity")).alias("eval_perplexity"))
 
 
 @query(
@@ -38,7 +48,7 @@ def _(t):
     (V_TRAIN_LOG,),
 )
 def _(t):
-    return M.run_summary(t.train_log).withColumn("train_loss", round_half_up(F.col("train_loss"), 6))
+    return M.run_summary(t.train_log).withColumn("train_loss", settled(F.col("train_loss")))
 
 
 @query(
@@ -57,7 +67,7 @@ def _(t):
     rates = M.run_rates(summary, "runtime", F.lit(12))
     return rates.select(
         "run", "steps",
-        *[round_half_up(F.col(c), 6).alias(c) for c in ("train_samples_per_second", "train_steps_per_second")],
+        *[settled(F.col(c)).alias(c) for c in ("train_samples_per_second", "train_steps_per_second")],
     )
 
 
@@ -74,9 +84,9 @@ def _(t):
 def _(t):
     s = M.param_summary(t.params)
     return s.withColumns({
-        "total_size_gb": round_half_up(F.col("total_size_gb"), 9),
-        "trainable_size_gb": round_half_up(F.col("trainable_size_gb"), 9),
-        "trainable_percentage": round_half_up(F.col("trainable_percentage"), 6),
+        "total_size_gb": settled(F.col("total_size_gb"), 9),
+        "trainable_size_gb": settled(F.col("trainable_size_gb"), 9),
+        "trainable_percentage": settled(F.col("trainable_percentage")),
     })
 
 
@@ -175,7 +185,7 @@ def _(t):
     (V_PARAMS, V_MODULES),
 )
 def _(t):
-    return M.prefix_rollup(t.params, t.modules).withColumn("percent", round_half_up(F.col("percent"), 6))
+    return M.prefix_rollup(t.params, t.modules).withColumn("percent", settled(F.col("percent")))
 
 
 @query(
@@ -188,7 +198,7 @@ def _(t):
 )
 def _(t):
     rolled = M.prefix_rollup(t.params, t.modules, on_segment=True)
-    return rolled.withColumn("percent", round_half_up(F.col("percent"), 6))
+    return rolled.withColumn("percent", settled(F.col("percent")))
 
 
 @query(

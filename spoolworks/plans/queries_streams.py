@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import round_half_up
 from ..operators.registry import batch_hook
 from ..session import scratch_path
 from ..streaming import jobs as J
 from .catalog import query
-from .queries_metrics import r
+from .queries_metrics import r, settled
 from .standins import V_GPU, gpu_samples
 
 
@@ -33,7 +32,7 @@ def _(t):
     rows = t.spark.read.parquet(f"{out}/rows")
     return rows.select(
         F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "gpu",
-        round_half_up(F.col("mean_gb"), 6).alias("mean_gb"), "peak_gb", "samples",
+        settled(F.col("mean_gb")).alias("mean_gb"), "peak_gb", "samples",
     )
 
 
@@ -47,7 +46,7 @@ def _(t):
     rows = J.gpu_windows(t.gpu)
     return rows.select(
         F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "gpu",
-        round_half_up(F.col("mean_gb"), 6).alias("mean_gb"), "peak_gb", "samples",
+        settled(F.col("mean_gb")).alias("mean_gb"), "peak_gb", "samples",
     )
 
 
@@ -65,7 +64,7 @@ def _(t):
     out = scratch_path(t.spark, "means")
     J.run_running_means(log_stream(t), f"{out}/rows", f"{out}/checkpoint")
     latest = J.latest_means(t.spark, f"{out}/rows")
-    return latest.withColumn("mean_loss", round_half_up(F.col("mean_loss"), 6))
+    return latest.withColumn("mean_loss", settled(F.col("mean_loss")))
 
 
 @query(

@@ -13,7 +13,8 @@ from ..operators import registry as U
 from ..operators import steps as S
 from ..operators import tokens as K
 from ..operators.filters import quarantine_bad_rows, require_rows
-from ..operators.ranking import exact_rank, hash_segment, seeded_hash
+from ..operators.ranking import shuffle_rank
+from ..session import spread
 from .catalog import query
 from .standins import V_INSTRUCTION
 from .text_data import prepare_chat_tokens, prepare_instruction_tokens
@@ -201,7 +202,8 @@ def _(t):
     )
     system = F.array(m("system", F.col("input")))
     messages = F.when(F.col("input") != "", F.concat(system, chat)).otherwise(chat)
-    return t.instruction.select(*ID, H.render_chatml_tools(messages, TOOLS).alias("text"))
+    rows = t.instruction.select(*ID, messages.alias("messages"))
+    return rows.select(*ID, H.render_chatml_tools(F.col("messages"), TOOLS).alias("text"))
 
 
 # ---- text helpers -----------------------------------------------------------------------------
@@ -303,7 +305,7 @@ LENGTH = 512
         FROM (SELECT doc_id, {ids_sql('text')} AS ids FROM documents) q""",
 )
 def _(t):
-    rows = K.tokenize_pad(t.documents.select("doc_id", "text"), LENGTH)
+    rows = K.tokenize_pad(spread(t.documents.select("doc_id", "text")), LENGTH)
     return rows.select(
         "doc_id", K.joined(F.col("input_ids")).alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_real"),
@@ -313,7 +315,7 @@ def _(t):
 
 @query("tokenize", f"SELECT doc_id, array_to_string({ids_sql('text')}, ' ') AS input_ids FROM documents")
 def _(t):
-    rows = K.tokenize(t.documents.select("doc_id", "text"))
+    rows = K.tokenize(spread(t.documents.select("doc_id", "text")))
     return rows.select("doc_id", K.joined(F.col("input_ids")).alias("input_ids"))
 
 
@@ -358,8 +360,7 @@ BATCH = 8
                     FROM (SELECT doc_id, {ids_sql('text')} AS ids FROM documents) a) b) c""",
 )
 def _(t):
-    hashed = t.documents.select("doc_id", "text", seeded_hash(F.col("doc_id")).alias("h"))
-    ranked = exact_rank(hashed, [F.col("h"), F.col("doc_id")], hash_segment(F.col("h")))
+    ranked = shuffle_rank(t.documents.select("doc_id", "text"), "doc_id")
     rows = S.assign_steps(ranked, batch_size=BATCH).withColumnRenamed("micro", "batch_id")
     padded = K.pad_to_batch_longest(K.tokenize(rows), multiple_of=8)
     return padded.select("doc_id", "batch_id", "padded_length", K.joined(F.col("input_ids")).alias("input_ids"))
@@ -370,7 +371,7 @@ def _(t):
     f"""SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, len({TOKENS.format('text')}) > {LENGTH} AS over_length FROM documents""",
 )
 def _(t):
-    rows = t.documents.select("doc_id", TK.split_tokens(F.col("text")).alias("input_ids"))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", TK.split_tokens(F.col("text")).alias("input_ids"))
     flagged = K.flag_overlength(rows, LENGTH)
     return flagged.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "over_length")
 

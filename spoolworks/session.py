@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -47,7 +47,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/spoolworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def write_through(df, name: str):
+def spread(scan: DataFrame) -> DataFrame:
+    """Work-heavy steps over a small scan: at least one partition per core.
+
+    A large input scans as more partitions than there are cores and is left alone. For
+    plain scans only: counting the partitions of a shuffled frame would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def write_through(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
