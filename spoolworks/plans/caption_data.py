@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     DEFAULT_IMAGE_INSTRUCTION,
+    MODEL_TURN_TEMPLATE,
+    PAD_TOKEN_ID,
     SPLIT_JOB_CAPTION_FIELDS,
     SPLIT_JOB_CAPTION_HINTS,
     SPLIT_JOB_IMAGE_FIELDS,
     SPLIT_JOB_IMAGE_HINTS,
+    USER_TURN_TEMPLATE,
 )
+from ..functions.chat import flatten_messages
 from ..functions.images import normalize_image_path, split_image_name
-from ..functions.text import first_present
+from ..functions.text import first_present, is_empty
 from ..operators import captions as C
 from ..operators import projections as P
-from ..operators.ranking import sample_exact, split_exact_ranked
+from ..operators import tokens as K
+from ..operators.ranking import limit_first, sample_exact, split_exact_ranked
 
 
 def flatten_caption_source(df: DataFrame, keep: list[str] = []) -> DataFrame:
@@ -57,14 +62,43 @@ def split_caption_records(
 def load_vision_records(
     records: DataFrame, files: DataFrame, image_dir: str, content: DataFrame | None = None,
     file_path: str = "path", keep: list[str] = [],
+    limit: int | None = None, order_key: str | None = None, limit_after_valid: bool = False,
 ) -> DataFrame:
     """Training rows of existing images; with ``content`` (path, content) only those that decode.
 
-    Existence is tested before bytes are touched.
+    Existence is tested before bytes are touched. ``limit`` takes the first rows by
+    ``order_key``, before the bytes are read unless ``limit_after_valid``.
     """
     P.detect_vision_format(records)
     rows = C.load_captions(records, files, image_dir, file_path, keep)
-    if content is None:
-        return rows
-    good = C.valid_image(content).select(F.col(file_path).alias("__good"))
-    return rows.join(good, F.col("image_path") == F.col("__good"), "left_semi")
+    if limit is not None and not limit_after_valid:
+        rows = limit_first(rows, limit, order_key)
+    if content is not None:
+        good = C.valid_image(content).select(F.col(file_path).alias("__good"))
+        rows = rows.join(good, F.col("image_path") == F.col("__good"), "left_semi")
+    if limit is not None and limit_after_valid:
+        rows = limit_first(rows, limit, order_key)
+    return rows
+
+
+def prepare_vision_prompts(
+    records: DataFrame, files: DataFrame, image_dir: str,
+    prompt_template: str = USER_TURN_TEMPLATE, response_template: str = MODEL_TURN_TEMPLATE,
+    file_path: str = "path", keep: list[str] = [],
+) -> DataFrame:
+    """Templated rows of all records; an image that is missing leaves ``has_image`` false."""
+    image = F.col("image") if "image" in records.columns else F.lit(None).cast("string")
+    stored = F.when(~is_empty(image), image)
+    located = records.withColumn("image_path", normalize_image_path(stored, image_dir, "joined"))
+    found = C.has_image_left_join(located, files, file_path=file_path)
+    return P.format_template(found, prompt_template, response_template, keep)
+
+
+def collate_vision(
+    rows: DataFrame, max_length: int = 2048, batch: str = "batch_id", keep: list[str] = [], pad_id: int = PAD_TOKEN_ID
+) -> DataFrame:
+    """Batches of vision rows as padded ids with labels; long rows are marked, not cut."""
+    chats = P.vlm_conversation(rows, [batch, *keep])
+    texts = chats.withColumn("text", flatten_messages(F.col("messages"))).drop("messages")
+    padded = K.pad_to_batch_longest(K.tokenize(texts), batch, pad_id)
+    return K.mask_pad_labels(K.flag_overlength(padded, max_length), pad_id)

@@ -9,6 +9,13 @@ from ..constants import PAD_TOKEN_ID
 from ..functions.chat import render_chatml, render_chatml_tools
 from ..operators import projections as P
 from ..operators import tokens as K
+from ..operators.ranking import sample_exact
+
+
+def instruction_records(df: DataFrame, n: int, key: str, seed: int = 42, keep: list[str] = []) -> DataFrame:
+    """A seeded sample of chats or of instruction records in the canonical three columns."""
+    sample = sample_exact(df, n, key, seed)
+    return P.chat_to_instruction(sample, keep) if "messages" in df.columns else P.dolly_to_instruction(sample, keep)
 
 
 def prepare_chat_tokens(
