@@ -76,7 +76,9 @@ def test_input_rank_with_ties_in_pieces_nulls_and_negatives(spark):
     assert R.input_rank(spark.range(0), "id").count() == 0
 
 
-def test_hot_group_ranks_equal_a_plain_window(spark):
+@pytest.mark.parametrize("hot_rows", [0, 500, 10**6])
+def test_hot_group_ranks_equal_a_plain_window(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(R, "HOT_ROWS", hot_rows)
     # one group holds most of the rows, one is null
     df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))))
     ranked = R.running_index(df, "id", ("g",))
@@ -85,6 +87,21 @@ def test_hot_group_ranks_equal_a_plain_window(spark):
     assert ranked.count() == 3000 and wrong.count() == 0
 
 
+def test_null_order_keys_and_other_group_types(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_ROWS", 3)
+    df = spark.range(40).select(
+        "id", (F.col("id") % 3 == 0).alias("flag"), F.when(F.col("id") % 4 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int"))).alias("day"),
+        F.when(F.col("id") % 5 > 0, F.timestamp_seconds(F.col("id") * 1800)).alias("ts"),
+    )
+    order = [F.col("ts"), F.col("id")]
+    for groups in ((), ("flag",), ("day",), ("flag", "day")):
+        ranked = R.exact_rank(df, order, F.date_trunc("hour", F.col("ts")), groups)
+        plain = Window.partitionBy(*groups).orderBy(*order)
+        wrong = ranked.withColumn("w", F.row_number().over(plain) - 1).where("w <> rank")
+        assert ranked.count() == 40 and wrong.count() == 0
+        assert set(ranked.columns) == {"id", "flag", "day", "ts", "rank"}
+
+
 def test_rank_before_and_after_a_filter(spark):
     df = spark.range(3)
     before = R.input_rank(df, "id", name="index").where("id <> 1")
