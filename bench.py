@@ -47,6 +47,8 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
             "spark.ui.enabled": "false",
+            # one shuffle partition per core is already the right number
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
         },
     )

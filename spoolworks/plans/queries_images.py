@@ -99,13 +99,12 @@ def _(t):
 
 @query(
     "caption_to_vlm_pairs",
-    f"""SELECT conv_id, '{DEFAULT_IMAGE_INSTRUCTION}' AS instruction, text AS output,
-         concat('images/flickr8k_', row_number() OVER (ORDER BY conv_id) - 1, '.jpg') AS image
-        FROM conversations WHERE turn = 0""",
+    f"""SELECT doc_id, '{DEFAULT_IMAGE_INSTRUCTION}' AS instruction, text AS output,
+         concat('images/flickr8k_', row_number() OVER (ORDER BY doc_id) - 1, '.jpg') AS image FROM documents""",
 )
 def _(t):
-    pairs = t.conversations.where("turn = 0").select("conv_id", F.col("text").alias("sentence1"), F.col("role").alias("sentence2"))
-    return P.caption_to_vlm(pairs, "conv_id", ["conv_id"])
+    pairs = t.documents.select("doc_id", F.col("text").alias("sentence1"), F.col("source").alias("sentence2"))
+    return P.caption_to_vlm(pairs, "doc_id", ["doc_id"])
 
 
 @query("resolve_fields", "SELECT doc_id, image, unnest(captions) AS caption FROM v_captions", (V_CAPTIONS,))

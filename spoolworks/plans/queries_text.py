@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import DEFAULT_SYSTEM_TEXT, PAD_TOKEN_ID, SPECIAL_TOKENS, STRIP_CHARS, TOOLS_FOOTER, TOOLS_HEADER
 from ..functions import chat as H
@@ -146,12 +147,14 @@ def _(t):
 
 TEMPLATE_SQL = """SELECT conv_id, turn, concat('### Q {', instruction, '}\n### A\n') AS prompt,
   concat(output, '</s>') AS response, concat('### Q {', instruction, '}\n### A\n', output, '</s>') AS text,
-  false AS has_image, CAST(NULL AS VARCHAR) AS image FROM v_instruction"""
+  input <> '' AS has_image, CASE WHEN input <> '' THEN concat('img_', conv_id, '.jpg') END AS image FROM v_instruction"""
 
 
 @query("format_template", TEMPLATE_SQL, (V_INSTRUCTION,))
 def _(t):
-    return P.format_template(t.instruction, "### Q {{{instruction}}}\n### A\n", "{output}</s>", keep=ID)
+    image = F.concat(F.lit("img_"), F.col("conv_id").cast("string"), F.lit(".jpg"))
+    rows = t.instruction.withColumn("image", F.when(F.col("input") != "", image).otherwise(""))
+    return P.format_template(rows, "### Q {{{instruction}}}\n### A\n", "{output}</s>", keep=ID)
 
 
 CHATML_SQL = f"""SELECT conv_id, {PART} AS part, string_agg(
@@ -261,19 +264,17 @@ def _(t):
 
 @query(
     "quarantine_bad_rows",
-    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'kept' AS fate, CAST(NULL AS VARCHAR) AS raw
+    """SELECT event_id, 'kept' AS fate, CAST(json_extract(props, '$.k') AS VARCHAR) AS content
        FROM events WHERE event_type <> 'error'
-       UNION ALL SELECT event_id, NULL, 'rejected', substr(props, 1, length(props) - 1) FROM events WHERE event_type = 'error'""",
+       UNION ALL SELECT event_id, 'rejected', substr(props, 1, length(props) - 1) FROM events WHERE event_type = 'error'""",
 )
 def _(t):
     # the error events lose their closing brace
     cut = F.substr(F.col("props"), F.lit(1), F.length("props") - 1)
     rows = t.table("events").select("event_id", F.when(F.col("event_type") == "error", cut).otherwise(F.col("props")).alias("props"))
-    from pyspark.sql import types as T
-
     good, bad = quarantine_bad_rows(rows, "props", T.StructType([T.StructField("k", T.LongType())]))
-    return good.select("event_id", "k", F.lit("kept").alias("fate"), F.lit(None).cast("string").alias("raw")).unionByName(
-        bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit("rejected").alias("fate"), F.col("props").alias("raw"))
+    return good.select("event_id", F.lit("kept").alias("fate"), F.col("k").cast("string").alias("content")).unionByName(
+        bad.select("event_id", F.lit("rejected").alias("fate"), F.col("props").alias("content"))
     )
 
 
@@ -433,7 +434,7 @@ def _(t):
     return t.documents.select("doc_id", "text").transform(lambda df: U.formatter("inline_prompt")(df, keep=["doc_id"]))
 
 
-@query("template_strings", TEMPLATE_SQL.replace(", false AS has_image, CAST(NULL AS VARCHAR) AS image", "").replace(",\n  false AS has_image, CAST(NULL AS VARCHAR) AS image", ""), (V_INSTRUCTION,))
+@query("template_strings", f"SELECT conv_id, turn, prompt, response, text FROM ({TEMPLATE_SQL}) q", (V_INSTRUCTION,))
 def _(t):
     prompt = P.fill_template("### Q {{{instruction}}}\n### A\n", instruction=F.col("instruction"))
     response = P.fill_template("{output}</s>", output=F.col("output"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chat import chatml_header, chatml_turn, with_generation_prompt
+from ..constants import DEFAULT_SYSTEM_TEXT
+from ..functions.chat import chatml_turn, with_generation_prompt
 
 PART_TURNS = 1024
 
@@ -38,18 +39,16 @@ def render_turns(turns: DataFrame, part_turns: int = PART_TURNS, generation_prom
     Every turn is rendered where it lies, before the shuffle; only finished pieces are
     gathered. ``generation_prompt`` closes the last part of each chat.
     """
-    parted = with_part(turns, part_turns)
-    first = F.struct("role", F.col("text").alias("content"))
     shown = F.col("role").isin("user", "assistant", "system")
     piece = F.when(shown, chatml_turn(F.col("role"), F.col("text"))).otherwise(F.lit(""))
-    opening = F.when(
-        F.col("turn") == 0,
-        F.concat(chatml_header(first), F.when(F.col("role") == "system", F.lit("")).otherwise(piece)),
-    ).otherwise(piece)
-    pieces = parted.select("conv_id", "part", F.struct("turn", opening.alias("piece")).alias("p"))
+    pieces = with_part(turns, part_turns).select("conv_id", "part", F.struct("turn", "role", piece.alias("piece")).alias("p"))
     gathered = pieces.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    # a system turn that comes first is the header already
+    no_header = (F.col("part") > 0) | (F.get("ps", F.lit(0))["role"] == "system")
+    header = F.when(no_header, F.lit("")).otherwise(chatml_turn(F.lit("system"), F.lit(DEFAULT_SYSTEM_TEXT)))
     rendered = gathered.select(
-        "conv_id", "part", F.array_join(F.transform("ps", lambda p: p["piece"]), "").alias("text")
+        "conv_id", "part",
+        F.concat(header, F.array_join(F.transform("ps", lambda p: p["piece"]), "")).alias("text"),
     )
     if not generation_prompt:
         return rendered

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BLOCK = 1 << 20
+
+
 def write_json(df: DataFrame, path: str, layout: str = "lines", ascii_only: bool = False, mode: str = "errorifexists") -> None:
     """UTF-8 JSON, as lines, or as one array per file for readers that want an array.
 
@@ -40,8 +45,16 @@ def _add_brackets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": ["]" if opening == "," else "[]"]})
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "errorifexists") -> None:
-    """One folder per split, so that reading a split prunes the others."""
+def write_splits(
+    df: DataFrame, path: str, split: str = "split", mode: str = "errorifexists", rebalance: bool = False
+) -> None:
+    """One folder per split, so that reading a split prunes the others.
+
+    Tasks write the splits they hold. ``rebalance`` shuffles first, which costs one pass and
+    gives evenly sized files; a large split is cut over many tasks.
+    """
+    if rebalance:
+        df = df.hint("rebalance", split)
     df.write.mode(mode).partitionBy(split).parquet(path)
 
 
@@ -51,36 +64,46 @@ def write_split_files(df: DataFrame, folder: str, base: str, split: str = "split
         write_json(df.where(F.col(split) == name).drop(split), f"{folder}/{base}_{name}.json")
 
 
-def copy_images(manifest: DataFrame, files: DataFrame, dest_dir: str, src: str = "src", dest: str = "dest") -> DataFrame:
-    """Copies the bytes of every manifest row once and reports what each task did.
+def copy_images(manifest: DataFrame, dest_dir: str, src: str = "src", dest: str = "dest") -> DataFrame:
+    """Copies every file of the manifest once and reports ``written``, ``kept`` or ``missing``.
 
-    ``files`` is a scan with content. A target that exists is left alone; each file is
-    written under a name of its own and then renamed, so a retried task does no harm.
+    Tasks read and write the files themselves, a block at a time, so image bytes never
+    shuffle. A target that exists is left alone; each file is written under a name of its
+    own and then renamed, so a repeated task does no harm.
     """
     wanted = manifest.select(F.col(src).alias("src"), F.col(dest).alias("dest"))
-    pairs = wanted.join(files.select(F.col("path").alias("src"), "content"), "src")
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
+        for batch in batches:
+            yield batch.assign(status=[_copy_once(s, dest_dir, d) for s, d in zip(batch["src"], batch["dest"])])
 
-        from pyarrow import fs
+    return wanted.mapInPandas(copy, "src string, dest string, status string")
 
-        target, root = fs.FileSystem.from_uri(dest_dir)
-        for batch in batches:
-            done = []
-            for name, content in zip(batch["dest"], batch["content"]):
-                path = f"{root}/{name}"
-                fresh = target.get_file_info(path).type == fs.FileType.NotFound
-                if fresh:
-                    target.create_dir(path.rpartition("/")[0], recursive=True)
-                    part = f"{path}.{uuid.uuid4().hex}"
-                    with target.open_output_stream(part) as out:
-                        out.write(bytes(content))
-                    target.move(part, path)
-                done.append(fresh)
-            yield pd.DataFrame({"src": batch["src"], "dest": batch["dest"], "written": done})
-
-    return pairs.mapInPandas(copy, "src string, dest string, written boolean")
+
+def _open_file_system(uri: str):
+    from pyarrow import fs
+
+    # file listings say file:/path, which is not a full URI
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", uri))
+
+
+def _copy_once(src: str, dest_dir: str, name: str) -> str:
+    from pyarrow import fs
+
+    target, root = _open_file_system(dest_dir)
+    path = f"{root}/{name}"
+    if target.get_file_info(path).type != fs.FileType.NotFound:
+        return "kept"
+    source, origin = _open_file_system(src)
+    if source.get_file_info(origin).type == fs.FileType.NotFound:
+        return "missing"
+    target.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with source.open_input_stream(origin) as read, target.open_output_stream(part) as write:
+        while block := read.read(BLOCK):
+            write.write(block)
+    target.move(part, path)
+    return "written"
 
 
 RUN_INFO = T.StructType([

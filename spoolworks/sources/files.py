@@ -163,9 +163,12 @@ def scan_named(
     table = spark.table(name)
     if split_column not in table.columns:
         return table
-    present = _present_splits(table, split_column)
-    chosen = split if split in present else "train" if "train" in present else min(present, default=split)
-    return table.where(F.col(split_column) == chosen)
+    for name in (split, "train"):
+        rows = table.where(F.col(split_column) == name)
+        if not rows.isEmpty():
+            return rows
+    first = table.agg(F.min(split_column)).first()[0]
+    return table.where(F.col(split_column) == first)
 
 
 def scan_eval_split(
@@ -177,7 +180,3 @@ def scan_eval_split(
     table = spark.table(name).where(F.col(split_column) == split)
     return None if table.isEmpty() else table
 
-
-def _present_splits(table: DataFrame, split_column: str) -> set[str]:
-    """Split names; with a split-partitioned table this reads only partition names."""
-    return {r[0] for r in table.select(split_column).distinct().collect() if r[0] is not None}

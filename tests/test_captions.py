@@ -88,10 +88,11 @@ def test_scan_copy_and_write_once(spark, tmp_path):
     files = C.valid_image(S.scan_image_files(spark, str(tmp_path / "in"), with_content=True))
     manifest = files.select(F.col("path").alias("src"), F.lit("train_00000.jpg").alias("dest"))
     out = tmp_path / "out"
-    first = K.copy_images(manifest, files, f"file://{out}").collect()
-    assert [r.written for r in first] == [True]
+    gone = manifest.select(F.lit(f"{tmp_path}/gone.jpg").alias("src"), F.lit("x/y.jpg").alias("dest"))
+    first = K.copy_images(manifest.union(gone), f"file://{out}").collect()
+    assert sorted((r.dest, r.status) for r in first) == [("train_00000.jpg", "written"), ("x/y.jpg", "missing")]
     assert (out / "train_00000.jpg").read_bytes() == SIGNATURES["jpeg"]
-    assert [r.written for r in K.copy_images(manifest, files, f"file://{out}").collect()] == [False]
+    assert [r.status for r in K.copy_images(manifest, f"file://{out}").collect()] == ["kept"]
     assert [p.name for p in out.iterdir() if not p.name.startswith(".")] == ["train_00000.jpg"]
 
 

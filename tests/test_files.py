@@ -53,6 +53,8 @@ def test_split_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         S.scan_split_file(spark, start, "dev", "set", schema)
     K.write_splits(df, str(tmp_path / "p"))
+    K.write_splits(df, str(tmp_path / "even"), rebalance=True)
+    assert spark.read.parquet(str(tmp_path / "even")).count() == 4
     pruned = spark.read.parquet(str(tmp_path / "p")).where("split = 'val'")
     assert "PartitionFilters: [isnotnull(split" in pruned._jdf.queryExecution().executedPlan().toString()
 
