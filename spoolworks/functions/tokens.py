@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import IGNORE_INDEX, PAD_TOKEN_ID, SPECIAL_TOKENS
 
-TOKEN_PATTERN = r"(<\|[a-z_]+\|>|</?tool_call>|[^\s<]+|<)"
+# words first: they are most of a text, and no alternative starts like another
+TOKEN_PATTERN = r"([^\s<]+|<\|[a-z_]+\|>|</?tool_call>|<)"
 
 
 def split_tokens(text: Column) -> Column:

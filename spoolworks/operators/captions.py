@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +59,7 @@ def has_image_left_join(records: DataFrame, files: DataFrame, on: str = "image_p
     )
 
 
-def load_captions(records: DataFrame, files: DataFrame, image_dir: str, file_path: str = "path", keep: list[str] = []) -> DataFrame:
+def load_captions(records: DataFrame, files: DataFrame, image_dir: str, file_path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
     """Caption records to ``image_path, text, caption`` rows of existing images.
 
     The existence join runs before captions are exploded, on the narrow side.

@@ -28,6 +28,12 @@ def require_rows(df: DataFrame, what: str = "dataset") -> DataFrame:
     return df
 
 
+def require_every(df: DataFrame, rule: Column, message: str) -> DataFrame:
+    """The same rows, but running the plan fails at the first row that breaks the rule."""
+    passed = F.coalesce(rule, F.lit(False))
+    return df.where(F.when(passed, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def metric_name_filter(series: DataFrame, which: str) -> DataFrame:
     """``loss``, ``learning_rate`` or ``all`` (everything but step and epoch)."""
     tag = F.lower("tag")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
     return df.rollup(split).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def perplexity(df: DataFrame, predictions: str, by: list[str] = []) -> DataFrame:
+def perplexity(df: DataFrame, predictions: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean prediction and its exponential; the first entry counts when predictions are arrays."""
     kind = df.schema[predictions].dataType.typeName()
     value = F.get(predictions, F.lit(0)) if kind == "array" else F.col(predictions)
@@ -24,7 +24,7 @@ def perplexity(df: DataFrame, predictions: str, by: list[str] = []) -> DataFrame
     return df.groupBy(*by).agg(loss.alias("eval_loss"), F.exp(loss).alias("eval_perplexity"))
 
 
-def run_summary(log: DataFrame, run: str = "run", extras: list[str] = []) -> DataFrame:
+def run_summary(log: DataFrame, run: str = "run", extras: Sequence[str] = ()) -> DataFrame:
     """Mean and last loss and steps of each run; end-of-run figures such as the runtime when logged."""
     figures = [F.max(c).alias(c) for c in extras]
     has_loss = F.col("loss").isNotNull()
@@ -72,7 +72,7 @@ def gpu_memory(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def unpivot_metrics(df: DataFrame, ids: list[str] = [], step: str = "step", order_key: str | None = None) -> DataFrame:
+def unpivot_metrics(df: DataFrame, ids: Sequence[str] = (), step: str = "step", order_key: str | None = None) -> DataFrame:
     """Wide metric table to ``tag, step, value``; without a step column the row position is the step."""
     if step not in df.columns:
         if order_key is None:
@@ -98,7 +98,7 @@ def report_verdict(report: DataFrame) -> DataFrame:
     )
 
 
-def distinct_devices(df: DataFrame, device: str = "device", by: list[str] = []) -> DataFrame:
+def distinct_devices(df: DataFrame, device: str = "device", by: Sequence[str] = ()) -> DataFrame:
     """Number and sorted list of devices used; a device set is small by nature."""
     return df.groupBy(*by).agg(
         F.count_distinct(device).alias("n_devices"),

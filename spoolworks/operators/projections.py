@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,11 @@ from .ranking import input_rank
 # ---- schema mapping ---------------------------------------------------------------
 
 
-def _plus(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+def _plus(df: DataFrame, keep: Sequence[str], *columns: Column) -> DataFrame:
     return df.select(*keep, *columns)
 
 
-def dolly_to_instruction(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def dolly_to_instruction(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _plus(
         df, keep,
         F.col("instruction"),
@@ -45,7 +46,7 @@ def min_messages(df: DataFrame, n: int = 2) -> DataFrame:
     return df.where(F.size("messages") >= n)
 
 
-def chat_to_instruction(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def chat_to_instruction(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """First two messages as instruction and output; shorter chats are left out."""
     return _plus(
         min_messages(df), keep,
@@ -55,7 +56,7 @@ def chat_to_instruction(df: DataFrame, keep: list[str] = []) -> DataFrame:
     )
 
 
-def qa_to_vlm(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def qa_to_vlm(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Image questions to vision records; the file name is a hash pair."""
     name = question_image_name(F.col("question"), F.col("answer"))
     return _plus(
@@ -168,17 +169,17 @@ def _with_context(df: DataFrame, extra: str, label: str) -> Column:
     )
 
 
-def format_dolly(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def format_dolly(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     prompt = _with_context(df, "context", "Context")
     return _plus(df, keep, user_assistant(prompt, first_present(df, ["response"], "")).alias("messages"))
 
 
-def format_alpaca(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def format_alpaca(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     prompt = _with_context(df, "input", "Input")
     return _plus(df, keep, user_assistant(prompt, first_present(df, ["output"], "")).alias("messages"))
 
 
-def format_simple(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def format_simple(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _plus(
         df, keep,
         user_assistant(
@@ -187,7 +188,7 @@ def format_simple(df: DataFrame, keep: list[str] = []) -> DataFrame:
     )
 
 
-def to_chat(df: DataFrame, keep: list[str] = [], strict: bool = False) -> DataFrame:
+def to_chat(df: DataFrame, keep: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Whatever the detected format, ``messages`` out."""
     kind = detect_format(df, strict)
     if kind == "chat":
@@ -195,7 +196,7 @@ def to_chat(df: DataFrame, keep: list[str] = [], strict: bool = False) -> DataFr
     return {"dolly": format_dolly, "alpaca": format_alpaca, "simple": format_simple}[kind](df, keep)
 
 
-def format_gemma_turns(df: DataFrame, include_input: bool = True, keep: list[str] = []) -> DataFrame:
+def format_gemma_turns(df: DataFrame, include_input: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Turn markup around instruction and input; a blank input is left out."""
     user = F.col("instruction")
     if include_input and "input" in df.columns:
@@ -225,7 +226,7 @@ def format_template(
     df: DataFrame,
     prompt_template: str = USER_TURN_TEMPLATE,
     response_template: str = MODEL_TURN_TEMPLATE,
-    keep: list[str] = [],
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """User templates over ``{instruction}`` and ``{output}``, with ``has_image`` and the image path."""
     prompt = fill_template(
@@ -244,7 +245,7 @@ def format_template(
 # ---- vision formats --------------------------------------------------------------------
 
 
-def vlm_conversation(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def vlm_conversation(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     image = F.col("image") if "image" in df.columns else F.lit(None).cast("string")
     return _plus(
         df, keep,
@@ -252,17 +253,17 @@ def vlm_conversation(df: DataFrame, keep: list[str] = []) -> DataFrame:
     )
 
 
-def vlm_fixed_prompt(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def vlm_fixed_prompt(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _plus(
         df, keep, vision_conversation(F.lit(FIXED_IMAGE_PROMPT), F.col("text"), F.col("image")).alias("messages")
     )
 
 
-def vlm_inline_prompt(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def vlm_inline_prompt(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _plus(df, keep, F.concat(F.lit(INLINE_IMAGE_PROMPT), F.col("text")).alias("text"))
 
 
-def vlm_caption_only(df: DataFrame, strict_reference: bool = False, keep: list[str] = []) -> DataFrame:
+def vlm_caption_only(df: DataFrame, strict_reference: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """The caption alone as training text.
 
     The trainers looked only at ``caption`` and ``text`` while the split job writes ``output``,
@@ -273,7 +274,7 @@ def vlm_caption_only(df: DataFrame, strict_reference: bool = False, keep: list[s
     return _plus(df, keep, first_present(df, usable, "").alias("text"))
 
 
-def caption_to_vlm(df: DataFrame, order_key: str, keep: list[str] = []) -> DataFrame:
+def caption_to_vlm(df: DataFrame, order_key: str, keep: Sequence[str] = ()) -> DataFrame:
     """Any caption dataset to vision records; the shape is chosen from the schema.
 
     Numbered names count kept rows in ``order_key`` order.

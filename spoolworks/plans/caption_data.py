@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from ..operators import tokens as K
 from ..operators.ranking import limit_first, sample_exact, split_exact_ranked
 
 
-def flatten_caption_source(df: DataFrame, keep: list[str] = []) -> DataFrame:
+def flatten_caption_source(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``image, caption`` rows of a dataset whose field names are found by name or by hint."""
     fields = P.resolve_fields(
         df, SPLIT_JOB_IMAGE_FIELDS, SPLIT_JOB_IMAGE_HINTS, SPLIT_JOB_CAPTION_FIELDS, SPLIT_JOB_CAPTION_HINTS,
@@ -61,7 +63,7 @@ def split_caption_records(
 
 def load_vision_records(
     records: DataFrame, files: DataFrame, image_dir: str, content: DataFrame | None = None,
-    file_path: str = "path", keep: list[str] = [],
+    file_path: str = "path", keep: Sequence[str] = (),
     limit: int | None = None, order_key: str | None = None, limit_after_valid: bool = False,
 ) -> DataFrame:
     """Training rows of existing images; with ``content`` (path, content) only those that decode.
@@ -82,20 +84,21 @@ def load_vision_records(
 
 
 def prepare_vision_prompts(
-    records: DataFrame, files: DataFrame, image_dir: str,
+    records: DataFrame, files: DataFrame, image_dir: str | None = None,
     prompt_template: str = USER_TURN_TEMPLATE, response_template: str = MODEL_TURN_TEMPLATE,
-    file_path: str = "path", keep: list[str] = [],
+    file_path: str = "path", keep: Sequence[str] = (),
 ) -> DataFrame:
     """Templated rows of all records; an image that is missing leaves ``has_image`` false."""
     image = F.col("image") if "image" in records.columns else F.lit(None).cast("string")
     stored = F.when(~is_empty(image), image)
-    located = records.withColumn("image_path", normalize_image_path(stored, image_dir, "joined"))
+    path = normalize_image_path(stored, image_dir, "joined") if image_dir is not None else stored
+    located = records.withColumn("image_path", path)
     found = C.has_image_left_join(located, files, file_path=file_path)
     return P.format_template(found, prompt_template, response_template, keep)
 
 
 def collate_vision(
-    rows: DataFrame, max_length: int = 2048, batch: str = "batch_id", keep: list[str] = [], pad_id: int = PAD_TOKEN_ID
+    rows: DataFrame, max_length: int = 2048, batch: str = "batch_id", keep: Sequence[str] = (), pad_id: int = PAD_TOKEN_ID
 ) -> DataFrame:
     """Batches of vision rows as padded ids with labels; long rows are marked, not cut."""
     chats = P.vlm_conversation(rows, [batch, *keep])

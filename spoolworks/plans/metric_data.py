@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from ..operators.filters import metric_name_filter
@@ -11,7 +13,7 @@ from ..sources.files import scan_run_logs
 
 def metric_series(
     states: DataFrame | None = None, table: DataFrame | None = None, which: str = "all",
-    ids: list[str] = [], order_key: str | None = None, path: str | None = None,
+    ids: Sequence[str] = (), order_key: str | None = None, path: str | None = None,
 ) -> DataFrame:
     """``tag, step, value`` rows of trainer states or of a wide table, for any chart."""
     if states is not None:

@@ -13,7 +13,7 @@ from .standins import V_GPU, gpu_samples
 
 
 def event_stream(t):
-    return J.stream_files(t.spark, t.folder, t.table("events").schema, names="events.parquet")
+    return J.stream_files(t.spark, f"{t.folder}/events.parquet", t.table("events").schema)
 
 
 @query(

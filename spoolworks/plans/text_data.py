@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import tokens as K
 from ..operators.ranking import sample_exact
 
 
-def instruction_records(df: DataFrame, n: int, key: str, seed: int = 42, keep: list[str] = []) -> DataFrame:
+def instruction_records(df: DataFrame, n: int, key: str, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """A seeded sample of chats or of instruction records in the canonical three columns."""
     sample = sample_exact(df, n, key, seed)
     return P.chat_to_instruction(sample, keep) if "messages" in df.columns else P.dolly_to_instruction(sample, keep)
@@ -20,7 +22,7 @@ def instruction_records(df: DataFrame, n: int, key: str, seed: int = 42, keep: l
 
 def prepare_chat_tokens(
     df: DataFrame, length: int = 2048, tokenizer_json: str | None = None, tools: list | None = None,
-    pad_id: int = PAD_TOKEN_ID, keep: list[str] = [],
+    pad_id: int = PAD_TOKEN_ID, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Any supported text format to ``input_ids, attention_mask, labels``; one pass, no shuffle."""
     chats = P.to_chat(df, keep)
@@ -44,7 +46,7 @@ def prepare_chat_tokens(
 
 def prepare_instruction_tokens(
     df: DataFrame, length: int = 2048, include_input: bool = True, tokenizer_json: str | None = None,
-    pad_id: int = PAD_TOKEN_ID, keep: list[str] = [],
+    pad_id: int = PAD_TOKEN_ID, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Instruction records to turn markup and tokens with the prompt ignored in the loss."""
     rows = P.format_gemma_turns(df, include_input, keep)

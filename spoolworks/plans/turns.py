@@ -52,10 +52,15 @@ def render_turns(turns: DataFrame, part_turns: int = PART_TURNS, generation_prom
     )
     if not generation_prompt:
         return rendered
-    last = turns.groupBy("conv_id").agg(F.floor(F.max("turn") / part_turns).alias("last_part"))
-    return rendered.join(last, "conv_id").select(
+    last = (
+        turns.groupBy("conv_id")
+        .agg(F.floor(F.max("turn") / part_turns).alias("part"))
+        .withColumn("__last", F.lit(True))
+    )
+    # joined by part as well, so the text of a long chat stays spread
+    return rendered.join(last, ["conv_id", "part"], "left").select(
         "conv_id", "part",
-        F.when(F.col("part") == F.col("last_part"), with_generation_prompt(F.col("text"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("__last"), with_generation_prompt(F.col("text"))).otherwise(F.col("text")).alias("text"),
     )
 
 

@@ -45,6 +45,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = _hadoop_path(spark, path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def _first_character(spark: SparkSession, path: str) -> str:
     """First non-blank character of a file, or of the first non-empty file of a folder."""
     target = _hadoop_path(spark, path)

@@ -11,15 +11,21 @@ from pyspark.sql import types as T
 
 from ..functions.text import log_line
 from ..operators.metrics import running_mean
+from ..sources.files import is_folder
 
 
 def stream_files(
-    spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
-    names: str = "*", max_files: int = 1000,
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 1000
 ) -> DataFrame:
-    """New files of a folder as a stream, a bounded number per micro-batch."""
-    reader = spark.readStream.schema(schema).format(fmt)
-    return reader.option("pathGlobFilter", names).option("maxFilesPerTrigger", max_files).load(folder)
+    """New files of a folder as a stream, a bounded number per micro-batch.
+
+    The path of one file streams that file: the source is then its folder, filtered to its name.
+    """
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
+    if is_folder(spark, path):
+        return reader.load(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).load(folder)
 
 
 def gpu_windows(samples: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

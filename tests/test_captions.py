@@ -144,3 +144,6 @@ def test_quarantine_and_require(spark):
     with pytest.raises(ValueError):
         FL.require_rows(df.where("id > 10"))
     assert FL.require_rows(df) is df
+    assert FL.require_every(df, F.col("id") > 0, "bad id").count() == 6
+    with pytest.raises(Exception, match="no json"):
+        FL.require_every(df, F.length("js") > 0, "no json").collect()
