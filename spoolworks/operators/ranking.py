@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 TOPK_LIMIT = 100_000  # largest n given to a top-k sort
 HOT_ROWS = 1_000_000  # groups up to this size are ranked in one piece
 HOT_GROUPS = 10_000  # no more groups than this can be hot
+PIECE_ROWS = 250_000  # rows of one quantile piece, until there are MAX_PIECES
+MAX_PIECES = 8192
 
 
 def seeded_hash(key: Column, seed: int = 42) -> Column:
@@ -34,20 +36,25 @@ def hash_head(hashed: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
-def hash_segment(hashed: Column) -> Column:
-    """Leading four hex digits: 65,536 equal-sized, order-preserving pieces of an md5 order."""
-    return F.substring(hashed, 1, 4)
+def hash_segment(hashed: Column, digits: int = 4) -> Column:
+    """Leading hex digits: equal-sized, order-preserving pieces of an md5 order, 65,536 of them at four."""
+    return F.substring(hashed, 1, digits)
 
 
-def with_range_segment(df: DataFrame, column: str, pieces: int = 1024, name: str = "__seg") -> DataFrame:
+def with_range_segment(df: DataFrame, column: str, pieces: int | None = None, name: str = "__seg") -> DataFrame:
     """Order-preserving pieces of a number or time column, cut at approximate quantiles.
 
-    The cut points only balance the pieces, so their error never reaches a result. They are
-    at most ``pieces`` numbers and the only thing that comes to the driver.
+    Pieces are sized by a count unless their number is given. The cut points only balance
+    them, so their error never reaches a result; they are at most ``MAX_PIECES`` numbers and
+    the only thing that comes to the driver.
     """
+    if pieces is None:
+        pieces = min(df.count() // PIECE_ROWS + 1, MAX_PIECES)
+    if pieces == 1:
+        return df.withColumn(name, F.lit(0))
     value = F.col(column).cast("double")
     cuts = df.select(
-        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10 * pieces)
+        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 4 * pieces)
     ).first()[0]
     splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
     if len(splits) < 3:
@@ -136,7 +143,7 @@ def shuffle_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rank") ->
     return _rank_by_hash(df, key, seed, (), name)
 
 
-def input_rank(df: DataFrame, key: str, pieces: int = 1024, name: str = "rank") -> DataFrame:
+def input_rank(df: DataFrame, key: str, pieces: int | None = None, name: str = "rank") -> DataFrame:
     """Position of each row by a unique number or time column."""
     tagged = with_range_segment(df, key, pieces, "__piece")
     return exact_rank(tagged, [F.col(key)], F.col("__piece"), name=name).drop("__piece")
@@ -148,9 +155,11 @@ def order_thresholds(df: DataFrame, key: str, seed: int, ranks) -> DataFrame:
     ``ranks`` maps the total count column to ``{name: rank column}``. Each name becomes a
     struct column ``(hash, key)``, null when the rank is past the end. Two narrow passes over
     the key: counts per hash segment, then the rows of the segments that hold a wanted rank.
+    Every task sends one count per segment, so there are only 4,096 here; a segment's keys
+    still are few enough to sort in one task.
     """
     keyed = df.select(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
-    tagged = keyed.withColumn("seg", hash_segment(F.col("h")))
+    tagged = keyed.withColumn("seg", hash_segment(F.col("h"), 3))
     counts = tagged.groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy()

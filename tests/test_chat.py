@@ -34,47 +34,39 @@ def test_generation_prompt(spark):
     assert render(spark, [[("user", "u")]], generation_prompt=True)[0].endswith(turn("user", "u") + "<|im_start|>assistant\n")
 
 
-def expected_tools(messages, tools):
-    """The template's rules, row by row, for comparison on small chats."""
-    first = messages[0]
-    out = "<|im_start|>system\n" + (first["content"] if first["role"] == "system" else SYSTEM)
-    out += H.TOOLS_HEADER + "".join("\n" + t for t in tools) + H.TOOLS_FOOTER
-    for i, m in enumerate(messages):
-        role, calls = m["role"], m.get("tool_calls")
-        if role == "user" or (role == "system" and i) or (role == "assistant" and not calls):
-            out += turn(role, m["content"])
-        elif role == "assistant":
-            out += "<|im_start|>assistant" + ("\n" + m["content"] if m.get("content") else "")
-            for c in calls:
-                out += '\n<tool_call>\n{"name": "' + c["name"] + '", "arguments": ' + c["arguments"] + "}\n</tool_call>"
-            out += "<|im_end|>\n"
-        elif role == "tool":
-            if i == 0 or messages[i - 1]["role"] != "tool":
-                out += "<|im_start|>user"
-            out += "\n<tool_response>\n" + m["content"] + "\n</tool_response>"
-            if i + 1 == len(messages) or messages[i + 1]["role"] != "tool":
-                out += "<|im_end|>\n"
-    return out
-
-
 def test_tools(spark):
-    call = {"name": "f", "arguments": '{"x": 1}'}
-    chats = [
-        [{"role": "system", "content": "S"}, {"role": "user", "content": "u"},
-         {"role": "assistant", "content": None, "tool_calls": [call, call]},
-         {"role": "tool", "content": "1"}, {"role": "tool", "content": "2"},
-         {"role": "assistant", "content": "done"}],
-        [{"role": "user", "content": "u"}, {"role": "assistant", "content": "text", "tool_calls": [call]},
-         {"role": "tool", "content": "1"}],
-        [{"role": "tool", "content": "alone"}, {"role": "user", "content": "u"}],
-        [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a", "tool_calls": []}],
+    call = ("f", '{"x": 1}')
+    block = '\n<tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call>'
+    tools = ['{"type": "function"}', '{"type": "other"}']
+    listed = H.TOOLS_HEADER + '\n{"type": "function"}\n{"type": "other"}' + H.TOOLS_FOOTER
+    default = f"<|im_start|>system\n{SYSTEM}{listed}"
+    cases = [
+        # two calls without text, two answers in one user turn
+        (
+            [("system", "S", None), ("user", "u", None), ("assistant", None, [call, call]),
+             ("tool", "1", None), ("tool", "2", None), ("assistant", "done", None)],
+            f"<|im_start|>system\nS{listed}" + turn("user", "u") + f"<|im_start|>assistant{block}{block}<|im_end|>\n"
+            "<|im_start|>user\n<tool_response>\n1\n</tool_response>\n<tool_response>\n2\n</tool_response><|im_end|>\n"
+            + turn("assistant", "done"),
+        ),
+        # a call after text, an answer that ends the chat
+        (
+            [("user", "u", None), ("assistant", "text", [call]), ("tool", "1", None)],
+            default + turn("user", "u") + f"<|im_start|>assistant\ntext{block}<|im_end|>\n"
+            "<|im_start|>user\n<tool_response>\n1\n</tool_response><|im_end|>\n",
+        ),
+        # an answer that opens the chat, a later system turn in place
+        (
+            [("tool", "alone", None), ("user", "u", None), ("system", "later", None)],
+            default + "<|im_start|>user\n<tool_response>\nalone\n</tool_response><|im_end|>\n" + turn("user", "u") + turn("system", "later"),
+        ),
+        # an empty call list is a plain turn
+        ([("user", "u", None), ("assistant", "a", [])], default + turn("user", "u") + turn("assistant", "a")),
     ]
-    rows = [([(m["role"], m.get("content"), [tuple(c.values()) for c in m["tool_calls"]] if "tool_calls" in m else None) for m in c],) for c in chats]
     kind = schemas.TOOL_MESSAGE.simpleString()
-    df = spark.createDataFrame(rows, f"messages array<{kind}>")
-    tools = ['{"type": "function"}', '{"type": "other"}']
+    df = spark.createDataFrame([(c,) for c, _ in cases], f"messages array<{kind}>")
     got = [r[0] for r in df.select(H.render_chatml_tools(F.col("messages"), tools)).collect()]
-    assert got == [expected_tools(c, tools) for c in chats]
+    assert got == [text for _, text in cases]
 
 
 def test_flatten(spark):

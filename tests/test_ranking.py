@@ -67,10 +67,13 @@ def test_shuffle_seeded(spark):
     assert [r.id for r in R.shuffle_seeded(spark.range(50), "id", 7).collect()] == order(range(50), 7)
 
 
-def test_input_rank_with_ties_in_pieces_nulls_and_negatives(spark):
+def test_input_rank_with_nulls_and_negatives(spark, monkeypatch):
     ids = [None, -5, -1, 0, 3, 4, 10**12]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
     assert {r.id: r["rank"] for r in R.input_rank(df, "id", pieces=3).collect()} == {i: at for at, i in enumerate(ids)}
+    assert {r.id: r["rank"] for r in R.input_rank(df, "id").collect()} == {i: at for at, i in enumerate(ids)}
+    monkeypatch.setattr(R, "PIECE_ROWS", 10)
+    assert R.input_rank(spark.range(200), "id").where("rank = id").count() == 200
     same = spark.createDataFrame([(5,)], "id long")
     assert R.input_rank(same, "id").first()["rank"] == 0
     assert R.input_rank(spark.range(0), "id").count() == 0
