@@ -99,8 +99,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return mark_duplicates(keys, "text_sha256", id_col)
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each text; all columns stay.
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
+    """The documents with one row of each text, that of the largest (or smallest) id; all columns stay.
 
     Rows that cannot be repeats pass straight through. Possible repeats meet the winners of their
     groups on text and id together, so a large group is spread over its ids. Of rows that repeat id
@@ -112,8 +112,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     flagged = flag_repeats(keys.select(sha), sha)
     maybe, other, keep = free(keyed, "maybe", "group_key", "group_keep")
     marked = flagged(keyed, maybe)
+    best = F.max(id_col) if largest else F.min(id_col)
     winners = (
-        flagged(keys, maybe).where(maybe).groupBy(sha).agg(F.max(id_col).alias(keep)).select(F.col(sha).alias(other), keep)
+        flagged(keys, maybe).where(maybe).groupBy(sha).agg(best.alias(keep)).select(F.col(sha).alias(other), keep)
     )
     alone = marked.where(~F.col(maybe)).select(*docs.columns)
     shared = (

@@ -58,3 +58,45 @@ def _(spark, folder):
     from .sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, folder, "documents"))
+
+
+@query("op7_language_id")
+def _(spark, folder):
+    from .language import predict
+
+    return predict(table(spark, folder, "documents"))
+
+
+@query("op3_sentencepiece")
+def _(spark, folder):
+    from .pieces import encoded_digest
+
+    return encoded_digest(table(spark, folder, "documents"))
+
+
+@query("op6_jaccard_join")
+def _(spark, folder):
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_suffix_dedup")
+def _(spark, folder):
+    from .suffixes import repeats_digest
+
+    return repeats_digest(table(spark, folder, "documents"))
+
+
+@query("op9_html_extraction")
+def _(spark, folder):
+    from .pages import extract
+
+    return extract(table(spark, folder, "pages"))
+
+
+@query("op10_topk")
+def _(spark, folder):
+    from .vectors import top_k
+
+    return top_k(table(spark, folder, "embeddings"))
