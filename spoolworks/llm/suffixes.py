@@ -29,7 +29,7 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams of one string
 SHALLOW = 32
 #: Texts longer than this are read in parts that overlap by a string less a byte.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 BUNDLE_BYTES = 8 << 20
 WINDOWS = 400_000
 #: An anchor met so often is dealt by single strings instead of by anchor.
