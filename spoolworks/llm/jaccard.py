@@ -26,6 +26,9 @@ SKETCH_PARTS = 64
 #: Documents of one tile; larger groups become several tiles.
 TILE = 20_000
 GROUP_KEYS = 500_000
+#: One element in so many is a key besides the first fifth. Linked sets share as many keys more, so a set
+#: that only shares a passage or a chance key with others is told apart before anything else moves.
+MORE_SHARE = 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,11 +64,21 @@ def needed(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     """Two linked sets share one of so many first elements in any common order."""
     return n - -(-PERCENT * n // 100) + 1
 
 
+def more_keys(n):
+    """With so many elements more, linked sets share so many more of their first elements."""
+    return n // MORE_SHARE
+
+
+def least_shared(n):
+    """Least number of first elements that a set of n shares with any set it links with, the smaller one counting."""
+    return 1 + more_keys(-(-PERCENT * n // 100))
+
+
 def signature(values: np.ndarray) -> bytes:
     """A bitmap of hashed elements, about one bit for each element, 64 to 4096 bits."""
     bits = min(4096, max(64, 1 << int(len(values) - 1).bit_length()))
@@ -145,14 +158,15 @@ def _sets_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     seen.add(tag)
                     order = np.argsort(level[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     bits.append(signature(own))
-                    keys.append(own[order[: prefix_length(len(own))]].view(np.int64))
+                    keys.append(own[order[: prefix_length(len(own)) + more_keys(len(own))]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes), pa.array(tags, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "n", "tag", "bits", "keys"],
+                    [part.column("id"), part.column("hash"), pa.array(sizes), pa.array(tags, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "hash", "n", "tag", "bits", "keys"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, tag long, bits binary, keys array<long>")
+    rows = docs.select("id", "text", F.xxhash64("text").alias("hash"))
+    return rows.mapInArrow(run, f"id {kind}, hash long, n long, tag long, bits binary, keys array<long>")
 
 
 def _pack_keys(slice_bits: int):
@@ -319,12 +333,17 @@ def _candidate_links(sets: DataFrame, levels: np.ndarray, tile: int) -> DataFram
     bundles = max(8, int(total // GROUP_KEYS) + 1)
 
     def spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each key that another set may hold; sets of a very frequent key go to pairs of blocks of it."""
+        """A row for each key of the first fifth that another set may hold, of sets that may share enough keys;
+        sets of a very frequent key go to pairs of blocks of it."""
         for batch in batches:
             count = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False)
             keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(batch.num_rows), count)
             live = sieve.may_repeat(shared.value, keys)
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            enough = np.bincount(row[live], minlength=batch.num_rows) >= least_shared(n)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+            live &= enough[row] & (place < prefix_length(n)[row])
             keys, row = keys[live], row[live]
             level = ranks.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             blocks = np.maximum(1, np.ceil(2.0 ** (level / 4.0) / tile)).astype(np.int64)
@@ -396,34 +415,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty ones among them, link with nothing. Repeated rows get a row each. An empty table gives an
     empty table.
 
-    Sets that link share one of their first fifth of elements, rare ones first. Keys that two
-    sets hold make tiles; within a tile a pair is left only if sizes and bitmaps allow a link. Such
+    Sets that link share one of their first fifth of elements, rare ones first, and a twentieth of all among
+    the first quarter. Keys that two sets hold make tiles for the sets with enough of them; within a tile a pair is left only if sizes and bitmaps allow a link. Such
     pairs join sets to clusters, and within clusters sorted arrays are intersected exactly,
     pairs already joined being left out. Equal sets are one set from the start.
     """
+    return _grouped(docs, id_col, text_col, tile).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, tile: int) -> DataFrame:
+    """id, hash (of the text), n, component_id, and first: whether the row is the one that its component keeps."""
     plain = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     levels = frequency_levels(plain)
     sets = write_through(_sets_table(plain, levels), "shingle_sets")
     clusters = write_through(components(_candidate_links(sets, levels, tile)), "clusters")
     joined = components(_true_links(plain, sets, clusters, tile))
-    least = sets.where("tag is not null").groupBy("tag").agg(F.min("id").alias("least"), F.first("tag").alias("set_tag")).drop("tag")
-    rooted = least.join(joined, F.col("set_tag") == F.col("node"), "left").select(
-        "set_tag", "least", F.coalesce("root", "set_tag").alias("root")
-    )
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.first("root").alias("of_root")).drop("root")
-    named = write_through(rooted.join(names, F.col("root") == F.col("of_root")).select("set_tag", "component_id"), "components")
+    place = F.struct(F.col("id").isNull().alias("unknown"), "id", "hash")  # a null id is last
+    least = sets.where("tag is not null").groupBy("tag").agg(F.min(place).alias("least"), F.first("tag").alias("set_tag")).drop("tag")
+    rooted = least.join(joined, F.col("set_tag") == F.col("node"), "left").select("set_tag", "least", F.coalesce("root", "set_tag").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("kept"), F.first("root").alias("of_root")).drop("root")
+    named = write_through(rooted.join(names, F.col("root") == F.col("of_root")).select("set_tag", "kept"), "components")
     return sets.join(named, F.col("tag") == F.col("set_tag"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        "id",
+        "hash",
+        "n",
+        F.when(F.col("n") > 0, F.col("kept.id")).otherwise(F.col("id")).alias("component_id"),
+        ((F.col("n") == 0) | (place == F.col("kept"))).alias("first"),
     )
 
 
-def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each group of near duplicates: the one with the least id; all columns stay.
+def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """The documents with one of each group of near duplicates, that of the least id; all columns stay.
 
-    Rows that repeat an id and text are one document and stay or go together, but for the id null,
-    which is kept.
+    Of different texts under one id that of the least hash counts as the first. Rows that repeat id and text are one
+    document and stay or go together. Texts without words all stay.
     """
-    (other,) = free(docs, "dropped_id")
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(other)).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col(other), "left_anti")
+    gone_id, gone_hash = free(docs, "gone_id", "gone_hash")
+    gone = _grouped(docs, id_col, text_col, tile).where(~F.col("first")).select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(whole(text_col)) == F.col(gone_hash))
+    return docs.join(gone, same, "left_anti")
