@@ -94,20 +94,32 @@ def render_chatml(
     return with_generation_prompt(text) if generation_prompt else text
 
 
-def render_chatml_tools(messages: Column, tools: list | None = None, generation_prompt: bool = False) -> Column:
+def render_chatml_tools(
+    messages: Column, tools: list | None = None, generation_prompt: bool = False, call_form: str = "flat"
+) -> Column:
     """ChatML with a tool list, assistant tool calls and grouped tool answers.
 
     Messages are ``struct<role, content, tool_calls: array<struct<name, arguments>>>`` where
-    ``arguments`` is JSON text, so its key order is the source's.
+    ``arguments`` is JSON text, so its key order is the source's. With ``call_form="function"`` a
+    call is ``struct<function: struct<name, arguments>>``; with ``"either"`` it has all three fields and
+    ``function`` wins where it is present.
     """
+    if call_form not in ("flat", "function", "either"):
+        raise ValueError(f"call_form must be flat, function or either, not {call_form!r}")
+
+    def of(call: Column, field: str) -> Column:
+        if call_form == "flat":
+            return call[field]
+        inner = call["function"][field]
+        return inner if call_form == "function" else F.when(call["function"].isNotNull(), inner).otherwise(call[field])
 
     def calls(m: Column) -> Column:
         return F.array_join(
             F.transform(
                 m["tool_calls"],
                 lambda c: F.concat(
-                    F.lit('\n<tool_call>\n{"name": "'), c["name"],
-                    F.lit('", "arguments": '), c["arguments"], F.lit("}\n</tool_call>"),
+                    F.lit('\n<tool_call>\n{"name": "'), of(c, "name"),
+                    F.lit('", "arguments": '), of(c, "arguments"), F.lit("}\n</tool_call>"),
                 ),
             ),
             "",

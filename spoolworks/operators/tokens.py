@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import PAD_TOKEN_ID
 from ..functions import tokens as K
@@ -18,24 +14,6 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "input_ids") -> DataF
     return df.withColumn(out, K.encode(K.split_tokens(F.col(text))))
 
 
-def tokenize_with_file(df: DataFrame, tokenizer_json: str, text: str = "text", out: str = "input_ids") -> DataFrame:
-    """Unpadded ids by a caller's tokenizer file, Arrow batch by Arrow batch."""
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        for texts in batches:
-            encoded = tokenizer.encode_batch(texts.fillna("").tolist())
-            yield pd.Series([e.ids for e in encoded])
-
-    return df.withColumn(out, ids(F.col(text)))
-
-
 def pad_to_length(df: DataFrame, length: int, pad_id: int = PAD_TOKEN_ID, ids: str = "input_ids") -> DataFrame:
     """Ids and mask, both exactly ``length`` long."""
     raw = F.col(ids)
@@ -83,20 +61,30 @@ def mask_pad_labels(df: DataFrame, pad_id: int = PAD_TOKEN_ID, mask_only_tail: b
     return df.withColumn("labels", K.mask_value(ids, pad_id))
 
 
+def batch_lengths(sizes: DataFrame, batch: str = "batch_id", size: str = "n_tokens", multiple_of: int | None = None) -> DataFrame:
+    """``batch, padded_length``: the longest row of each batch, a maximum that combines before the shuffle."""
+    longest = F.max(size)
+    return sizes.groupBy(batch).agg((K.round_up(longest, multiple_of) if multiple_of else longest).alias("padded_length"))
+
+
+def pad_to_column(df: DataFrame, target: str = "padded_length", pad_id: int = PAD_TOKEN_ID) -> DataFrame:
+    """Ids and mask as long as a column says, nothing cut."""
+    raw = F.col("input_ids")
+    return df.withColumns({
+        "attention_mask": K.attention_mask(raw, F.col(target)),
+        "input_ids": K.pad_to(raw, F.col(target), pad_id),
+    })
+
+
 def pad_to_batch_longest(
     df: DataFrame, batch: str = "batch_id", pad_id: int = PAD_TOKEN_ID, multiple_of: int | None = None
 ) -> DataFrame:
-    """Pads each batch to its longest row, nothing cut; a batch is a bounded group by construction."""
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))
-    target = K.round_up(longest, multiple_of) if multiple_of else longest
-    raw = F.col("input_ids")
-    return (
-        df.withColumn("padded_length", target)
-        .withColumns({
-            "attention_mask": K.attention_mask(raw, F.col("padded_length")),
-            "input_ids": K.pad_to(raw, F.col("padded_length"), pad_id),
-        })
-    )
+    """Pads each batch to its longest row, nothing cut; a batch is a bounded group by construction.
+
+    Only sizes are aggregated; the rows meet their batch's length in one join.
+    """
+    lengths = batch_lengths(df.select(batch, F.size("input_ids").alias("n_tokens")), batch, multiple_of=multiple_of)
+    return pad_to_column(df.join(lengths, batch), pad_id=pad_id)
 
 
 def flag_overlength(df: DataFrame, length: int, ids: str = "input_ids") -> DataFrame:
@@ -109,14 +97,14 @@ def default_pad_token(config: DataFrame, pad: str = "pad_token_id", eos: str = "
 
 
 def special_token_ids(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per special token in the text, with its position among all tokens and fixed id."""
-    tokens = K.split_tokens(F.col(text))
+    """One row per special token in the text, with its position among all tokens and fixed id.
+
+    Tokens are filtered with their positions in place; only the special ones become rows.
+    """
     rest = [c for c in df.columns if c != text]
-    return (
-        df.select(*rest, F.posexplode(tokens).alias("position", "token"))
-        .withColumn("id", K.special_token_id(F.col("token")))
-        .where(F.col("id").isNotNull())
-    )
+    placed = F.transform(K.split_tokens(F.col(text)), lambda t, i: F.struct(i.alias("position"), t.alias("token"), K.special_token_id(t).alias("id")))
+    hits = F.filter(placed, lambda p: p["id"].isNotNull())
+    return df.select(*rest, F.explode(hits).alias("__hit")).select(*rest, "__hit.position", "__hit.token", "__hit.id")
 
 
 def joined(ids: Column) -> Column:

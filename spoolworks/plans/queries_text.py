@@ -15,14 +15,12 @@ from ..operators import steps as S
 from ..operators import tokens as K
 from ..operators.filters import quarantine_bad_rows, require_rows
 from ..operators.ranking import shuffle_rank
-from ..session import spread
 from .catalog import query
 from .standins import V_INSTRUCTION
 from .text_data import prepare_chat_tokens, prepare_instruction_tokens
-from .turns import PART_TURNS, render_turns
+from .turns import first_two_turns, min_turns, render_turns
 
 ID = ["conv_id", "turn"]
-PART = f"CAST(floor(turn / {PART_TURNS}.0) AS BIGINT)"
 WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in STRIP_CHARS) + ")"
 SYS = f"<|im_start|>system\n{DEFAULT_SYSTEM_TEXT}<|im_end|>\n"
 TOOLS = [{"type": "function", "function": {"name": "lookup", "parameters": {"type": "object"}}}]
@@ -37,9 +35,8 @@ def _(t):
     return P.dolly_to_instruction(raw, ID)
 
 
-FIRST_TWO = f"""heads AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, text
-  FROM conversations WHERE turn < {PART_TURNS})"""
+FIRST_TWO = """heads AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, text FROM conversations)"""
 
 
 @query(
@@ -49,16 +46,26 @@ FIRST_TWO = f"""heads AS (
     (FIRST_TWO,),
 )
 def _(t):
-    return P.chat_to_instruction(t.messages.where("part = 0"), ["conv_id"])
+    return first_two_turns(t.conversations)
 
 
 @query(
     "min_messages",
-    f"""SELECT conv_id, {PART} AS part, COUNT(*) AS n_messages FROM conversations
-        GROUP BY 1, 2 HAVING COUNT(*) >= 2""",
+    "SELECT conv_id, COUNT(*) AS n_messages FROM conversations GROUP BY 1 HAVING COUNT(*) >= 2",
 )
 def _(t):
-    return P.min_messages(t.messages).select("conv_id", "part", F.size("messages").cast("long").alias("n_messages"))
+    return min_turns(t.conversations)
+
+
+@query(
+    "chat_messages",
+    """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS lines
+       FROM conversations GROUP BY 1 HAVING COUNT(*) >= 2""",
+)
+def _(t):
+    chats = P.min_messages(t.messages)
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return chats.select("conv_id", F.array_join(lines, "\n").alias("lines"))
 
 
 @query(
@@ -157,10 +164,10 @@ def _(t):
     return P.format_template(rows, "### Q {{{instruction}}}\n### A\n", "{output}</s>", keep=ID)
 
 
-CHATML_SQL = f"""SELECT conv_id, {PART} AS part, string_agg(
-    CASE WHEN turn = 0 AND role <> 'system' THEN '{SYS}' ELSE '' END
-    || '<|im_start|>' || role || '\n' || text || '<|im_end|>\n', '' ORDER BY turn) AS text
-  FROM conversations GROUP BY 1, 2"""
+CHATML_SQL = f"""SELECT conv_id,
+    CASE WHEN min_by(role, turn) <> 'system' THEN '{SYS}' ELSE '' END
+    || string_agg('<|im_start|>' || role || '\n' || text || '<|im_end|>\n', '' ORDER BY turn) AS text
+  FROM conversations GROUP BY 1"""
 
 
 @query("render_chatml", CHATML_SQL)
@@ -170,43 +177,53 @@ def _(t):
 
 @query(
     "generation_prompt",
-    f"""SELECT conv_id, part, text || CASE WHEN part = max(part) OVER (PARTITION BY conv_id)
-          THEN '<|im_start|>assistant\n' ELSE '' END AS text FROM ({CHATML_SQL}) q""",
+    f"SELECT conv_id, text || '<|im_start|>assistant\n' AS text FROM ({CHATML_SQL}) q",
 )
 def _(t):
     return render_turns(t.conversations, generation_prompt=True)
 
 
-@query(
-    "render_chatml_tools",
-    f"""SELECT conv_id, turn,
+TOOLS_SQL = f"""SELECT conv_id, turn,
       '<|im_start|>system\n' || CASE WHEN input <> '' THEN input ELSE '{DEFAULT_SYSTEM_TEXT}' END
       || '{TOOLS_HEADER}{TOOL_TEXT}{TOOLS_FOOTER}'
       || '<|im_start|>user\n' || instruction || '<|im_end|>\n'
       || '<|im_start|>assistant\n<tool_call>\n{{"name": "lookup", "arguments": {{"turn": ' || turn || '}}}}\n</tool_call><|im_end|>\n'
       || '<|im_start|>user\n<tool_response>\n' || length(output) || '\n</tool_response>\n<tool_response>\n' || output || '\n</tool_response><|im_end|>\n'
-      || '<|im_start|>assistant\n' || output || '<|im_end|>\n' AS text FROM v_instruction""",
-    (V_INSTRUCTION,),
-)
-def _(t):
-    none = F.lit(None).cast("array<struct<name:string,arguments:string>>")
+      || '<|im_start|>assistant\n' || output || '<|im_end|>\n' AS text FROM v_instruction"""
+
+
+def tool_chats(t, wrapped: bool):
+    """Chats in which the assistant calls a tool; the call is plain or inside ``function``."""
     arguments = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))
-    call = F.array(F.struct(F.lit("lookup").alias("name"), arguments.alias("arguments")))
+    call = F.struct(F.lit("lookup").alias("name"), arguments.alias("arguments"))
+    kind = "struct<name:string,arguments:string>"
+    call, kind = (F.struct(call.alias("function")), f"struct<function:{kind}>") if wrapped else (call, kind)
+    none = F.lit(None).cast(f"array<{kind}>")
 
     def m(role, content, calls=none):
         return F.struct(F.lit(role).alias("role"), content.alias("content"), calls.alias("tool_calls"))
 
     chat = F.array(
         m("user", F.col("instruction")),
-        m("assistant", F.lit(None).cast("string"), call),
+        m("assistant", F.lit(None).cast("string"), F.array(call)),
         m("tool", F.length("output").cast("string")),
         m("tool", F.col("output")),
         m("assistant", F.col("output")),
     )
     system = F.array(m("system", F.col("input")))
     messages = F.when(F.col("input") != "", F.concat(system, chat)).otherwise(chat)
-    rows = t.instruction.select(*ID, messages.alias("messages"))
-    return rows.select(*ID, H.render_chatml_tools(F.col("messages"), TOOLS).alias("text"))
+    return t.instruction.select(*ID, messages.alias("messages"))
+
+
+@query("render_chatml_tools", TOOLS_SQL, (V_INSTRUCTION,))
+def _(t):
+    return tool_chats(t, wrapped=False).select(*ID, H.render_chatml_tools(F.col("messages"), TOOLS).alias("text"))
+
+
+@query("render_chatml_function_calls", TOOLS_SQL, (V_INSTRUCTION,))
+def _(t):
+    text = H.render_chatml_tools(F.col("messages"), TOOLS, call_form="function")
+    return tool_chats(t, wrapped=True).select(*ID, text.alias("text"))
 
 
 # ---- text helpers -----------------------------------------------------------------------------
@@ -306,7 +323,7 @@ LENGTH = 512
         FROM (SELECT doc_id, {ids_sql('text')} AS ids FROM documents) q""",
 )
 def _(t):
-    rows = K.tokenize_pad(spread(t.documents.select("doc_id", "text")), LENGTH)
+    rows = K.tokenize_pad(t.documents.select("doc_id", "text"), LENGTH)
     return rows.select(
         "doc_id", K.joined(F.col("input_ids")).alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_real"),
@@ -316,7 +333,7 @@ def _(t):
 
 @query("tokenize", f"SELECT doc_id, array_to_string({ids_sql('text')}, ' ') AS input_ids FROM documents")
 def _(t):
-    rows = K.tokenize(spread(t.documents.select("doc_id", "text")))
+    rows = K.tokenize(t.documents.select("doc_id", "text"))
     return rows.select("doc_id", K.joined(F.col("input_ids")).alias("input_ids"))
 
 
@@ -361,10 +378,12 @@ BATCH = 8
                     FROM (SELECT doc_id, {ids_sql('text')} AS ids FROM documents) a) b) c""",
 )
 def _(t):
-    ranked = shuffle_rank(t.documents.select("doc_id", "text"), "doc_id")
-    rows = S.assign_steps(ranked, batch_size=BATCH).withColumnRenamed("micro", "batch_id")
-    padded = K.pad_to_batch_longest(K.tokenize(rows), multiple_of=8)
-    return padded.select("doc_id", "batch_id", "padded_length", K.joined(F.col("input_ids")).alias("input_ids"))
+    # ids and token counts are ranked; the texts meet their batch's length once, and are tokenised after that
+    sizes = t.documents.select("doc_id", F.size(TK.split_tokens(F.col("text"))).alias("n_tokens"))
+    batches = S.assign_steps(shuffle_rank(sizes, "doc_id"), batch_size=BATCH).withColumnRenamed("micro", "batch_id")
+    lengths = batches.join(K.batch_lengths(batches, multiple_of=8), "batch_id").select("doc_id", "batch_id", "padded_length")
+    rows = K.tokenize(t.documents.select("doc_id", "text").join(lengths, "doc_id"))
+    return K.pad_to_column(rows).select("doc_id", "batch_id", "padded_length", K.joined(F.col("input_ids")).alias("input_ids"))
 
 
 @query(
@@ -372,7 +391,7 @@ def _(t):
     f"""SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, len({TOKENS.format('text')}) > {LENGTH} AS over_length FROM documents""",
 )
 def _(t):
-    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", TK.split_tokens(F.col("text")).alias("input_ids"))
+    rows = t.documents.select("doc_id", "text").select("doc_id", TK.split_tokens(F.col("text")).alias("input_ids"))
     flagged = K.flag_overlength(rows, LENGTH)
     return flagged.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "over_length")
 

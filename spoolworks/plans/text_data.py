@@ -21,7 +21,7 @@ def instruction_records(df: DataFrame, n: int, key: str, seed: int = 42, keep: S
 
 
 def prepare_chat_tokens(
-    df: DataFrame, length: int = 2048, tokenizer_json: str | None = None, tools: list | None = None,
+    df: DataFrame, length: int = 2048, tools: list | None = None,
     pad_id: int = PAD_TOKEN_ID, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Any supported text format to ``input_ids, attention_mask, labels``; one pass, no shuffle."""
@@ -37,22 +37,14 @@ def prepare_chat_tokens(
     else:
         text = render_chatml(F.col("messages"))
     rows = chats.select(*keep, text.alias("text"))
-    if tokenizer_json:
-        tokens = K.pad_to_length(K.tokenize_with_file(rows, tokenizer_json), length, pad_id)
-    else:
-        tokens = K.tokenize_pad(rows, length, pad_id=pad_id)
+    tokens = K.tokenize_pad(rows, length, pad_id=pad_id)
     return K.mask_pad_labels(tokens, pad_id).select(*keep, "input_ids", "attention_mask", "labels")
 
 
 def prepare_instruction_tokens(
-    df: DataFrame, length: int = 2048, include_input: bool = True, tokenizer_json: str | None = None,
+    df: DataFrame, length: int = 2048, include_input: bool = True,
     pad_id: int = PAD_TOKEN_ID, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Instruction records to turn markup and tokens with the prompt ignored in the loss."""
     rows = P.format_gemma_turns(df, include_input, keep)
-    if tokenizer_json:
-        ids = K.tokenize_with_file(rows, tokenizer_json)
-        ids = K.tokenize_with_file(ids, tokenizer_json, "prompt", "prompt_ids")
-        tokens = K.pad_to_length(ids, length, pad_id)
-        return K.mask_prompt_labels(tokens, prompt_ids="prompt_ids").drop("prompt_ids")
     return K.mask_prompt_labels(K.tokenize_pad(rows, length, pad_id=pad_id))

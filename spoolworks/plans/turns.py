@@ -1,67 +1,87 @@
-"""Chats from turn rows, safe for a chat of any length.
+"""Chats from turn rows: one record per chat, whatever its length.
 
-A chat is cut into parts by its turn number. A part is bounded, so a chat that holds a
-large share of all turns is worked on by many tasks. Ordinary chats are one part, number 0.
+The sorting and joining of a long chat is spread over bounded parts of its turns; only finished
+parts meet in the record that the chat is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SYSTEM_TEXT
 from ..functions.chat import chatml_turn, with_generation_prompt
 
 PART_TURNS = 1024
+#: Bytes of text that one record may hold; a longer chat is an error that names it.
+RECORD_BYTES = 1 << 30
 
 
 def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     return turns.withColumn("part", F.floor(F.col("turn") / part_turns))
 
 
-def turns_to_messages(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """``conv_id, part, messages`` with the messages of a part in turn order."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+def require_record_size(turns: DataFrame, limit: int = RECORD_BYTES) -> DataFrame:
+    """The turns, or an error that names a chat whose text does not fit one record."""
+    sizes = turns.groupBy("conv_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
+    largest = sizes.agg(F.max(F.struct("bytes", F.col("conv_id").cast("string").alias("chat")))).scalar()
+    message = F.concat(F.lit("chat "), largest["chat"], F.lit(" has "), largest["bytes"].cast("string"), F.lit(f" bytes of text, more than {limit}"))
+    return turns.where(F.when(largest["bytes"] > limit, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
+def min_turns(turns: DataFrame, n: int = 2) -> DataFrame:
+    """``conv_id, n_messages`` of chats with at least ``n`` turns; counts combine before the shuffle."""
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages")).where(F.col("n_messages") >= n)
+
+
+def first_two_turns(turns: DataFrame) -> DataFrame:
+    """First two turns of each chat as instruction and output; shorter chats are left out.
+
+    Spark keeps two turns of each chat on either side of the shuffle.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    leading = turns.select("conv_id", "turn", "text").withColumn("place", F.row_number().over(order)).where("place <= 2")
+
+    def at(place: int) -> Column:
+        return F.max(F.when(F.col("place") == place, F.struct("text")))
+
     return (
-        with_part(turns, part_turns)
-        .groupBy("conv_id", "part")
-        .agg(ordered.alias("__t"))
-        .select(
-            "conv_id", "part",
-            F.transform("__t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"),
-        )
+        leading.groupBy("conv_id")
+        .agg(F.count(F.lit(1)).alias("n"), at(1).alias("first"), at(2).alias("second"))
+        .where("n = 2")
+        .select("conv_id", F.col("first.text").alias("instruction"), F.lit("").alias("input"), F.col("second.text").alias("output"))
+    )
+
+
+def turns_to_messages(turns: DataFrame, part_turns: int = PART_TURNS, limit: int = RECORD_BYTES) -> DataFrame:
+    """``conv_id, messages`` with the messages of a chat in turn order."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    parts = with_part(require_record_size(turns, limit), part_turns).groupBy("conv_id", "part").agg(ordered.alias("ts"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ts"))), lambda p: p["ts"]))
+    return parts.groupBy("conv_id").agg(whole.alias("ts")).select(
+        "conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")
     )
 
 
-def render_turns(turns: DataFrame, part_turns: int = PART_TURNS, generation_prompt: bool = False) -> DataFrame:
-    """ChatML text of every chat part; the parts of a chat in order make the whole chat.
+def render_turns(turns: DataFrame, part_turns: int = PART_TURNS, generation_prompt: bool = False, limit: int = RECORD_BYTES) -> DataFrame:
+    """``conv_id, text``: the ChatML text of every chat.
 
-    Every turn is rendered where it lies, before the shuffle; only finished pieces are
-    gathered. ``generation_prompt`` closes the last part of each chat.
+    Every turn is rendered where it lies, before the shuffle. Pieces are joined per part, and the
+    texts of the parts per chat.
     """
     shown = F.col("role").isin("user", "assistant", "system")
     piece = F.when(shown, chatml_turn(F.col("role"), F.col("text"))).otherwise(F.lit(""))
-    pieces = with_part(turns, part_turns).select("conv_id", "part", F.struct("turn", "role", piece.alias("piece")).alias("p"))
-    gathered = pieces.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    # a system turn that comes first is the header already
-    no_header = (F.col("part") > 0) | (F.get("ps", F.lit(0))["role"] == "system")
-    header = F.when(no_header, F.lit("")).otherwise(chatml_turn(F.lit("system"), F.lit(DEFAULT_SYSTEM_TEXT)))
-    rendered = gathered.select(
-        "conv_id", "part",
-        F.concat(header, F.array_join(F.transform("ps", lambda p: p["piece"]), "")).alias("text"),
-    )
-    if not generation_prompt:
-        return rendered
-    last = (
-        turns.groupBy("conv_id")
-        .agg(F.floor(F.max("turn") / part_turns).alias("part"))
-        .withColumn("__last", F.lit(True))
-    )
-    # joined by part as well, so the text of a long chat stays spread
-    return rendered.join(last, ["conv_id", "part"], "left").select(
-        "conv_id", "part",
-        F.when(F.col("__last"), with_generation_prompt(F.col("text"))).otherwise(F.col("text")).alias("text"),
+    pieces = with_part(require_record_size(turns, limit), part_turns).select("conv_id", "part", "turn", "role", piece.alias("piece"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "piece"))), lambda p: p["piece"]), "")
+    parts = pieces.groupBy("conv_id", "part").agg(F.min_by(F.coalesce("role", F.lit("")), "turn").alias("role"), joined.alias("text"))
+    whole = parts.groupBy("conv_id").agg(
+        F.min_by("role", "part").alias("opens"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("body"),
     )
+    # a system turn that comes first is the header already
+    header = F.when(F.col("opens") == "system", F.lit("")).otherwise(chatml_turn(F.lit("system"), F.lit(DEFAULT_SYSTEM_TEXT)))
+    text = F.concat(header, F.col("body"))
+    return whole.select("conv_id", (with_generation_prompt(text) if generation_prompt else text).alias("text"))
 
 
 def question_answer_pairs(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:

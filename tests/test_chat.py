@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spoolworks import schemas
@@ -98,12 +99,34 @@ def test_parts_do_not_change_pairs(spark):
 def test_parts_join_to_the_whole_chat(spark):
     turns = long_chats(spark)
 
-    def joined(size):
-        parts = {}
-        for r in TT.render_turns(turns, size, generation_prompt=True).collect():
-            parts.setdefault(r.conv_id, []).append((r.part, r.text))
-        return {k: "".join(t for _, t in sorted(v)) for k, v in parts.items()}
+    def texts(size):
+        return {r.conv_id: r.text for r in TT.render_turns(turns, size, generation_prompt=True).collect()}
 
-    whole = joined(10_000)
+    whole = texts(10_000)
     assert whole[3] == turn("system", SYSTEM) + turn("user", "only") + "<|im_start|>assistant\n"
-    assert joined(7) == whole and joined(64) == whole
+    assert texts(7) == whole and texts(64) == whole
+    messages = {r.conv_id: [m.content for m in r.messages] for r in TT.turns_to_messages(turns, 7).collect()}
+    assert messages[2] == ["g0", "g70", "g71", "g200", "g201"] and messages[1] == [f"t{i}" for i in range(300)]
+
+
+@pytest.mark.parametrize("n", [1024, 1025, 3000])
+def test_chats_beyond_a_part_are_one_row(spark, n):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(n)] + [(2, 0, "user", "a"), (2, 1500, "assistant", "b"), (3, 5, "user", "one")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.n_messages for r in TT.min_turns(turns).collect()} == {1: n, 2: 2}
+    assert sorted(map(tuple, TT.first_two_turns(turns).collect())) == [(1, "t0", "", "t1"), (2, "a", "", "b")]
+    text = {r.conv_id: r.text for r in TT.render_turns(turns).collect()}
+    assert text[1] == turn("system", SYSTEM) + "".join(turn(r, t) for _, _, r, t in rows[:n])
+    assert text[2] == turn("system", SYSTEM) + turn("user", "a") + turn("assistant", "b")
+
+
+def test_a_chat_too_large_for_a_record_is_named(spark):
+    with pytest.raises(Exception, match="chat 1 has"):
+        TT.render_turns(long_chats(spark), limit=100).collect()
+
+
+def test_function_form_of_calls(spark):
+    kind = "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string,function:struct<name:string,arguments:string>>>>>"
+    chat = [("user", "u", None), ("assistant", None, [(None, None, ("f", "{}")), ("g", "[]", None)])]
+    text = spark.createDataFrame([(chat,)], f"messages {kind}").select(H.render_chatml_tools(F.col("messages"), call_form="either")).first()[0]
+    assert '{"name": "f", "arguments": {}}' in text and '{"name": "g", "arguments": []}' in text

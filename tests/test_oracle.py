@@ -30,5 +30,5 @@ def test_every_library_query_has_sql():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["conv_id", "part", "text"]
+    assert df.columns == ["conv_id", "text"]
     assert df.count() == 20

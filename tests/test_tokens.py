@@ -1,4 +1,3 @@
-import json
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +7,8 @@ from pyspark.sql import functions as F
 from spoolworks.constants import PAD_TOKEN_ID as PAD
 from spoolworks.functions import tokens as TK
 from spoolworks.operators import tokens as K
+from spoolworks.plans.catalog import load
+from spoolworks.plans.standins import Tables
 
 
 def frame(spark, rows, schema="text string"):
@@ -63,15 +64,23 @@ def test_default_pad(spark):
     assert [r.pad_token_id for r in K.default_pad_token(df).collect()] == [7, 3]
 
 
-def test_tokenizer_file(spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[UNK]": 0, "a": 1, "b": 2}, unk_token="[UNK]"))
-    t.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    assert json.loads(t.to_str())
-    df = K.tokenize_with_file(frame(spark, ["a b c", "", None, "b"]), t.to_str())
-    assert [r.input_ids for r in df.collect()] == [[1, 2, 0], [], [], [2]]
-    padded = K.pad_to_length(df, 2, pad_id=9).collect()
-    assert [r.input_ids for r in padded] == [[1, 2], [9, 9], [9, 9], [2, 9]]
+@pytest.mark.parametrize("name,wide", [("pad_to_batch_longest", ("text", "input_ids")), ("split_caption_records", ("caption", "output", "text"))])
+def test_wide_columns_cross_one_shuffle(spark, name, wide):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = load()[name].run(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan()
+        moved, open_ = [], [plan]
+        while open_:
+            node = open_.pop()
+            open_ += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                moved.append({node.output().apply(i).name() for i in range(node.output().size())} & set(wide))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # split_caption_records: one for the existence of the file, one for the split
+    assert sum(map(bool, moved)) == (1 if name == "pad_to_batch_longest" else 2), moved
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
