@@ -14,16 +14,18 @@ Both need the order key to be unique, as a list position is.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOPK_LIMIT = 100_000  # largest n given to a top-k sort
+TOPK_LIMIT = 100_000  # largest n that is left to a top-k sort unless the method is named
 HOT_ROWS = 1_000_000  # groups up to this size are ranked in one piece
-HOT_GROUPS = 10_000  # no more groups than this can be hot
-PIECE_ROWS = 250_000  # rows of one quantile piece, until there are MAX_PIECES
-MAX_PIECES = 8192
+PIECE_ROWS = 250_000  # rows of one piece of an order, whatever the number of rows
+MAX_CUTS = 4096  # quantiles that come to the driver; more pieces come from dividing their ranges
+IMAGE_BYTES = 6  # bytes of a text key, after what all keys share, that place it
 
 
 def seeded_hash(key: Column, seed: int = 42) -> Column:
@@ -36,33 +38,66 @@ def hash_head(hashed: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
-def hash_segment(hashed: Column, digits: int = 4) -> Column:
+def hash_segment(hashed: Column, digits: int | Column = 4) -> Column:
     """Leading hex digits: equal-sized, order-preserving pieces of an md5 order, 65,536 of them at four."""
-    return F.substring(hashed, 1, digits)
+    return F.substr(hashed, F.lit(1), digits if isinstance(digits, Column) else F.lit(digits))
+
+
+def sized_digits(df: DataFrame) -> Column:
+    """Hex digits that make pieces of about ``PIECE_ROWS`` rows, four at least; a scalar of the plan."""
+    pieces = F.count(F.lit(1)) / PIECE_ROWS
+    return df.agg(F.greatest(F.lit(4), F.ceil(F.log(F.greatest(pieces, F.lit(1.0))) / F.log(F.lit(16.0)))).cast("int")).scalar()
+
+
+def order_image(df: DataFrame, column: str) -> Column:
+    """A double that never decreases along the order of a number, time, boolean, text or binary column."""
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.datediff(value, F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        raw = value.cast("binary")
+        # all keys lie between the least and the greatest, so they share what these two share
+        ends = df.agg(F.min(column).cast("binary").alias("low"), F.max(column).cast("binary").alias("high")).first()
+        low, high = bytes(ends["low"] or b""), bytes(ends["high"] or b"")
+        shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        head = F.rpad(F.hex(F.substring(raw, shared + 1, IMAGE_BYTES)), 2 * IMAGE_BYTES, "0")
+        return F.conv(head, 16, 10).cast("double")
+    raise ValueError(f"no order is kept for keys of type {kind.simpleString()}")
 
 
 def with_range_segment(df: DataFrame, column: str, pieces: int | None = None, name: str = "__seg") -> DataFrame:
-    """Order-preserving pieces of a number or time column, cut at approximate quantiles.
+    """Order-preserving pieces of a plain column, by quantiles of its ``order_image``.
 
-    Pieces are sized by a count unless their number is given. The cut points only balance
-    them, so their error never reaches a result; they are at most ``MAX_PIECES`` numbers and
-    the only thing that comes to the driver.
+    Pieces are sized by a count unless their number is given. At most ``MAX_CUTS`` quantiles come
+    to the driver; if more pieces are needed, each quantile's range is divided evenly. The cuts
+    only balance the pieces, so their error never reaches a result.
     """
     if pieces is None:
-        pieces = min(df.count() // PIECE_ROWS + 1, MAX_PIECES)
+        pieces = df.count() // PIECE_ROWS + 1
     if pieces == 1:
-        return df.withColumn(name, F.lit(0))
-    value = F.col(column).cast("double")
-    cuts = df.select(
-        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 4 * pieces)
-    ).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    raw = f"{name}_raw"
-    cut = Bucketizer(splits=splits, inputCol=raw, outputCol=name, handleInvalid="keep")
-    tagged = cut.transform(df.withColumn(raw, value)).drop(raw)
-    return tagged.withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(F.col(name)).cast("int"))
+        return df.withColumn(name, F.lit(0).cast("long"))
+    image, each = f"{name}_image", -(-pieces // MAX_CUTS)
+    cuts = min(pieces, MAX_CUTS)
+    tagged = df.withColumn(image, order_image(df, column))
+    found = tagged.select(F.percentile_approx(image, [i / cuts for i in range(cuts + 1)], 4 * cuts)).first()[0]
+    inner = sorted({x for x in found or [] if math.isfinite(x)}) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
+    tagged = Bucketizer(splits=splits, inputCol=image, outputCol=name, handleInvalid="keep").transform(tagged)
+    piece = F.col(name).cast("long")
+    if each > 1:
+        starts = F.array(*[F.lit(x) for x in [inner[0], *inner]])
+        ends = F.array(*[F.lit(x) for x in [*inner, inner[-1]]])
+        low, high = F.get(starts, piece.cast("int")), F.get(ends, piece.cast("int"))
+        part = F.when(high > low, F.floor((F.col(image) - low) / (high - low) * each)).otherwise(F.lit(0))
+        piece = piece * each + F.greatest(F.lit(0), F.least(part, F.lit(each - 1)))
+    return tagged.withColumn(name, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(piece).cast("long")).drop(image)
 
 
 def exact_rank(
@@ -79,6 +114,7 @@ def exact_rank(
     """
     tagged, groups = _plain_keys(df, {f"__g{i}": F.col(c) for i, c in enumerate(partition_by)})
     if partition_by:
+        # no more than one group for every HOT_ROWS rows
         tagged = tagged.join(F.broadcast(_hot_groups(tagged, groups)), groups, "left")
         segment = F.when(F.col("__hot"), segment)
     tagged, cut = _plain_keys(tagged, {"__seg": segment})
@@ -92,9 +128,6 @@ def exact_rank(
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*keys, F.sum("__n").over(earlier).alias("__before"))
     )
-    if not partition_by:
-        # as many rows as there are segments, whatever the data size
-        offsets = F.broadcast(offsets)
     # the window and the join have the same keys, so the rows shuffle and sort once
     inside = Window.partitionBy(*keys).orderBy(*order_by)
     return (
@@ -106,11 +139,9 @@ def exact_rank(
 
 
 def _hot_groups(df: DataFrame, groups: list[str]) -> DataFrame:
-    """Groups worth splitting; at most ``HOT_GROUPS`` of them, as each holds that share of all rows."""
+    """Groups of more than ``HOT_ROWS`` rows: they are split into segments."""
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).scalar()
-    large = F.greatest(F.lit(HOT_ROWS), (total / HOT_GROUPS).cast("long"))
-    return counts.where(F.col("__n") > large).select(*groups, F.lit(True).alias("__hot"))
+    return counts.where(F.col("__n") > HOT_ROWS).select(*groups, F.lit(True).alias("__hot"))
 
 
 def _plain_keys(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, list[str]]:
@@ -135,7 +166,7 @@ def _rank_by_hash(df: DataFrame, key: str, seed: int, partition_by: tuple[str, .
     hashed = df.withColumn("__h", seeded_hash(F.col(key), seed)).withColumn("__head", hash_head(F.col("__h")))
     # the head decides all but a few ties, the whole hash and the key decide those
     order = [F.col("__head"), F.col("__h"), F.col(key)]
-    return exact_rank(hashed, order, hash_segment(F.col("__h")), partition_by, name).drop("__h", "__head")
+    return exact_rank(hashed, order, hash_segment(F.col("__h"), sized_digits(df)), partition_by, name).drop("__h", "__head")
 
 
 def shuffle_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rank") -> DataFrame:
@@ -143,46 +174,51 @@ def shuffle_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rank") ->
     return _rank_by_hash(df, key, seed, (), name)
 
 
-def input_rank(df: DataFrame, key: str, pieces: int | None = None, name: str = "rank") -> DataFrame:
-    """Position of each row by a unique number or time column."""
+def input_rank(df: DataFrame, key: str, pieces: int | None = None, name: str = "rank", then: tuple[str, ...] = ()) -> DataFrame:
+    """Position of each row by a number, time or text column, nulls first; key and ``then`` together are unique."""
     tagged = with_range_segment(df, key, pieces, "__piece")
-    return exact_rank(tagged, [F.col(key)], F.col("__piece"), name=name).drop("__piece")
+    return exact_rank(tagged, [F.col(key), *map(F.col, then)], F.col("__piece"), name=name).drop("__piece")
 
 
 def order_thresholds(df: DataFrame, key: str, seed: int, ranks) -> DataFrame:
     """Order keys found at the given ranks of the seeded shuffle, as one row.
 
     ``ranks`` maps the total count column to ``{name: rank column}``. Each name becomes a
-    struct column ``(hash, key)``, null when the rank is past the end. Two narrow passes over
-    the key: counts per hash segment, then the rows of the segments that hold a wanted rank.
-    Every task sends one count per segment, so there are only 4,096 here; a segment's keys
-    still are few enough to sort in one task.
+    struct column ``(hash, key)``, null when the rank is past the end. Narrow passes over the key:
+    counts by three hash digits, counts by four more inside the segments that hold a wanted rank, and
+    then the rows of one piece in 268 million for each rank, few enough to sort in one task at any size.
     """
     keyed = df.select(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    wanted: list[str] = []
+
+    def targets_of(total: Column) -> Column:
+        named = ranks(total)
+        wanted[:] = list(named)
+        return F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("at")) for n, r in named.items()])
+
+    def hit(counts: DataFrame, within: list[str]) -> DataFrame:
+        """The segment of each wanted rank, and the rank inside it; one row for each name."""
+        upto = Window.partitionBy(*within).orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        return placed.where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n"))).select(
+            "name", "seg", (F.col("at") - F.col("before")).alias("at")
+        )
+
     tagged = keyed.withColumn("seg", hash_segment(F.col("h"), 3))
-    counts = tagged.groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
-    table = counts.select(
-        "seg", "n", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(everything).alias("total")
-    )
-    wanted = ranks(F.col("total"))
-    named = F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("at")) for n, r in wanted.items()])
-    # at most one segment per wanted rank
-    targets = (
-        table.select("*", F.explode(named).alias("w"))
-        .where((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("n")))
-        .select("seg", F.col("w.name").alias("name"), (F.col("w.at") - F.col("before") + 1).alias("nth"))
-    )
-    inside = Window.partitionBy("name").orderBy("h", "k")
+    counts = tagged.groupBy("seg").agg(F.count(F.lit(1)).alias("n"))  # 4,096 rows at most
+    total = F.sum("n").over(Window.partitionBy())
+    rated = counts.withColumn("total", total).select("seg", "n", F.explode(targets_of(F.col("total"))).alias("w"))
+    coarse = hit(rated.select("seg", "n", "w.name", "w.at"), ["name"])
+
+    finer = keyed.withColumn("seg", hash_segment(F.col("h"), 7)).withColumn("lead", hash_segment(F.col("h"), 3))
+    inside = finer.join(F.broadcast(coarse.select("name", "at", F.col("seg").alias("lead"))), "lead")
+    fine = hit(inside.groupBy("name", "at", "seg").agg(F.count(F.lit(1)).alias("n")), ["name"])
+
+    order = Window.partitionBy("name").orderBy("h", "k")
     hits = (
-        tagged.join(F.broadcast(targets), "seg")
-        .withColumn("pos", F.row_number().over(inside))
-        .where(F.col("pos") == F.col("nth"))
-    )
-    return hits.agg(
-        *[F.max(F.when(F.col("name") == n, F.struct("h", "k"))).alias(n) for n in wanted]
+        finer.join(F.broadcast(fine), "seg").withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") == F.col("at"))
     )
+    return hits.agg(*[F.max(F.when(F.col("name") == n, F.struct("h", "k"))).alias(n) for n in wanted])
 
 
 def split_sizes(total: Column, val: float, test: float) -> tuple[Column, Column, Column]:
@@ -234,17 +270,39 @@ def split_exact_ranked(
 
 
 def split_percent(df: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
+    """Exactly ``percent`` in a hundred as validation, the fraction cut off; the first in the seeded shuffle train."""
+
+    def start(total: Column) -> dict[str, Column]:
+        return {"validation": total - F.floor(total * F.lit(percent) / 100)}
+
+    at = order_thresholds(df, key, seed, start).select("validation").scalar()
+    own = F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    return (
+        df.withColumns({"__at": at, "__own": own})
+        .withColumn("split", F.when(F.col("__at").isNull() | (F.col("__own") < F.col("__at")), "train").otherwise("validation"))
+        .drop("__at", "__own")
+    )
+
+
+def split_percent_by_hash(df: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
     """Validation rows by hash bucket: about ``percent`` in a hundred, row by row, no count needed."""
     bucket = F.conv(F.substring(seeded_hash(F.col(key), seed), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(bucket < percent, "validation").otherwise("train"))
 
 
-def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows of the seeded shuffle.
+def _by_top_k(n: int, method: str | None) -> bool:
+    if method not in (None, "sort", "rank"):
+        raise ValueError(f"method must be sort or rank, not {method!r}")
+    return n <= TOPK_LIMIT if method is None else method == "sort"
+
+
+def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42, method: str | None = None) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows of the seeded shuffle, in no order.
 
-    Up to ``TOPK_LIMIT`` rows this is a top-k; beyond, a comparison with the key at rank ``n``.
+    ``method="sort"`` is a top-k, ``"rank"`` a comparison with the key at rank ``n``, for samples too
+    large for one task. They give the same rows; unless one is named, ``n`` decides.
     """
-    if n <= TOPK_LIMIT:
+    if _by_top_k(n, method):
         return df.orderBy(seeded_hash(F.col(key), seed), F.col(key)).limit(n)
     at = order_thresholds(df, key, seed, lambda total: {"end": F.lit(n)}).select("end").scalar()
     own = F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
@@ -258,11 +316,11 @@ def shuffle_seeded(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_hash(F.col(key), seed), F.col(key))
 
 
-def limit_first(df: DataFrame, n: int, order_key: str) -> DataFrame:
-    """First ``n`` rows in input order."""
-    if n <= TOPK_LIMIT:
-        return df.orderBy(order_key).limit(n)
-    return input_rank(df, order_key, name="__rank").where(F.col("__rank") < n).drop("__rank")
+def limit_first(df: DataFrame, n: int, order_key: str, method: str | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """First ``n`` rows in input order, in no order; ``then`` settles rows of one key, ``method`` is as for ``sample_exact``."""
+    if _by_top_k(n, method):
+        return df.orderBy(order_key, *then).limit(n)
+    return input_rank(df, order_key, name="__rank", then=then).where(F.col("__rank") < n).drop("__rank")
 
 
 def peek(df: DataFrame, order_key: str, n: int = 3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Micro-batches, optimiser steps and schedules."""
+"""Micro-batches, optimiser steps and epochs."""
 
 from __future__ import annotations
 
@@ -27,12 +27,3 @@ def assign_steps(
 def epoch_progress(step: Column, batch_size: int, accumulation: int, world: int, rows: Column) -> Column:
     """Fraction of an epoch seen after ``step`` optimiser steps."""
     return step * float(batch_size * accumulation * world) / rows
-
-
-def expected_lr(step: Column, peak: float, warmup: int, max_steps: int) -> Column:
-    """Learning rate logged at a 1-based step of a linear warm-up and decay."""
-    k = step - 1
-    down = F.lit(peak) * (max_steps - k) / F.lit(float(max_steps - warmup))
-    if warmup == 0:
-        return down
-    return F.when(k < warmup, F.lit(peak) * k / F.lit(float(warmup))).otherwise(down)

@@ -43,13 +43,27 @@ def _(t):
     return R.split_exact_ranked(t.documents.select("doc_id"), "doc_id")
 
 
+@query("sample_exact_ranked", f"SELECT doc_id, lang FROM documents ORDER BY {ORDER} LIMIT 250")
+def _(t):
+    return R.sample_exact(t.documents.select("doc_id", "lang"), 250, "doc_id", method="rank")
+
+
 @query(
     "split_percent",
+    "SELECT doc_id, CASE WHEN rank < n - floor(n * 5 / 100) THEN 'train' ELSE 'validation' END AS split FROM v_ranked",
+    (V_RANKED,),
+)
+def _(t):
+    return R.split_percent(t.documents.select("doc_id"), "doc_id", 5)
+
+
+@query(
+    "split_percent_by_hash",
     """SELECT doc_id, CASE WHEN ('0x' || substr(md5(concat('42:', doc_id)), 1, 8))::BIGINT % 100 < 5
          THEN 'validation' ELSE 'train' END AS split FROM documents""",
 )
 def _(t):
-    return R.split_percent(t.documents.select("doc_id"), "doc_id", 5)
+    return R.split_percent_by_hash(t.documents.select("doc_id"), "doc_id", 5)
 
 
 @query("limit_first", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")
@@ -57,6 +71,20 @@ def _(t):
     return R.limit_first(t.documents.select("doc_id", "lang", "n_chars"), 100, "doc_id")
 
 
+@query("limit_first_ranked", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def _(t):
+    return R.limit_first(t.documents.select("doc_id", "lang", "n_chars"), 100, "doc_id", method="rank")
+
+
+TEXT_KEY = "concat('item_', lpad(CAST(doc_id AS VARCHAR), 9, '0'))"
+
+
+@query("limit_first_text_key", f"SELECT {TEXT_KEY} AS name, lang FROM documents ORDER BY name LIMIT 100")
+def _(t):
+    named = t.documents.select(F.concat(F.lit("item_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), "lang")
+    return R.limit_first(named, 100, "name", method="rank")
+
+
 @query(
     "peek",
     """SELECT doc_id, CASE WHEN length(text) > 100 THEN concat(substr(text, 1, 100), '...') ELSE text END AS shown
@@ -133,17 +161,6 @@ def _(t):
     return log.join(rows, "run").select("run", "step", round_half_up(progress, 6).alias("epoch"))
 
 
-@query(
-    "expected_lr",
-    """SELECT run, step, floor((CASE WHEN step - 1 < 5 THEN 2e-5::DOUBLE * (step - 1) / 5::DOUBLE
-         ELSE 2e-5::DOUBLE * (1000 - (step - 1)) / 995::DOUBLE END) * 1e12 + 0.5) / 1e12 AS expected FROM v_train_log""",
-    (V_TRAIN_LOG,),
-)
-def _(t):
-    expected = S.expected_lr(F.col("step"), 2e-5, 5, 1000)
-    return t.train_log.select("run", "step", round_half_up(expected, 12).alias("expected"))
-
-
 @query("split_counts", "SELECT split, COUNT(*) AS rows FROM v_split GROUP BY ROLLUP (split)", (V_RANKED, V_SPLIT))
 def _(t):
     return M.split_counts(R.split_exact(t.documents.select("doc_id"), "doc_id"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import exact_rank
+from ..operators.ranking import exact_rank, with_range_segment
 from .turns import question_answer_pairs, turns_to_messages
 
 
@@ -66,9 +66,9 @@ class Tables:
     def train_log(self) -> DataFrame:
         """One log row per event, steps counted per run in time order."""
         rows = self.events.select("user_id", "ts", "event_id", "value")
-        # hours cut a run that holds much of the log into pieces
+        # pieces of time of about equal rows cut a run that holds much of the log
         ranked = exact_rank(
-            rows, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", F.col("ts")), ("user_id",), "step"
+            with_range_segment(rows, "ts", name="piece"), [F.col("ts"), F.col("event_id")], F.col("piece"), ("user_id",), "step"
         )
         return ranked.select(
             F.col("user_id").alias("run"),

@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import hashlib
 
 import pytest
@@ -53,14 +55,52 @@ def test_splits_are_disjoint_and_complete(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 40, 99, 100, 101, 5000])
-def test_large_sample_way_equals_top_k(spark, monkeypatch, n):
+def test_methods_give_the_same_rows(spark, n):
     df = spark.range(100)
-    small = {r.id for r in R.sample_exact(df, n, "id").collect()}
-    first = {r.id for r in R.limit_first(df, n, "id").collect()}
-    monkeypatch.setattr(R, "TOPK_LIMIT", -1)
-    assert {r.id for r in R.sample_exact(df, n, "id").collect()} == small
-    assert {r.id for r in R.limit_first(df, n, "id").collect()} == first
+    small = {r.id for r in R.sample_exact(df, n, "id", method="sort").collect()}
+    first = {r.id for r in R.limit_first(df, n, "id", method="sort").collect()}
+    assert {r.id for r in R.sample_exact(df, n, "id", method="rank").collect()} == small
+    assert {r.id for r in R.limit_first(df, n, "id", method="rank").collect()} == first
     assert len(small) == min(n, 100)
+    with pytest.raises(ValueError):
+        R.sample_exact(df, n, "id", method="other")
+
+
+KEYS = {
+    "string": [f"img_{i:07d}" for i in range(300)] + ["", "img", "é", "zz"],
+    "date": [datetime.date(1969, 1, 1) + datetime.timedelta(days=i) for i in range(300)],
+    "timestamp_ntz": [datetime.datetime(1969, 12, 31, 23, 59, 30) + datetime.timedelta(milliseconds=437 * i) for i in range(300)],
+    "timestamp": [datetime.datetime(1969, 12, 31, 23, 59, 30) + datetime.timedelta(milliseconds=437 * i) for i in range(300)],
+    "long": [3**i % 100003 for i in range(30)] + [-5, -(2**62), 2**62],
+    "decimal(20,3)": [decimal.Decimal(i) / 8 for i in range(-50, 50)],
+    "binary": [bytes([1, i, 7]) for i in range(200)],
+    "boolean": [False, True],
+    "double": [float("-inf"), -1.5, 0.0, 2.5, float("inf"), float("nan")],
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+@pytest.mark.parametrize("piece_rows,max_cuts", [(250_000, 4096), (10, 4096), (1, 3)])
+def test_ranks_by_any_type_of_key(spark, monkeypatch, kind, piece_rows, max_cuts):
+    monkeypatch.setattr(R, "PIECE_ROWS", piece_rows)
+    monkeypatch.setattr(R, "MAX_CUTS", max_cuts)
+    keys = [*dict.fromkeys(KEYS[kind]), None]
+    df = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
+    plain = df.withColumn("want", F.row_number().over(Window.orderBy("k")) - 1)
+    ranked = R.input_rank(df, "k").join(plain.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
+    assert ranked.count() == len(keys) and ranked.where("rank <> want").count() == 0
+
+
+def test_pieces_stay_small_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(R, "PIECE_ROWS", 50)
+    monkeypatch.setattr(R, "MAX_CUTS", 8)
+    largest = []
+    for n in (1000, 4000, 16000):
+        tagged = R.with_range_segment(spark.range(n), "id")
+        largest.append(tagged.groupBy("__seg").count().agg(F.max("count")).first()[0])
+    assert max(largest) <= 4 * 50, largest
+    digits = [spark.range(n).limit(1).select(R.sized_digits(spark.range(n))).first()[0] for n in (100, 50 * 16**5)]
+    assert digits == [4, 5]
 
 
 def test_shuffle_seeded(spark):
@@ -124,8 +164,16 @@ def test_first_writer_latest_and_last_n(spark):
     assert plan.count("WindowGroupLimit") >= 2  # applied before the shuffle as well
 
 
-def test_split_percent(spark):
-    counts = {r["split"]: r["count"] for r in R.split_percent(spark.range(20000), "id", 5).groupBy("split").count().collect()}
+@pytest.mark.parametrize("n,percent", [(0, 5), (1, 5), (19, 5), (20, 5), (1000, 5), (1000, 100), (1000, 0)])
+def test_split_percent_is_exact(spark, n, percent):
+    rows = R.split_percent(spark.range(n), "id", percent).collect()
+    assert len(rows) == n and sum(r["split"] == "validation" for r in rows) == n * percent // 100
+    last = order(range(n))[n - n * percent // 100 :]
+    assert {r.id for r in rows if r["split"] == "validation"} == set(last)
+
+
+def test_split_percent_by_hash(spark):
+    counts = {r["split"]: r["count"] for r in R.split_percent_by_hash(spark.range(20000), "id", 5).groupBy("split").count().collect()}
     assert 800 < counts["validation"] < 1200
 
 
