@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from spoolworks import build_session
@@ -47,8 +48,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
             "spark.ui.enabled": "false",
-            # one shuffle partition per core is already the right number
-            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="spoolworks-bench-"),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
         },
     )

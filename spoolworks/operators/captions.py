@@ -13,14 +13,16 @@ from ..functions.images import image_format, normalize_image_path, split_image_n
 from ..functions.text import first_present
 
 
-def explode_captions(df: DataFrame, captions: str, out: str = "caption") -> DataFrame:
-    """One row per caption; a scalar is one row, an empty list none, a null caption stays one row."""
+def explode_captions(df: DataFrame, captions: str, out: str = "caption", position: str | None = None) -> DataFrame:
+    """One row per caption, with its place in the list as ``position``; a scalar is one row, an empty list none, a null caption stays one row."""
     kind = df.schema[captions].dataType
     if isinstance(kind, T.ArrayType):
         source = F.coalesce(F.col(captions), F.array(F.lit(None).cast(kind.elementType)))
     else:
         source = F.array(F.col(captions))
     rest = [c for c in df.columns if c not in (captions, out)]
+    if position:
+        return df.select(*rest, F.posexplode(source).alias(position, out))
     return df.select(*rest, F.explode(source).alias(out))
 
 
@@ -59,7 +61,9 @@ def has_image_left_join(records: DataFrame, files: DataFrame, on: str = "image_p
     )
 
 
-def load_captions(records: DataFrame, files: DataFrame, image_dir: str, file_path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
+def load_captions(
+    records: DataFrame, files: DataFrame, image_dir: str, file_path: str = "path", keep: Sequence[str] = (), position: str | None = None
+) -> DataFrame:
     """Caption records to ``image_path, text, caption`` rows of existing images.
 
     The existence join runs before captions are exploded, on the narrow side.
@@ -82,7 +86,7 @@ def load_captions(records: DataFrame, files: DataFrame, image_dir: str, file_pat
         text.alias("text"),
         caption.alias("captions"),
     )
-    return explode_captions(semi_join_images(rows, files, file_path=file_path), "captions")
+    return explode_captions(semi_join_images(rows, files, file_path=file_path), "captions", position=position)
 
 
 def valid_image(df: DataFrame, content: str = "content") -> DataFrame:

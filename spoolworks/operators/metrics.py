@@ -38,10 +38,10 @@ def run_summary(log: DataFrame, run: str = "run", extras: Sequence[str] = ()) ->
 
 
 def run_rates(summary: DataFrame, runtime: str, samples_per_step: Column) -> DataFrame:
-    """Samples and steps per second from the runtime of each run."""
+    """Samples and steps per second from the runtime of each run; null for a run without runtime, such as one of one step."""
     return summary.withColumns({
-        "train_samples_per_second": F.col("steps") * samples_per_step / F.col(runtime),
-        "train_steps_per_second": F.col("steps") / F.col(runtime),
+        "train_samples_per_second": F.try_divide(F.col("steps") * samples_per_step, F.col(runtime)),
+        "train_steps_per_second": F.try_divide(F.col("steps"), F.col(runtime)),
     })
 
 
@@ -159,11 +159,6 @@ def running_mean(log: DataFrame, run: str = "run") -> DataFrame:
     return log.groupBy(run).agg(F.avg("loss").alias("mean_loss"), F.count("loss").alias("logged"))
 
 
-def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in (*keys, order)]
-    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
-
-
 METRIC_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {"generation": perplexity}
 
 

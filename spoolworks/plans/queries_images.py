@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_IMAGE_INSTRUCTION
@@ -9,8 +11,12 @@ from ..functions import chat as H
 from ..functions import images as I
 from ..operators import captions as C
 from ..operators import projections as P
-from ..operators.ranking import first_writer_wins, split_exact_ranked
-from .caption_data import flatten_caption_source, load_vision_records, split_caption_records
+from ..operators.ranking import split_exact_ranked
+from ..session import scratch_path
+from ..sinks.files import copy_images as write_images
+from ..sinks.files import drop_failed_copies
+from ..sources.files import scan_image_files
+from .caption_data import flatten_caption_source, load_vision_records, prepare_vision_prompts, split_caption_records
 from .catalog import query
 from .queries_sampling import V_RANKED, V_SPLIT
 from .standins import V_CAPTIONS, V_INVENTORY
@@ -290,6 +296,41 @@ def _(t):
     return load_vision_records(records, files(t), DIR, contents(t), keep=["doc_id"])
 
 
+def image_folder(t):
+    """A folder of real files made from the tables, by the sink that writes bytes under generated names."""
+    folder = scratch_path(t.spark, "images")
+    bodies = contents(t).select(F.substring_index("path", "/", -1).alias("dest"), "path", F.substring("content", 1, 200).alias("content"))
+    return folder, write_images(bodies, folder, src="path", content="content")
+
+
+@query(
+    "load_image_files",
+    f"""SELECT doc_id, '{DEFAULT_IMAGE_INSTRUCTION}' AS text, unnest(captions) AS caption FROM v_paths
+        WHERE image_path IN (SELECT path FROM v_files WHERE decodes)""",
+    IMAGE_VIEWS,
+)
+def _(t):
+    folder, _ = image_folder(t)
+    listing = scan_image_files(t.spark, folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    root = re.sub("^file:/+", "/", folder)
+    records = t.captions.select("doc_id", "image", "captions")
+    rows = load_vision_records(records, listing, root, keep=["doc_id"], check_heads=True)
+    return rows.select("doc_id", "text", "caption")
+
+
+@query(
+    "has_image_decodes",
+    f"""SELECT doc_id, image_path IN (SELECT path FROM v_files WHERE decodes) AS has_image FROM v_paths""",
+    IMAGE_VIEWS,
+)
+def _(t):
+    folder, _ = image_folder(t)
+    listing = scan_image_files(t.spark, folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    root = re.sub("^file:/+", "/", folder)
+    records = t.captions.select("doc_id", F.replace("image", F.lit("images/"), F.lit("")).alias("image"), F.lit("x").alias("instruction"), F.lit("y").alias("output"))
+    return prepare_vision_prompts(records, listing, root, "{instruction}", "{output}", keep=["doc_id"], check_heads=True).select("doc_id", "has_image")
+
+
 V_PLACED = f"""v_placed AS (
   SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY rank) - 1 AS index,
          concat('/in/images/doc_', doc_id, '.jpg') AS src FROM v_split)"""
@@ -315,15 +356,37 @@ def _(t):
 
 @query(
     "write_image_manifest",
-    """SELECT dest, src, split FROM (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY doc_id) AS rn FROM (
-         SELECT doc_id, split, concat('/in/doc_', doc_id, '.jpg') AS src,
+    """SELECT dest, src, split, 4 + least(196, octet_length(encode(text))) AS length FROM (
+         SELECT *, row_number() OVER (PARTITION BY dest ORDER BY doc_id) AS rn FROM (
+         SELECT doc_id, split, text, concat('/in/doc_', doc_id, '.jpg') AS src,
                 concat(split, '_', lpad(CAST(n_chars AS VARCHAR), CAST(greatest(5, length(CAST(n_chars AS VARCHAR))) AS INTEGER), '0'), '.jpg') AS dest
          FROM v_split JOIN documents USING (doc_id)) a) b WHERE rn = 1""",
     (V_RANKED, V_SPLIT),
 )
 def _(t):
-    # equal lengths give equal names, so the first writer by document wins
+    # equal lengths give equal names, so the first writer by document wins; the listing says what was written
     rows = split_exact_ranked(t.documents.select("doc_id", "n_chars"), "doc_id")
     source = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
     manifest = C.image_manifest(rows, source, index="n_chars").select("dest", "src", "split", "doc_id")
-    return first_writer_wins(manifest, "dest", "doc_id").select("dest", "src", "split")
+    body = F.concat(F.lit(b"\xff\xd8\xff\xe0"), F.substring(F.encode("text", "UTF-8"), 1, 196))
+    folder = scratch_path(t.spark, "copies")
+    bodies = manifest.join(t.documents.select("doc_id", body.alias("content")), "doc_id")
+    copied = write_images(bodies, folder, content="content", order_key="doc_id")
+    listed = scan_image_files(t.spark, folder).select(F.substring_index("path", "/", -1).alias("dest"), "length")
+    return drop_failed_copies(manifest, copied).select("dest", "src", "split").join(listed, "dest")
+
+
+@query(
+    "copy_image_files",
+    """SELECT concat('doc_', doc_id, '.jpg') AS src, concat('copy_', doc_id, '.jpg') AS dest,
+              CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE 'written' END AS status FROM labels""",
+)
+def _(t):
+    folder, _ = image_folder(t)
+    number = F.col("doc_id").cast("string")
+    known = F.when(F.col("doc_id") % 3 == 0, F.lit("gone_")).otherwise(F.lit("doc_"))
+    manifest = t.table("labels").select(
+        F.concat(F.lit(f"{folder}/"), known, number, F.lit(".jpg")).alias("src"), F.concat(F.lit("copy_"), number, F.lit(".jpg")).alias("dest")
+    )
+    copied = write_images(manifest, scratch_path(t.spark, "copied"))
+    return copied.select(F.replace(F.substring_index("src", "/", -1), F.lit("gone_"), F.lit("doc_")).alias("src"), "dest", "status")

@@ -25,6 +25,15 @@ def _(t):
     return S.scan_json_array(t.spark, path, t.conversations.schema)
 
 
+@query("scan_mixed_layouts", "SELECT conv_id, turn, role, text FROM conversations")
+def _(t):
+    """A folder that holds arrays and lines gives all rows of both."""
+    path = scratch_path(t.spark, "mixed") + ".json"
+    K.write_json(t.conversations.where("turn = 0"), f"{path}/arrays", layout="array")
+    K.write_json(t.conversations.where("turn > 0"), f"{path}/lines")
+    return S.scan_json_or_jsonl(t.spark, path, t.conversations.schema)
+
+
 @query("scan_json_or_jsonl", DOCUMENTS)
 def _(t):
     path = scratch_path(t.spark, "lines") + ".jsonl"
@@ -92,25 +101,51 @@ def _(t):
     return S.scan_run_logs(t.spark.read.schema(schema).json(path)).select("run", "step", "tag", "value")
 
 
-@query("scan_image_files", "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents")
+@query(
+    "scan_trainer_states",
+    """SELECT run, max(step) AS step, CAST(count(*) AS BIGINT) AS entries FROM (
+         SELECT CAST(run AS VARCHAR) AS run, step, unnest(['loss', 'learning_rate']) AS tag FROM v_train_log) q GROUP BY run""",
+    (V_TRAIN_LOG,),
+)
+def _(t):
+    """Two states of each run, the newer one holding the whole history; only that counts."""
+    path = scratch_path(t.spark, "trainer-states")
+    log = t.train_log
+    half = log.groupBy("run").agg(F.ceil(F.max("step") / 2).alias("upto"))
+    early = log.join(half, "run").where("step <= upto").drop("upto")
+    for name, rows in (("checkpoint-00000001", early), ("checkpoint-00000002", log)):
+        states = rows.groupBy("run").agg(
+            F.array_sort(F.collect_list(F.struct("step", "loss", "learning_rate"))).alias("log_history"), F.max("step").alias("global_step")
+        )
+        states.select(F.col("run").cast("string").alias("run"), "global_step", "log_history").write.json(f"{path}/{name}")
+    schema = T.StructType([T.StructField("run", T.StringType()), *S.TRAINER_STATE.fields])
+    states = S.read_trainer_states(t.spark, f"{path}/*", multi_line=False, schema=schema)
+    newest = states.withColumn("path", F.regexp_extract("path", "checkpoint-[0-9]+", 0))
+    series = S.scan_run_logs(newest, path="path")
+    return series.groupBy("run").agg(F.max("step").alias("step"), F.count(F.lit(1)).alias("entries"))
+
+
+@query("scan_image_files", "SELECT concat('doc_', doc_id, '.txt') AS name, octet_length(encode(text)) AS length FROM documents")
 def _(t):
     path = scratch_path(t.spark, "blobs")
-    t.documents.select("text").write.option("compression", "none").text(path)
-    return S.scan_image_files(t.spark, path).agg(F.sum("length").alias("bytes"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    K.copy_images(t.documents.select(name.alias("dest"), "doc_id", F.encode("text", "UTF-8").alias("body")), path, src="doc_id", content="body")
+    return S.scan_image_files(t.spark, path).select(F.substring_index("path", "/", -1).alias("name"), "length")
 
 
 @query(
     "from_records",
-    """SELECT l.name, count(*) AS docs FROM documents d
-       JOIN (VALUES ('en', 'English'), ('fr', 'French'), ('de', 'German'), ('es', 'Spanish')) l(lang, name) ON d.lang = l.lang
-       GROUP BY l.name""",
+    """SELECT coalesce(l.name, d.lang) AS name, count(*) AS docs FROM documents d
+       LEFT JOIN (VALUES ('en', 'English'), ('fr', 'French'), ('de', 'German'), ('es', 'Spanish')) l(lang, name) ON d.lang = l.lang
+       GROUP BY 1""",
 )
 def _(t):
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("name", T.StringType())])
     names = S.from_records(t.spark, [
         {"lang": "en", "name": "English"}, {"name": "French", "lang": "fr"}, ("de", "German"), ("es", "Spanish"),
     ], schema)
-    return t.documents.join(names, "lang").groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+    named = t.documents.join(names, "lang", "left")
+    return named.groupBy(F.coalesce("name", "lang").alias("name")).agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(

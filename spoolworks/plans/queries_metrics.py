@@ -53,17 +53,13 @@ def _(t):
 
 @query(
     "run_rates",
-    f"""SELECT user_id AS run, count(*) AS steps, {r("count(*) * 12 / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6")} AS train_samples_per_second,
-               {r("count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6")} AS train_steps_per_second
-        FROM events GROUP BY user_id HAVING count(*) > 1""",
+    f"""SELECT user_id AS run, count(*) AS steps, {r("count(*) * 12 / nullif(epoch_us(max(ts)) - epoch_us(min(ts)), 0) * 1e6")} AS train_samples_per_second,
+               {r("count(*) / nullif(epoch_us(max(ts)) - epoch_us(min(ts)), 0) * 1e6")} AS train_steps_per_second
+        FROM events GROUP BY user_id""",
 )
 def _(t):
     seconds = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
-    summary = (
-        t.events.groupBy(F.col("user_id").alias("run"))
-        .agg(F.count(F.lit(1)).alias("steps"), seconds.alias("runtime"))
-        .where("steps > 1")
-    )
+    summary = t.events.groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("steps"), seconds.alias("runtime"))
     rates = M.run_rates(summary, "runtime", F.lit(12))
     return rates.select(
         "run", "steps",

@@ -7,39 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
 
 
 def build_session(app_name: str = "spoolworks", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators expect; cluster settings win over these."""
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.executorEnv.TOKENIZERS_PARALLELISM", "false")
-    )
+    """A session with the settings the operators expect; what the cluster or the caller has set stays."""
+    builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    for key, value in DEFAULTS.items():
+        if key not in conf and not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    A local master without that setting gets a temporary folder of its own. A cluster
-    without it is an error: a folder on one machine is not visible to the others.
+    A cluster without the setting is an error. A local master without it, as in tests, gets one
+    temporary folder, and the session's setting then names it.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_SCRATCH.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spoolworks-"))
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        configured = tempfile.mkdtemp(prefix="spoolworks-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,16 +50,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/spoolworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Work-heavy steps over a small scan: at least one partition per core.
-
-    A large input scans as more partitions than there are cores and is left alone. For
-    plain scans only: counting the partitions of a shuffled frame would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def write_through(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     spark = df.sparkSession

@@ -5,14 +5,18 @@ from __future__ import annotations
 import dataclasses
 import json
 import re
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import first_writer_wins
+from ..session import write_through
 
 BLOCK = 1 << 20
 
@@ -58,52 +62,131 @@ def write_splits(
     df.write.mode(mode).partitionBy(split).parquet(path)
 
 
-def write_split_files(df: DataFrame, folder: str, base: str, split: str = "split", names: tuple[str, ...] = ("train", "val", "test")) -> None:
-    """``<base>_<split>.json`` per split, each written by as many tasks as hold its rows."""
-    for name in names:
-        write_json(df.where(F.col(split) == name).drop(split), f"{folder}/{base}_{name}.json")
+def write_split_files(df: DataFrame, folder: str, base: str, split: str = "split") -> list[str]:
+    """``<base>_<split>.json`` for every split name of the rows, in one pass; returns the names written.
+
+    The rows are written once, by split, beside their place; the folders then get their names. A null
+    split is an error: it has no file.
+    """
+    spark = df.sparkSession
+    staged = f"{folder.rstrip('/')}/_{base}-{uuid.uuid4().hex}"
+    named = F.when(F.col(split).isNull(), F.raise_error(F.lit("a row has no split"))).otherwise(F.col(split).cast("string"))
+    df.withColumn(split, named).write.partitionBy(split).json(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for status in fs.listStatus(path(staged)):
+        name = status.getPath().getName()
+        if name.startswith(f"{split}="):
+            value = urllib.parse.unquote(name.partition("=")[2])
+            if not fs.rename(status.getPath(), path(f"{folder.rstrip('/')}/{base}_{value}.json")):
+                raise FileExistsError(f"{base}_{value}.json is there already or could not be written")
+            names.append(value)
+    fs.delete(path(staged), True)
+    return sorted(names)
+
+
+#: Schemes of file listings and the name under which the copying library knows them (fixed values).
+SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def plain_uri(uri: str) -> str:
+    """The URI as the copying library reads it; an error for a scheme that it does not know."""
+    scheme = uri.partition(":")[0] if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri) else ""
+    if scheme.lower() not in SCHEMES:
+        raise ValueError(f"files under {scheme}: cannot be copied; use one of {sorted(filter(None, SCHEMES))}")
+    rest = uri[len(scheme) + 1 :] if scheme else uri
+    # file listings say file:/path, which is not a full URI
+    return f"{SCHEMES[scheme.lower()]}://{rest[2:] if rest.startswith('//') else rest}"
 
 
-def copy_images(manifest: DataFrame, dest_dir: str, src: str = "src", dest: str = "dest") -> DataFrame:
-    """Copies every file of the manifest once and reports ``written``, ``kept`` or ``missing``.
+def copy_images(
+    manifest: DataFrame, dest_dir: str, src: str = "src", dest: str = "dest", content: str | None = None, order_key: str | None = None
+) -> DataFrame:
+    """Writes every image of the manifest once; returns the status of each row: written, kept, missing or failed.
 
-    Tasks read and write the files themselves, a block at a time, so image bytes never
-    shuffle. A target that exists is left alone; each file is written under a name of its
-    own and then renamed, so a repeated task does no harm.
+    The image is a file named by ``src``, or bytes in the column ``content``. Of rows with one ``dest``
+    the first by ``order_key`` (``src`` unless given) is written. Tasks read and write the files
+    themselves, a block at a time, so bytes of files never shuffle. A target that
+    exists is left alone; a file is written under a name of its own and then renamed, so a repeated task
+    does no harm. The table of statuses is written once, so reading it again copies nothing.
     """
-    wanted = manifest.select(F.col(src).alias("src"), F.col(dest).alias("dest"))
+    plain_uri(dest_dir)
+    first = first_writer_wins(manifest.select(*{src, dest, order_key or src}), dest, order_key or src).select(dest, src)
+    rows = manifest.join(first, [dest, src], "left_semi") if content else first
+    wanted = rows.select(F.col(src).cast("string").alias("src"), F.col(dest).alias("dest"), *([F.col(content).alias("content")] if content else []))
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(status=[_copy_once(s, dest_dir, d) for s, d in zip(batch["src"], batch["dest"])])
+            bodies = batch["content"] if content else [None] * len(batch)
+            status = [_copy_once(s, dest_dir, d, b, content is not None) for s, d, b in zip(batch["src"], batch["dest"], bodies)]
+            yield pd.DataFrame({"src": batch["src"], "dest": batch["dest"], "status": status})
 
-    return wanted.mapInPandas(copy, "src string, dest string, status string")
+    return write_through(wanted.mapInPandas(copy, "src string, dest string, status string"), "copied")
+
+
+def drop_failed_copies(rows: DataFrame, copied: DataFrame, src: str = "src", dest: str = "dest") -> DataFrame:
+    """The rows whose image is at its target."""
+    good = copied.where(F.col("status").isin("written", "kept")).select(F.col("dest").alias("__dest"), F.col("src").alias("__src"))
+    return rows.join(good, (F.col(dest) == F.col("__dest")) & (F.col(src).cast("string") == F.col("__src")), "left_semi")
 
 
 def _open_file_system(uri: str):
     from pyarrow import fs
 
-    # file listings say file:/path, which is not a full URI
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", uri))
+    return fs.FileSystem.from_uri(plain_uri(uri))
 
 
-def _copy_once(src: str, dest_dir: str, name: str) -> str:
+def _copy_once(src: str | None, dest_dir: str, name: str, body: bytes | None, from_bytes: bool) -> str:
     from pyarrow import fs
 
-    target, root = _open_file_system(dest_dir)
-    path = f"{root}/{name}"
-    if target.get_file_info(path).type != fs.FileType.NotFound:
-        return "kept"
-    source, origin = _open_file_system(src)
-    if source.get_file_info(origin).type == fs.FileType.NotFound:
-        return "missing"
-    target.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with source.open_input_stream(origin) as read, target.open_output_stream(part) as write:
-        while block := read.read(BLOCK):
-            write.write(block)
-    target.move(part, path)
-    return "written"
+    try:
+        target, root = _open_file_system(dest_dir)
+        path = f"{root.rstrip('/')}/{name}"
+        if target.get_file_info(path).type != fs.FileType.NotFound:
+            return "kept"
+        if from_bytes:
+            if body is None:
+                return "missing"
+            read = pa.BufferReader(body)
+        else:
+            if src is None:
+                return "missing"
+            source, origin = _open_file_system(src)
+            if source.get_file_info(origin).type != fs.FileType.File:
+                return "missing"
+            read = source.open_input_stream(origin)
+        target.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with read, target.open_output_stream(part) as write:
+            while block := read.read(BLOCK):
+                write.write(block)
+        target.move(part, path)
+        return "written"
+    except (OSError, ValueError):
+        return "failed"
+
+
+def read_heads(paths: DataFrame, path: str = "path", size: int = 32) -> DataFrame:
+    """``path, head``: the leading bytes of each distinct file named, null if it cannot be read.
+
+    Only files that are asked for are opened, and only so many bytes of each are read.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(head=[_head(p, size) for p in batch["path"]])
+
+    return paths.select(F.col(path).alias("path")).distinct().mapInPandas(read, "path string, head binary")
+
+
+def _head(uri: str, size: int) -> bytes | None:
+    try:
+        source, origin = _open_file_system(uri)
+        with source.open_input_stream(origin) as stream:
+            return stream.read(size)
+    except (OSError, ValueError):
+        return None
 
 
 RUN_INFO = T.StructType([

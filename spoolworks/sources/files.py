@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +24,38 @@ def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def scan_json_or_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Reader chosen by the path's ending: ``.json`` may hold an array or lines, ``.jsonl`` holds lines."""
+def scan_json_or_jsonl(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, layout: str | None = None
+) -> DataFrame:
+    """Records of ``.json`` files (each one array, one object, or lines) or of ``.jsonl`` files (lines).
+
+    ``path`` is a file, a folder or a glob. Every ``.json`` file is read by what it holds itself: the files are
+    sorted into whole documents and lines by their first record, and both kinds are read together.
+    ``layout`` ("document" or "lines") says it for all files. A record that does not parse
+    is an error.
+    """
+    if layout not in (None, "document", "lines"):
+        raise ValueError(f"layout must be document or lines, not {layout!r}")
     clean = path.rstrip("/")
-    if clean.endswith(".jsonl"):
-        whole = False
-    elif clean.endswith(".json"):
-        whole = _first_character(spark, clean) == "["
-    else:
+    if not clean.endswith((".json", ".jsonl")):
         raise ValueError(f"unsupported file format: {path}")
-    reader = spark.read.option("multiLine", whole)
-    return (reader.schema(schema) if schema else reader).json(path)
+    if layout is None and clean.endswith(".jsonl"):
+        layout = "lines"
+    reader = spark.read.option("mode", "FAILFAST")
+    reader = reader.schema(schema) if schema else reader
+
+    def read(paths: str | list[str], whole: bool) -> DataFrame:
+        return reader.option("multiLine", whole).json(paths)
+
+    if layout:
+        return read(clean, layout == "document")
+    kinds: dict[bool, list[str]] = {True: [], False: []}
+    for name, status in _data_files(spark, clean):
+        kinds[_is_document(spark, status)].append(name)
+    frames = [read(names, whole) for whole, names in kinds.items() if names]
+    if not frames:
+        return read(clean, False)
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -51,22 +73,46 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(target) and fs.getFileStatus(target).isDirectory()
 
 
-def _first_character(spark: SparkSession, path: str) -> str:
-    """First non-blank character of a file, or of the first non-empty file of a folder."""
+def _data_files(spark: SparkSession, path: str) -> list[tuple[str, object]]:
+    """Names and listing entries of the files that a file, folder or glob stands for, empty ones left out."""
     target = _hadoop_path(spark, path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = sorted(
-        (s for s in fs.listStatus(target) if not s.getPath().getName().startswith(("_", ".")) and s.getLen() > 0),
-        key=lambda s: s.getPath().getName(),
-    )
-    if not files:
-        return ""
-    stream = fs.open(files[0].getPath())
+    found = fs.globStatus(target)
+    if not found:
+        raise FileNotFoundError(f"no file at {path}")
+    out, open_ = [], list(found)
+    while open_:
+        status = open_.pop()
+        if status.isDirectory():
+            open_ += [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
+        elif status.getLen() > 0:
+            out.append((status.getPath().toString(), status))
+    return sorted(out, key=lambda x: x[0])
+
+
+def _is_document(spark: SparkSession, status, block: int = 1 << 16) -> bool:
+    """Whether a file is one JSON document: an array, or an object that does not end on its first line."""
+    fs = status.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.open(status.getPath())
     try:
-        while (byte := stream.read()) >= 0:
-            if not chr(byte).isspace() and byte not in (0xEF, 0xBB, 0xBF):
-                return chr(byte)
-        return ""
+        head = bytearray()
+        while len(head) < status.getLen():
+            piece = bytes(stream.readNBytes(block))
+            if not piece:
+                break
+            head += piece
+            text = bytes(head).removeprefix(b"\xef\xbb\xbf").lstrip()
+            if text.startswith(b"["):
+                return True
+            line, end, _ = text.partition(b"\n")
+            if end:
+                break
+        text = bytes(head).removeprefix(b"\xef\xbb\xbf").lstrip()
+        try:
+            json.loads(text.partition(b"\n")[0])
+        except ValueError:
+            return bool(text)
+        return False
     finally:
         stream.close()
 
@@ -108,10 +154,10 @@ def scan_image_files(spark: SparkSession, path: str, with_content: bool = False)
     return files.select(*wanted)
 
 
-def read_trainer_states(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_trainer_states(spark: SparkSession, path: str, multi_line: bool = True, schema: T.StructType = TRAINER_STATE) -> DataFrame:
     """Trainer state documents with the file each came from."""
     return (
-        spark.read.schema(TRAINER_STATE).option("multiLine", multi_line).json(path)
+        spark.read.schema(schema).option("multiLine", multi_line).json(path)
         .withColumn("path", F.input_file_name())
     )
 

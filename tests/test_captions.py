@@ -122,6 +122,26 @@ def test_vision_prompts_and_batches(spark):
     assert all(label in (-100, token) for r in made for label, token in zip(r.labels, r.input_ids))
 
 
+def test_real_files_heads_and_copies(spark, tmp_path):
+    source = tmp_path / "in"
+    bodies = frame(spark, "dest string, n long, content binary", ("a.jpg", 2, SIGNATURES["png"]), ("a.jpg", 1, SIGNATURES["jpeg"]), ("b.jpg", 3, b"text"), ("c.jpg", 4, None))
+    copied = K.copy_images(bodies, str(source), src="n", content="content")
+    assert sorted((r.dest, r.src, r.status) for r in copied.collect()) == [("a.jpg", "1", "written"), ("b.jpg", "3", "written"), ("c.jpg", "4", "missing")]
+    assert sorted((r.dest, r.src, r.status) for r in copied.collect())[0][2] == "written", "reading the statuses again copies nothing"
+    assert (source / "a.jpg").read_bytes() == SIGNATURES["jpeg"]
+    assert sorted(r.n for r in K.drop_failed_copies(bodies, copied, src="n").collect()) == [1, 3]
+    heads = {r.path: r.head for r in K.read_heads(frame(spark, "path string", (f"{source}/a.jpg",), (f"file:{source}/b.jpg",), (f"{source}/z.jpg",))).collect()}
+    assert list(map(type, heads.values())).count(type(None)) == 1 and heads[f"file:{source}/b.jpg"] == b"text"
+    records = frame(spark, "id long, image string, caption array<string>", (1, "a.jpg", ["x", "y", "z"]), (2, "b.jpg", ["t"]), (3, "c.jpg", ["u"]))
+    files = S.scan_image_files(spark, str(source)).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    rows = CD.load_vision_records(records, files, str(source), keep=["id"], limit=2, order_key="id", check_heads=True)
+    assert sorted((r.id, r.caption) for r in rows.collect()) == [(1, "x"), (1, "y")]
+    with pytest.raises(ValueError, match="order_key"):
+        CD.load_vision_records(records, files, str(source), limit=2)
+    shown = CD.prepare_vision_prompts(records.select("id", "image", F.lit("c").alias("caption")), files, str(source), keep=["id"], check_heads=True)
+    assert {r.id: r.has_image for r in shown.collect()} == {1: True, 2: False, 3: False}
+
+
 def test_limit_before_or_after_valid(spark):
     records = frame(spark, "id long, image string, caption string", *[(i, f"{i}.jpg", "c") for i in range(6)])
     files = frame(spark, "path string", *[f"/i/{i}.jpg" for i in range(6)])

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoolworks import schemas, scratch_root, session, write_through
+from spoolworks import schemas, scratch_root, write_through
+from spoolworks.operators import ranking as R
 from spoolworks.plans.metric_data import metric_series
 from spoolworks.sinks import files as K
 from spoolworks.sources import files as S
@@ -127,6 +128,37 @@ def test_scratch_follows_the_session_setting(spark):
     assert kept.count() == 5 and scratch_root(spark) in kept.inputFiles()[0]
 
 
-def test_spread(spark):
-    assert session.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
-    assert session.spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20
+def test_mixed_folders_globs_and_pretty_objects(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('\n [ {"id": 1}, {"id": 2} ]')
+    (folder / "b.json").write_text('{"id": 3}\n{"id": 4}\n{"id": 5}\n')
+    (folder / "c.json").write_text('{\n  "id": 6\n}')
+    (folder / "d.json").write_text("")
+    (folder / "e.json").write_text('{"id": 7}')
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    assert sorted(r.id for r in S.scan_json_or_jsonl(spark, str(folder), schema).collect()) == list(range(1, 8))
+    assert sorted(r.id for r in S.scan_json_or_jsonl(spark, f"{folder}/[ab].json", schema).collect()) == [1, 2, 3, 4, 5]
+    assert S.scan_json_or_jsonl(spark, f"{folder}/b.json", schema, layout="lines").count() == 3
+    with pytest.raises(FileNotFoundError):
+        S.scan_json_or_jsonl(spark, f"{tmp_path}/nothing*.json", schema)
+    (tmp_path / "bad.json").write_text('{"id": 1}\nnot json\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.scan_json_or_jsonl(spark, f"{tmp_path}/bad.json", schema).collect()
+
+
+def test_every_split_name_is_written(spark, tmp_path):
+    df = R.split_percent(spark.range(1000), "id", 10)
+    assert K.write_split_files(df, f"{tmp_path}/out", "set") == ["train", "validation"]
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    rows = {s: S.scan_split_file(spark, f"{tmp_path}/out/set_train.json", s, "set", schema).count() for s in ("train", "validation")}
+    assert rows == {"train": 900, "validation": 100}
+    with pytest.raises(Exception, match="no split"):
+        K.write_split_files(spark.createDataFrame([(1, None)], "id long, split string"), f"{tmp_path}/none", "set")
+
+
+def test_schemes_of_copies():
+    assert K.plain_uri("/a/b") == K.plain_uri("file:/a/b") == K.plain_uri("file:///a/b") == "file:///a/b"
+    assert K.plain_uri("s3a://bucket/x") == "s3://bucket/x" and K.plain_uri("hdfs://n:1/x") == "hdfs://n:1/x"
+    with pytest.raises(ValueError, match="wasb"):
+        K.plain_uri("wasb://a/b")

@@ -40,12 +40,9 @@ def test_run_summary_equals_stored_results(spark):
         assert round(r.train_samples_per_second, 3) == samples and round(r.train_steps_per_second, 3) == steps
 
 
-@pytest.mark.parametrize("run", RUNS, ids=[r[0] for r in RUNS])
-def test_expected_lr_equals_logged(spark, run):
-    name, *_, warmup, steps, _ = run
-    rows = log(spark).where((F.col("run") == name) & F.col("loss").isNotNull())
-    for r in rows.select("learning_rate", S.expected_lr(F.col("step"), 2e-5, warmup, steps).alias("e")).collect():
-        assert math.isclose(r.e, r.learning_rate, rel_tol=1e-9)
+def test_rates_of_a_run_without_runtime(spark):
+    rates = M.run_rates(spark.createDataFrame([("a", 1, 0.0), ("b", 4, 2.0)], "run string, steps long, s double"), "s", F.lit(3))
+    assert sorted(map(tuple, rates.collect())) == [("a", 1, 0.0, None, None), ("b", 4, 2.0, 6.0, 2.0)]
 
 
 def test_epoch_progress(spark):
