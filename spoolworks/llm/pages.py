@@ -80,6 +80,7 @@ class Node:
     path: int
     noisy: bool
     article: bool
+    skipped: bool = False  # within an inline element that is no part of the text around it
     children: list[str] = field(default_factory=list)
 
 
@@ -129,14 +130,14 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            if stack[-1].tag in BLOCKS or stack[-1].noisy != stack[-2].noisy:
+            if stack[-1].tag in BLOCKS:
                 flush()
             node = stack.pop()
             shapes[node.path, xxhash.xxh3_64_intdigest(" ".join(node.children)) >> 1] += 1
 
     at, end = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].skipped:
             pieces.append(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[1]:
@@ -170,21 +171,22 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
             article = parent.article or tag in ("article", "main")
             if tag == "header":
                 noisy |= not parent.article
-            if noisy and not parent.noisy:
-                flush()
             path = xxhash.xxh3_64_intdigest(name, parent.path) >> 1
-            stack.append(Node(tag, path, parent.noisy or noisy, article))
+            inline = tag not in BLOCKS and not parent.noisy
+            stack.append(Node(tag, path, parent.noisy or noisy, article, parent.skipped or (noisy and inline)))
             if tag in RAW:
                 found = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
                 if tag not in SILENT:
                     pieces.append(html.unescape(page[at : found.start() if found else end]))
                 at = found.end() if found else end
                 close(len(stack) - 1)
+        elif stack[-1].skipped:
+            continue
         elif m.group() == "<":
             pieces.append("<")
         elif m.group().startswith("<![CDATA["):
             pieces.append(m.group()[9:].removesuffix("]]>"))
-    if at < end:
+    if at < end and not stack[-1].skipped:
         pieces.append(html.unescape(page[at:]))
     flush()
     close(1)

@@ -21,6 +21,7 @@ from .arrow import mix64, slices
 from .common import free
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+ALPHA = 0.5
 SPACE = 0x2581  # the mark that stands for a blank in pieces
 OWN_MARK = 0x110000  # the same character where the text itself has it; no piece holds it
 #: Longer runs without a blank are cut, and each part has a lattice of its own.
@@ -45,11 +46,12 @@ def _hash_of(points: np.ndarray) -> np.uint64:
     return (_codes(points) * _powers(BASE, len(points))).sum(dtype=np.uint64)
 
 
-def load_model(path: str = MODEL, alpha: float = 1.0) -> dict:
+def load_model(path: str = MODEL, alpha: float = ALPHA) -> dict:
     """Piece tables of a model file, read on the driver.
 
     A unigram model gives log probabilities. The pieces of a BPE model only have ranks; Zipf's law
-    makes log probabilities of them. ``alpha`` scales them: more is closer to the best segmentation.
+    makes log probabilities of them. ``alpha`` scales them: at 1 segmentations are drawn by their
+    probability, smaller values give more variety.
     """
     import sentencepiece
 
@@ -66,7 +68,8 @@ def load_model(path: str = MODEL, alpha: float = 1.0) -> dict:
     ranked = bool((np.diff(np.sort(-scores[normal])) >= 1).all())
     rank = np.empty(len(normal))
     rank[np.argsort(-scores[normal], kind="stable")] = np.arange(len(normal))
-    weights = alpha * (-np.log(rank + 10.0) if ranked else scores[normal])
+    zipf = 1.0 / (rank + 10.0)
+    weights = alpha * (np.log(zipf / zipf.sum()) if ranked else scores[normal])
     texts = [model.id_to_piece(i) for i in normal]
     if any("▁" in p.lstrip("▁") for p in texts):
         raise ValueError("a piece of the model goes on past a blank")
@@ -223,7 +226,7 @@ def encode(texts: list[str], keys: np.ndarray, model: dict, seed: int = 0) -> tu
     place = (entry + sizes)[number]
     who, step, taken = np.arange(len(place)), 0, []
     while len(who):
-        u = (mix64(row[who] + np.uint64(step + 1) * BASE_INVERSE) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        u = (mix64(row[who] + np.uint64((step + 1) * int(BASE_INVERSE) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
         edge = np.minimum(np.searchsorted(ladder, rung[place] + u, side="right"), last[rung[place]])
         taken.append((who, edge))
         place = begin[edge]
@@ -268,7 +271,7 @@ def _model_on(df: DataFrame, path: str, alpha: float):
 
 
 def encode_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str = "tokens", seed: int = 0, path: str = MODEL, alpha: float = 1.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str = "tokens", seed: int = 0, path: str = MODEL, alpha: float = ALPHA
 ) -> DataFrame:
     """Adds an array of piece ids to documents; every row and column stays (one of the result's name is replaced).
 
@@ -310,7 +313,7 @@ def decode_tokens(rows: DataFrame, tokens_col: str = "tokens", text_col: str = "
     return rows.mapInArrow(run, schema)
 
 
-def encoded_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, path: str = MODEL, alpha: float = 1.0) -> DataFrame:
+def encoded_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
     """Per document: id, n_tokens, tokens_sha256 (ids as little-endian 32-bit), text_sha256 of the decoded text, lossless."""
     model = _model_on(docs, path, alpha)
     kind = docs.schema[id_col].dataType.simpleString()
