@@ -31,7 +31,7 @@ SHALLOW = 32
 #: Texts longer than this are read in parts that overlap by a string less a byte.
 PART_BYTES = 2 << 20
 BUNDLE_BYTES = 8 << 20
-WINDOWS = 400_000
+WINDOWS = 150_000
 #: An anchor met so often is dealt by single strings instead of by anchor.
 HOT_ENTRIES = 200
 LAST = np.iinfo(np.int64).max  # the place of null ids in the order
@@ -95,15 +95,13 @@ def _tags(column: pa.Array) -> list[bytes]:
     return [xxhash.xxh3_128_digest(t.as_buffer()) if t.is_valid else b"" for t in column]
 
 
-def _firsts(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Tags, ids with null last, and whether the row has the least id of its text in the batch."""
-    tags = _tags(batch.column("text"))
-    ids = pc.fill_null(batch.column("id"), LAST).to_numpy(zero_copy_only=False)
+def _least_rows(batch: pa.RecordBatch, tags: list[bytes]) -> np.ndarray:
+    """Whether each row has the least id of its text in the batch, null ids being last."""
+    ids = pc.fill_null(batch.column("id"), LAST).to_pylist()
     least: dict[bytes, int] = {}
-    for tag, i in zip(tags, ids.tolist()):
-        if i < least.get(tag, LAST + 1):
-            least[tag] = i
-    return tags, ids, np.array([least[t] == i for t, i in zip(tags, ids.tolist())], dtype=bool)
+    for tag, i in zip(tags, ids):
+        least[tag] = min(i, least.get(tag, LAST))
+    return np.array([least[t] == i for t, i in zip(tags, ids)], dtype=bool)
 
 
 def _pack_anchors(slice_bits: int):
@@ -122,58 +120,130 @@ def _pack_anchors(slice_bits: int):
     return run
 
 
-CONTEXT = "bundle int, key long, rel int, first int, n int, id long, tag binary, data binary"
+PACK = "bundle int, size int, pack binary"
 RANGE = "tag binary, first int, n int"
+#: Bytes of contexts that a task gathers before it packs them by bundle.
+PACK_BYTES = 24 << 20
+
+
+class _Packs:
+    """Contexts of anchors, gathered and then packed and compressed by bundle.
+
+    A context has its anchor's key, the place ``rel`` of its first string from the anchor, the place
+    ``first`` of that string in the text, the number ``n`` of strings and, unless it is settled as a
+    repeat already, the bytes under them.
+    """
+
+    def __init__(self, bundles: int):
+        self.bundles, self.parts, self.ids, self.tags, self.size = bundles, [], [], [], 0
+
+    def add(self, key, rel, first, n, text, data, settled, ids, tags) -> None:
+        self.parts.append((key, rel, first, n, text + len(self.ids), data, settled))
+        self.ids += ids
+        self.tags += tags
+        self.size += len(data)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        key, rel, first, n, text, _, settled = (np.concatenate(x) if k != 5 else None for k, x in enumerate(zip(*self.parts)))
+        data = np.concatenate([p[5] for p in self.parts])
+        length = np.where(settled, 0, n + LENGTH - 1)
+        begin = np.cumsum(length) - length
+        bundle = (mix64(key) % np.uint64(self.bundles)).astype(np.int64)
+        order = np.argsort(bundle, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], bundle[order][1:] != bundle[order][:-1], [True]]))
+        ids, tags = np.array(self.ids, dtype=np.int64), np.frombuffer(b"".join(self.tags), dtype=np.uint8).reshape(-1, 16)
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            own = order[lo:hi]
+            texts, local = np.unique(text[own], return_inverse=True)
+            head = np.array([len(own), len(texts)], dtype=np.int32)
+            columns = [head, key[own], ids[texts], tags[texts], first[own].astype(np.int32), local.astype(np.int32), rel[own].astype(np.int8), n[own].astype(np.int8), settled[own].astype(np.int8), data[_ranges(begin[own], length[own])]]
+            raw = b"".join(c.tobytes() for c in columns)
+            out.append((int(bundle[own[0]]), len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bundle", "size", "pack"])
+        self.__init__(self.bundles)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]):
+    """Arrays of the contexts of a bundle: key, rel, first, n, settled, text, bytes; and of their texts: ids, tags."""
+    columns, ids, tags, known, pieces = [[] for _ in range(6)], [], [], {}, []
+    for batch in batches:
+        for size, pack in zip(batch.column("size").to_pylist(), batch.column("pack")):
+            raw = pa.decompress(pack.as_buffer(), decompressed_size=size, codec="zstd", asbytes=True)
+            m, t = np.frombuffer(raw, np.int32, 2).tolist()
+            at, views = 8, []
+            for kind, count in ((np.uint64, m), (np.int64, t), (np.uint8, 16 * t), (np.int32, m), (np.int32, m), (np.int8, m), (np.int8, m), (np.int8, m)):
+                views.append(np.frombuffer(raw, kind, count, at))
+                at += views[-1].nbytes
+            own = [raw[8 + 8 * m + 8 * t + 16 * k : 8 + 8 * m + 8 * t + 16 * (k + 1)] for k in range(t)]
+            numbers = np.empty(t, dtype=np.int64)
+            for k, (tag, i) in enumerate(zip(own, views[1].tolist())):
+                if tag not in known:
+                    known[tag] = len(ids)
+                    ids.append(i)
+                    tags.append(tag)
+                numbers[k] = known[tag]
+            for c, x in zip(columns, (views[0], views[5], views[3], views[6], views[7] != 0, numbers[views[4]])):
+                c.append(x.astype(np.int64) if x.dtype.kind == "i" else x)
+            pieces.append(raw[at:])
+    return (*[np.concatenate(c) for c in columns], np.frombuffer(b"".join(pieces), dtype=np.uint8), np.array(ids, dtype=np.int64), tags)
+
+
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices of all ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
 def _contexts(filters, bundles: int):
-    """Rows for anchors that may repeat: the bytes under their strings. Of equal ones in a slice one goes on;
-    the others are repeats already and have no bytes."""
+    """Contexts of anchors that may repeat. Of equal ones in a slice one goes on with its bytes; the others
+    are repeats already, and only said to be so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, hots = filters.value
+        packs = _Packs(bundles)
         for whole_batch in batches:
             for batch in slices(whole_batch, "text", PART_BYTES):
-                tags, ids, _ = _firsts(batch)
-                out = []
+                tags = _tags(batch.column("text"))
+                ids = pc.fill_null(batch.column("id"), LAST).to_numpy(zero_copy_only=False)
                 for data, valid, rows, places in _parts(batch.column("text")):
                     at, key, first, last = _anchors(data, valid)
                     live = sieve.may_repeat(marks, key)
-                    at, key, first, last = at[live], key[live], first[live], last[live]
+                    at, key, first, n = at[live], key[live], first[live], (last - first + 1)[live]
                     hot = sieve.may_repeat(hots, key)
-                    raw = data.tobytes()
-                    row_at, place = rows[first], places[first]
-                    for k, a, f, e, h, r, p in zip(key.tolist(), at.tolist(), first.tolist(), last.tolist(), hot.tolist(), row_at.tolist(), place.tolist()):
-                        for s, n in [(s, 1) for s in range(f, e + 1)] if h else [(f, e - f + 1)]:
-                            text = raw[s : s + n + LENGTH - 1]
-                            deal = xxhash.xxh3_64_intdigest(text, k & 0xFFFFFFFF) if h else k
-                            out.append([deal, s - a, p + s - f, n, r, text])
-                by_text: dict[tuple, int] = {}
-                order = lambda x: (int(ids[x[4]]), tags[x[4]], x[2])
-                for k, x in enumerate(out):
-                    name = (x[0], x[1], x[5])
-                    best = by_text.setdefault(name, k)
-                    if best != k:
-                        if order(x) < order(out[best]):
-                            by_text[name], best = k, by_text[name]
-                            out[best][5] = None
-                        else:
-                            x[5] = None
-                if out:
-                    deal = np.array([x[0] for x in out], dtype=np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((mix64(deal) % np.uint64(bundles)).astype(np.int32)),
-                            pa.array(deal.view(np.int64)),
-                            pa.array([x[1] for x in out], pa.int32()),
-                            pa.array([x[2] for x in out], pa.int32()),
-                            pa.array([x[3] for x in out], pa.int32()),
-                            pa.array([int(ids[x[4]]) for x in out], pa.int64()),
-                            pa.array([tags[x[4]] for x in out], pa.binary()),
-                            pa.array([x[5] for x in out], pa.binary()),
-                        ],
-                        names=["bundle", "key", "rel", "first", "n", "id", "tag", "data"],
+                    if hot.any():  # dealt by each of their strings
+                        times = np.where(hot, n, 1)
+                        who = np.repeat(np.arange(len(key)), times)
+                        first = first[who] + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                        at, key, n, hot = at[who], key[who].copy(), np.where(hot, 1, n)[who], hot[who]
+                        raw = data.tobytes()
+                        key[hot] = [xxhash.xxh3_64_intdigest(raw[f : f + LENGTH], int(k) & 0xFFFFFFFF) for f, k in zip(first[hot].tolist(), key[hot])]
+                    if len(key) == 0:
+                        continue
+                    text, place, length = rows[first], places[first], n + LENGTH - 1
+                    index = _ranges(first, length)
+                    body = data[index]
+                    ends = np.cumsum(length)
+                    joined, settled = body.tobytes(), np.zeros(len(key), dtype=bool)
+                    best: dict[tuple, int] = {}
+                    order = lambda k: (int(ids[text[k]]), tags[text[k]], int(place[k]))
+                    for k, (x, e, m, r) in enumerate(zip(key.tolist(), ends.tolist(), length.tolist(), (first - at).tolist())):
+                        name = (x, r, joined[e - m : e])
+                        other = best.setdefault(name, k)
+                        if other != k:
+                            if order(k) < order(other):
+                                best[name], other = k, other
+                                settled[other] = True
+                            else:
+                                settled[k] = True
+                    used, local = np.unique(text, return_inverse=True)
+                    packs.add(
+                        key, first - at, place, n, local, body[~np.repeat(settled, length)], settled, ids[used].tolist(), [tags[t] for t in used.tolist()]
                     )
+                    if packs.size >= PACK_BYTES:
+                        yield from packs.rows()
+        yield from packs.rows()
 
     return run
 
@@ -237,62 +307,52 @@ def equal_strings(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
 
 def _repeats(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bundle of anchors: ranges of starts of strings that start earlier elsewhere."""
-    table = pa.Table.from_batches(list(batches)).combine_chunks()
-    tag_codes = table.column("tag").combine_chunks().dictionary_encode()
-    names = tag_codes.dictionary
+    keys, rel, first, n, settled, text, data, ids, tags = _unpack(batches)
     # tags in byte order, so that ties of ids go the same way everywhere
-    rank = np.empty(len(names), np.int64)
-    rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
-    tag_at = tag_codes.indices.to_numpy()
-    columns = {c: table.column(c).to_numpy() for c in ("key", "rel", "first", "n", "id")}
-    settled = table.column("data").is_null().to_numpy()
-    found = [(tag_at[settled], columns["first"][settled], columns["n"][settled])]
-
-    live = np.flatnonzero(~settled)
-    texts = table.column("data").combine_chunks().take(pa.array(live))
-    codes = texts.dictionary_encode().indices.to_numpy()
-    get = lambda c: columns[c][live]
-    tags = tag_at[live]
-    order, new = _split(get("key"), get("rel").astype(np.int64), codes)
+    rank = np.empty(len(tags), np.int64)
+    rank[sorted(range(len(tags)), key=tags.__getitem__)] = np.arange(len(tags))
+    found = [(text[settled], first[settled], n[settled])]
+    live = ~settled
+    keys, rel, first, n, text = keys[live], rel[live], first[live], n[live], text[live]
+    length = n + LENGTH - 1
+    begin = np.cumsum(length) - length
+
+    offsets = np.append(begin, len(data)).astype(np.int64)
+    bodies = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    codes = bodies.dictionary_encode().indices.to_numpy()
+    order, new = _split(keys, rel, codes)
     same = np.cumsum(new) - 1
-    order = order[np.lexsort((get("first")[order], rank[tags[order]], get("id")[order], same))]
-    rest = order[~new]
-    found.append((tags[rest], get("first")[rest], get("n")[rest]))
+    order = order[np.lexsort((first[order], rank[text[order]], ids[text[order]], same))]
+    found.append((text[order[~new]], first[order[~new]], n[order[~new]]))
     rows = order[new]
 
     # different contexts of one anchor: their single strings are sorted
-    keys = get("key")[rows]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    size = np.diff(np.append(head, len(keys)))
-    many = np.repeat(size > 1, size)
-    rows, keys = rows[many], keys[many]
+    size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], keys[rows][1:] != keys[rows][:-1]])), len(rows))) if len(rows) else np.empty(0, np.int64)
+    rows = rows[np.repeat(size > 1, size)]
     if len(rows):
-        data = np.frombuffer(b"".join(texts.take(pa.array(rows)).to_pylist()), dtype=np.uint8)
-        n = get("n")[rows].astype(np.int64)
-        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         # whole anchors, until about WINDOWS strings are together
-        upto = np.cumsum(n)
-        new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
-        block = np.maximum.accumulate(np.where(new_key, upto // WINDOWS, 0))
+        new_key = np.concatenate([[True], keys[rows][1:] != keys[rows][:-1]])
+        block = np.maximum.accumulate(np.where(new_key, np.cumsum(n[rows]) // WINDOWS, 0))
         for lo, hi in _runs(block):
-            r, m = rows[lo:hi], n[lo:hi]
-            context = np.repeat(np.arange(lo, hi), m)
-            step = np.arange(len(context)) - np.repeat(np.cumsum(m) - m, m)
-            _, group = np.unique(np.stack([keys[context], get("rel")[rows[context]] + step]), axis=1, return_inverse=True)
-            who, equal = equal_strings(data, begin[context] + step, group.ravel())
-            if len(who) == 0:
+            who = np.repeat(rows[lo:hi], n[rows[lo:hi]])
+            step = _ranges(np.zeros(hi - lo, np.int64), n[rows[lo:hi]])
+            group = mix64(keys[who] + mix64((rel[who] + step + SPAN).astype(np.uint64)))
+            hit, equal = equal_strings(data, begin[who] + step, group)
+            if len(hit) == 0:
                 continue
-            row, place = rows[context[who]], get("first")[rows[context[who]]] + step[who]
-            by = np.lexsort((place, rank[tags[row]], get("id")[row], equal))
+            owner, place = text[who[hit]], first[who[hit]] + step[hit]
+            by = np.lexsort((place, rank[owner], ids[owner], equal))
             later = by[np.concatenate([[False], equal[by][1:] == equal[by][:-1]])]
-            later = later[np.lexsort((place[later], tags[row[later]]))]
-            t, p = tags[row[later]], place[later]
-            cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])) if len(t) else []
-            ends = np.append(cut[1:], len(t)) - 1 if len(t) else []
+            later = later[np.lexsort((place[later], owner[later]))]
+            t, p = owner[later], place[later]
             if len(t):
+                cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)]))
+                ends = np.append(cut[1:], len(t)) - 1
                 found.append((t[cut], p[cut], p[ends] - p[cut] + 1))
-    tag, first, n = (np.concatenate(x) for x in zip(*found))
-    yield pa.RecordBatch.from_arrays([names.take(pa.array(tag)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["tag", "first", "n"])
+    owner, start, count = (np.concatenate(x) for x in zip(*found))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(tags, pa.binary()).take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["tag", "first", "n"]
+    )
 
 
 def _runs(block: np.ndarray):
@@ -306,7 +366,8 @@ def _candidates_of_texts(marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for batch in slices(whole_batch, "text", PART_BYTES):
-                tags, _, least = _firsts(batch)
+                tags = _tags(batch.column("text"))
+                least = _least_rows(batch, tags)
                 raw = [t.as_buffer() if t.is_valid else b"" for t in batch.column("text")]
                 hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in tags], dtype=np.uint64).view(np.int64)
                 hit = sieve.is_member(marks.value, hashes) & least if len(tags) else least
@@ -324,37 +385,41 @@ def _candidates_of_texts(marks):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("id", "n_bytes", "whole_sha256", "raw", "least", "firsts", "ns"))):
-            i, size, sha, raw, least, firsts, ns = row
-            copy = least is not None and (LAST if i is None else i) != least
-            if size < LENGTH or (not copy and not firsts):
-                out.append((i, size, 0, [], sha, None))
-            elif copy:
-                out.append((i, size, size, [(0, size)], hashlib.sha256(b"").hexdigest(), b""))
-            else:
-                change = np.zeros(size + 1, dtype=np.int32)
-                begin, length = np.array(firsts), np.array(ns)
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + length + LENGTH - 1, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                out.append((i, size, int(gone.sum()), list(zip(edges[::2].tolist(), edges[1::2].tolist())), hashlib.sha256(kept).hexdigest(), kept))
-        kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), SPANS, pa.string(), pa.binary()]
-        columns = zip(*out) if out else [[]] * 6
-        fields = [([{"start": a, "end": b} for a, b in s] for s in c) if k is SPANS else c for c, k in zip(columns, kinds)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(fields, kinds)], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
+def _cut(with_kept: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "raw", PART_BYTES):
+                out = [_cut_one(row, with_kept) for row in zip(*(batch.column(c).to_pylist() for c in ("id", "n_bytes", "whole_sha256", "raw", "least", "firsts", "ns")))]
+                kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), SPANS, pa.string(), pa.binary()]
+                columns = zip(*out) if out else [[]] * 6
+                fields = [([{"start": a, "end": b} for a, b in s] for s in c) if k is SPANS else c for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(fields, kinds)], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
+
+    return run
+
+
+def _cut_one(row: tuple, with_kept: bool) -> tuple:
+    i, size, sha, raw, least, firsts, ns = row
+    if size >= LENGTH and least is not None and (LAST if i is None else i) != least:  # a later copy
+        return i, size, size, [(0, size)], hashlib.sha256(b"").hexdigest(), b"" if with_kept else None
+    if size < LENGTH or not firsts:
+        return i, size, 0, [], sha, None
+    change = np.zeros(size + 1, dtype=np.int32)
+    begin, length = np.array(firsts), np.array(ns)
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + length + LENGTH - 1, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+    return i, size, int(gone.sum()), list(zip(edges[::2].tolist(), edges[1::2].tolist())), hashlib.sha256(kept).hexdigest(), kept if with_kept else None
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 CUT = "n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_entries: int = HOT_ENTRIES) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, spans (removed runs), kept_sha256, kept (null: the whole text).
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_entries: int = HOT_ENTRIES, with_kept: bool = True) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, spans (removed runs), kept_sha256, kept (null: the whole text, or not asked for).
 
     A byte goes if a string of 100 bytes over it also starts earlier: in a document of smaller id or
     further left in its own. Null texts are empty; null ids come last; texts that share an id
@@ -367,13 +432,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slice_bits = sieve.slice_bits_for(total // 39)  # about two anchors for every 78 bytes
+    slice_bits = sieve.slice_bits_for(total // 39, 1_500_000)  # about two anchors for every 78 bytes
     sc = docs.sparkSession.sparkContext
     # each text once, in its first document: what later copies hold is told of them as a whole
     once = drop_exact_duplicates(plain, "id", "text", largest=False)
     filters = sc.broadcast(sieve.repeated(once.select("text").mapInArrow(_pack_anchors(slice_bits), sieve.PACKED), slice_bits, hot=hot_entries))
     bundles = max(8, int(total // BUNDLE_BYTES) + 1)
-    rows = once.mapInArrow(_contexts(filters, bundles), CONTEXT)
+    rows = once.mapInArrow(_contexts(filters, bundles), PACK)
     ranges = rows.groupBy("bundle").applyInArrow(_repeats, RANGE)
     # all ranges of one text: no more than the text has strings
     lost = write_through(ranges.groupBy("tag").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns")), "ranges")
@@ -389,7 +454,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = plain.mapInArrow(_candidates_of_texts(marks), f"id {kind}, tag binary, n_bytes long, whole_sha256 string, raw binary")
     other = facts.withColumnRenamed("tag", "of_tag")
     joined = texts.join(other, F.col("tag") == F.col("of_tag"), "left").select("id", "n_bytes", "whole_sha256", "raw", "least", "firsts", "ns")
-    return joined.mapInArrow(_cut, f"id {kind}, {CUT}").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(_cut(with_kept), f"id {kind}, {CUT}").withColumnRenamed("id", id_col)
 
 
 def _tag_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,4 +465,4 @@ def _tag_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return cut_repeats(docs, id_col, text_col).select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return cut_repeats(docs, id_col, text_col, with_kept=False).select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
