@@ -43,7 +43,7 @@ def pack(keys: np.ndarray, holders: np.ndarray, slice_bits: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in rows], pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
 
-def slice_bits_for(keys: int, each: int = 4_000_000) -> int:
+def slice_bits_for(keys: int, each: int = 1_500_000) -> int:
     """Slices that hold about ``each`` keys, as a power of two; their number grows with the data."""
     return max(0, int(np.ceil(np.log2(max(keys, 1) / each)))) if keys > each else 0
 
