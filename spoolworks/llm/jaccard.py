@@ -79,9 +79,9 @@ def least_shared(n):
     return 1 + more_keys(-(-PERCENT * n // 100))
 
 
-def signature(values: np.ndarray) -> bytes:
-    """A bitmap of hashed elements, about one bit for each element, 64 to 4096 bits."""
-    bits = min(4096, max(64, 1 << int(len(values) - 1).bit_length()))
+def signature(values: np.ndarray, bits: int | None = None) -> bytes:
+    """A bitmap of hashed elements, about one bit for each element unless it is given, 64 to 4096 bits."""
+    bits = bits or min(4096, max(64, 1 << int(len(values) - 1).bit_length()))
     marks = np.zeros(bits, dtype=bool)
     marks[(values & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(marks, bitorder="little").tobytes()
@@ -287,12 +287,19 @@ def _candidates(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def _verify(tags: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """True links that connect all true links of the sets, by intersection of sorted arrays."""
+    """True links that connect all true links of the sets, by intersection of sorted arrays.
+
+    Sets come by size. Pairs that are joined already or that the finer bitmaps exclude are not intersected.
+    """
     n = np.array([len(s) for s in sets])
+    width = min(4096, max(64, 1 << int(2 * n.max()).bit_length()))
+    bits = np.stack([np.frombuffer(signature(s, width), np.uint64) for s in sets])
     links, out = Links(len(sets)), []
     for i in range(len(sets) - 1):
-        js = np.arange(i + 1, len(sets))
-        js = js[(links.root[js] != links.root[i]) & (100 * n[i] >= PERCENT * n[js])]
+        js = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
+        js = js[links.root[js] != links.root[i]]
+        if len(js):
+            js = js[_may_link(bits[i], n[i], bits[js], n[js])]
         for block in np.array_split(js, max(1, int(n[js].sum() // 4_000_000))):
             if len(block) == 0:
                 continue
