@@ -16,6 +16,8 @@ EPOCHS = 2
 SHARDS = 16
 #: The smallest target is cut into about so many blocks.
 BLOCKS = 200
+#: No source is cut into more blocks, so that products of two block numbers stay exact.
+MAX_BLOCKS = 1 << 30
 BUCKET_ROWS = 50_000
 #: Up to so many sources their table is broadcast (about 10 MB); beyond, the join is dealt by source.
 BROADCAST_SOURCES = 100_000
@@ -103,9 +105,9 @@ def _mixed(
     sources = rows.groupBy(name).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("docs"), F.first(source_col).alias("source"))
     sources = write_through(sources, "sources")
     targets = write_through(source_targets(sources), "targets")
-    n, least = targets.agg(F.count(F.lit(1)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    n, least, most = targets.agg(F.count(F.lit(1)), F.min(F.when(F.col("target") > 0, F.col("target"))), F.max("words")).first()
     total_docs = sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    block = max(1, int((least or 1) // BLOCKS))
+    block = max(1, int((least or 1) // BLOCKS), -(-(most or 0) // MAX_BLOCKS))
     buckets = max(16, math.ceil(total_docs / BUCKET_ROWS))
     rows = rows.withColumn(bucket, F.pmod(F.col(order), F.lit(buckets)).cast("int"))
 
