@@ -120,21 +120,26 @@ def _sketch_sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             else:
                 n = (len(raw) - 1) // 6
                 total[np.frombuffer(raw[1 : 1 + 4 * n], np.uint32)] += np.frombuffer(raw[1 + 4 * n :], np.uint16)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "data"])
+    steps = np.ceil(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([steps.tobytes()], pa.binary())], names=["slice", "total", "data"]
+    )
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """A rank for every sketch cell: 0 for ordinary cells, more for those of frequent shingles.
+def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """A rank for every sketch cell and the usual count: 0 for up to that, 4 more for each doubling.
 
     Counts cover all documents. The order only decides which shingles serve as keys, frequent ones last.
     """
-    rows = docs.select("text").mapInArrow(_sketch, sieve.PACKED).groupBy("slice").applyInArrow(_sketch_sum, sieve.PACKED)
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    width = len(counts) // SKETCH_PARTS
-    for row in rows.toLocalIterator():  # the sketch has a fixed size
-        counts[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["data"]), np.int64)
-    usual = max(counts.mean() * 1.5, 2.0)
-    return np.minimum(np.ceil(4 * np.log2(np.maximum(counts / usual, 1.0))), 255).astype(np.uint8)
+    rows = docs.select("text").mapInArrow(_sketch, sieve.PACKED).groupBy("slice").applyInArrow(_sketch_sum, "slice int, total long, data binary")
+    steps = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    width, total = len(steps) // SKETCH_PARTS, 0
+    for row in rows.toLocalIterator():  # the sketch has a fixed size, a byte for each cell
+        steps[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["data"]), np.uint8)
+        total += row["total"]
+    usual = max(1.5 * total / len(steps), 2.0)
+    floor = np.uint8(np.ceil(4 * np.log2(usual)))
+    return np.maximum(steps, floor) - floor, usual
 
 
 def _sets_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -329,7 +334,7 @@ def _exact(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 LINKS = "high long, low long"
 
 
-def _candidate_links(sets: DataFrame, levels: np.ndarray, tile: int) -> DataFrame:
+def _candidate_links(sets: DataFrame, levels: np.ndarray, usual: float, tile: int) -> DataFrame:
     """Pairs of tags whose bitmaps allow a link and that connect all such pairs."""
     keyed = sets.where("keys is not null")
     total = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
@@ -353,7 +358,7 @@ def _candidate_links(sets: DataFrame, levels: np.ndarray, tile: int) -> DataFram
             live &= enough[row] & (place < prefix_length(n)[row])
             keys, row = keys[live], row[live]
             level = ranks.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            blocks = np.maximum(1, np.ceil(2.0 ** (level / 4.0) / tile)).astype(np.int64)
+            blocks = np.maximum(1, np.ceil((2.0 ** (level / 4.0) - 1) * usual / tile)).astype(np.int64)  # by what is more than usual
             for lo in range(0, len(keys), 50_000):
                 k, r, b = keys[lo : lo + 50_000], row[lo : lo + 50_000], blocks[lo : lo + 50_000]
                 at = np.repeat(np.arange(len(k)), b)
@@ -433,9 +438,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, tile: int) -> DataFrame:
     """id, hash (of the text), n, component_id, and first: whether the row is the one that its component keeps."""
     plain = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    levels = frequency_levels(plain)
+    levels, usual = frequency_levels(plain)
     sets = write_through(_sets_table(plain, levels), "shingle_sets")
-    clusters = write_through(components(_candidate_links(sets, levels, tile)), "clusters")
+    clusters = write_through(components(_candidate_links(sets, levels, usual, tile)), "clusters")
     joined = components(_true_links(plain, sets, clusters, tile))
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "hash")  # a null id is last
     least = sets.where("tag is not null").groupBy("tag").agg(F.min(place).alias("least"), F.first("tag").alias("set_tag")).drop("tag")
