@@ -211,15 +211,16 @@ def encode(texts: list[str], keys: np.ndarray, model: dict, seed: int = 0) -> tu
     start, begin, end, weight, ids = start[order], begin[order], end[order], weight[order], ids[order]
     share = np.exp(sums[begin] + weight - sums[end])
     heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(end))))
-    run = np.cumsum(share)
-    run -= np.repeat((run - share)[heads], np.diff(np.append(heads, len(end))))
-    total = np.repeat(np.maximum.reduceat(run, heads), np.diff(np.append(heads, len(end))))
-    ladder = group + np.minimum(run / total, 1.0)
-    last = np.append(heads[1:], len(end)) - 1
-    ladder[last] = np.arange(len(heads)) + 1.0
-    rung = np.full(len(points) + len(sizes), -1, dtype=np.int64)
-    rung[end[heads]] = np.arange(len(heads))
+    count = np.diff(np.append(heads, len(end)))
+    last = heads + count - 1
+    upto = share  # summed place by place, so that no sum depends on the other chunks of the slice
+    for k in range(1, int(count.max())):
+        at = heads[count > k] + k
+        upto[at] += upto[at - 1]
+    upto = upto / np.repeat(upto[last], count)
+    upto[last] = 1.0
+    entrance = np.full(len(points) + len(sizes), -1, dtype=np.int64)
+    entrance[end[heads]] = heads
 
     row = mix64(keys.astype(np.uint64) ^ mix64(np.array([seed + 1], np.uint64)))[chunks.text]
     row = mix64(row + chunks.ordinal.astype(np.uint64) * BASE)
@@ -227,7 +228,11 @@ def encode(texts: list[str], keys: np.ndarray, model: dict, seed: int = 0) -> tu
     who, step, taken = np.arange(len(place)), 0, []
     while len(who):
         u = (mix64(row[who] + np.uint64((step + 1) * int(BASE_INVERSE) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        edge = np.minimum(np.searchsorted(ladder, rung[place] + u, side="right"), last[rung[place]])
+        edge = entrance[place]  # the first edge of the place whose running share exceeds u
+        behind = np.flatnonzero(upto[edge] <= u)
+        while len(behind):
+            edge[behind] += 1
+            behind = behind[upto[edge[behind]] <= u[behind]]
         taken.append((who, edge))
         place = begin[edge]
         more = place != entry[number[who]]
