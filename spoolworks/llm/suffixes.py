@@ -32,8 +32,9 @@ SHALLOW = 32
 PART_BYTES = 2 << 20
 BUNDLE_BYTES = 8 << 20
 WINDOWS = 150_000
-#: An anchor met so often is dealt by single strings instead of by anchor.
-HOT_ENTRIES = 200
+#: An anchor met in so many slices (two entries each at most) is dealt by single strings instead of by
+#: anchor, so that no task has to hold its contexts: below, they are at most those of some GB of text.
+HOT_ENTRIES = 4000
 LAST = np.iinfo(np.int64).max  # the place of null ids in the order
 B = 0x9E3779B97F4A7C15
 
