@@ -251,7 +251,8 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     branches that are noise even within articles. Features are summed before they
     move, so a hot host is many small sums.
     """
-    tree = pages.mapInArrow(_features, TREE).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    summed = pages.mapInArrow(_features, TREE).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    tree = write_through(summed, "style_trees")  # read twice, parsed once
     sizes = tree.where("kind = 2").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
     by_path = (
         tree.where("kind < 2")
