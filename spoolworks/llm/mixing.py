@@ -159,6 +159,10 @@ def _mixed(
     at = f"(`{lo}` div {block})"
     turn = F.expr(f"if({f}.rounds > 0, {at}, ({chosen(at)}) - ({chosen('0')})) + 1")
     shard = F.least(F.lit(shards - 1), F.size(F.filter(F.col(f"{facts}.upto"), lambda c: c < turn)))
+    # one seeded word of the document stands for it, so its chance of a further copy is its share of chosen words
+    word = f"(`{lo}` + pmod(xxhash64({seed}, `{order}`, `{id_col}`), greatest(`{size}`, 1)))"
+    at = f"({word} div {block})"
+    copies = F.expr(f"if(`{size}` = 0, 0, {f}.rounds + ({chosen(f'{at} + 1')}) - ({chosen(at)}))")
     (answer,) = free(placed, "mix")
     made = F.struct(
         F.col(size).cast("long").alias("size"),
@@ -166,6 +170,7 @@ def _mixed(
         F.col(f"{facts}.target").alias("target"),
         taken.alias("taken"),
         F.when(taken > 0, shard).cast("int").alias("mix_shard"),
+        copies.cast("int").alias("copies"),
     )
     return placed.select(*docs.columns, made.alias(answer)), answer
 
@@ -193,13 +198,13 @@ def seeded_order(seed: int, id_col: str, text_col: str):
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole documents: each is given as often as its taken words, rounded, fill it (0 to 2).
+    """The mix as whole documents (0 to 2 of each): one for each whole round of its source, and one more
+    if a seeded word of the document lies in a chosen block.
 
-    Documents without words are not part of any mix. All columns stay.
+    So a document's expected copies are its taken words over its size, whatever the length of blocks, and a source's words
+    stray from its quota only as a draw of its documents does. Documents without words are not part of any mix. All columns stay.
     """
     mixed, answer = _mixed(docs, **options)
     (copies,) = free(mixed, "copies")
-    a = f"`{answer}`"
-    times = F.expr(f"if({a}.size = 0, 0, cast((2 * {a}.taken + {a}.size) div (2 * greatest({a}.size, 1)) AS int))")
-    kept = mixed.withColumn(copies, times).where(F.col(copies) > 0)
+    kept = mixed.withColumn(copies, F.col(f"`{answer}`.copies")).where(F.col(copies) > 0)
     return kept.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

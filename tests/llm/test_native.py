@@ -208,6 +208,23 @@ def test_mix_edges(docs_of):
     assert mixing.mixed_documents(docs_of([])).count() == 0
 
 
+def test_whole_documents_follow_targets_beside_a_tiny_source(spark):
+    """A tiny source makes blocks of a few words; documents of every other source still meet its target."""
+    rows = [(i, f"s{i % 21:02d}", 300 + i % 200) for i in range(21_000)]
+    rows += [(100_000 + i, "hot", 300 + i % 200) for i in range(12_000)] + [(200_000 + i, "tiny", 500) for i in range(2)]
+    frame = spark.createDataFrame([(i, "t", s, n) for i, s, n in rows], "doc_id long, text string, source string, n long").repartition(4)
+    targets = {r.source: r.target for r in mixing.mix(frame, size_col="n").select("source", "target").distinct().collect()}
+    assert len(targets) == 23
+    got = mixing.mixed_documents(frame, size_col="n").groupBy("doc_id", "source", "n").count().collect()
+    assert max(r["count"] for r in got) <= 2
+    words = defaultdict(int)
+    for r in got:
+        words[r.source] += r.n * r["count"]
+    assert words["hot"] == pytest.approx(targets["hot"], rel=0.05)
+    off = {s: (words[s], t) for s, t in targets.items() if s != "tiny" and abs(words[s] - t) > 0.12 * t}
+    assert not off, off
+
+
 @pytest.mark.parametrize("targets", [[5.0, 3.0, 2.0], [100.0, 0.5, 0.0, 33.3], [1.0] * 7, [1000.0, 1.0, 1.0, 998.0]])
 def test_quotas_are_sainte_lague(spark, targets):
     frame = spark.createDataFrame([(f"s{i}", i, t) for i, t in enumerate(targets)], "source string, rank int, target double")
