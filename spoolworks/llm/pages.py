@@ -29,6 +29,8 @@ ARTICLE_PAGES = 20
 PRESENTATION = 0.1
 #: Up to so many noise branches are broadcast (16 bytes each and a host number); more are joined by host.
 BROADCAST_BRANCHES = 500_000
+#: Up to so many pages whose texts come again are broadcast (16 bytes each); more are joined by their hash.
+BROADCAST_COPIES = 500_000
 
 # Elements whose text never belongs to a page's article, elements that end a block,
 # elements without an end, and words in class, id or role that name page furniture.
@@ -212,35 +214,78 @@ def host_of(url):
     return F.lower(F.regexp_replace(F.regexp_extract(whole(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), r"^.*@|:[0-9]*$", ""))
 
 
-TREE = "host string, path long, kind int, feature long, n long"
+PRINTS = "host string, key long, print long, n long"
+TREE = "host string, path long, kind int, feature long, n double"
+
+
+def _print(blocks: list[Block]) -> tuple[int, list[int]]:
+    """The print of a page's texts, and the hash of each."""
+    texts = [xxhash.xxh3_64_intdigest(b.text) >> 1 for b in blocks]
+    return xxhash.xxh3_64_intdigest(np.array(texts, np.uint64).tobytes()) >> 1, texts
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each host and page (``key``), with the print of the page's texts; copies within a slice are one row."""
+    for batch in batches:
+        for part in slices(batch, "html"):
+            found: dict[int, list] = {}
+            for k, (host, key) in enumerate(zip(part.column("host").to_pylist(), part.column("key").to_pylist())):
+                if key not in found:
+                    found[key] = [host, key, _print(read_page(part.column("html")[k].as_py())[0])[0], 0]
+                found[key][3] += 1
+            hosts, keys, prints, counts = zip(*found.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array(counts, pa.int64())],
+                names=["host", "key", "print", "n"],
+            )
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and path, counts of features over distinct pages: 0 text of blocks, 1 looks, 2 a row for the page."""
+    """Per host and path, counts of features over pages: 0 text of blocks, 1 looks. A page in ``copies`` rows adds its part in each."""
     for batch in batches:
         counts: Counter = Counter()
         for part in slices(batch, "html"):
-            seen = set()
-            for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                blocks, shapes = read_page(page)
-                texts = [xxhash.xxh3_64_intdigest(b.text) >> 1 for b in blocks]
-                print_ = xxhash.xxh3_64_intdigest(np.array(texts, np.uint64).tobytes()) >> 1
-                if (host, print_) in seen:
-                    continue
-                seen.add((host, print_))
-                counts[host, 0, 2, print_] += 1
-                for path, feature in {(p, t) for b, t in zip(blocks, texts) for p in b.paths}:
-                    counts[host, path, 0, feature] += 1
+            seen: dict[int, tuple[str, int, float]] = {}
+            for k, (host, key, copies) in enumerate(zip(*(part.column(c).to_pylist() for c in ("host", "key", "copies")))):
+                _, first, rows = seen.get(key, (host, k, 0))
+                seen[key] = host, first, rows + 1 / copies
+            for host, k, weight in seen.values():
+                blocks, shapes = read_page(part.column("html")[k].as_py())
+                for path, feature in {(p, t) for b, t in zip(blocks, _print(blocks)[1]) for p in b.paths}:
+                    counts[host, path, 0, feature] += weight
                 for path, shape in shapes:
-                    counts[host, path, 1, shape] += 1
+                    counts[host, path, 1, shape] += weight
         if counts:
             hosts, paths, kinds, features = zip(*counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(features, pa.int64()), pa.array(list(counts.values()), pa.int64())],
+                [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(features, pa.int64()), pa.array(list(counts.values()), pa.float64())],
                 names=["host", "path", "kind", "feature", "n"],
             )
 
 
+def _distinct_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages (host, html, key, copies) that stand for all of their print, and each host's number of prints.
+
+    Of the pages of one host with the same texts the one of least key stands for all; it is in ``copies`` rows. Only
+    keys of prints that come more than once are joined back, so no page moves for it unless these are very many.
+    """
+    keyed = pages.withColumn("key", F.xxhash64("host", "html"))
+    prints = keyed.mapInArrow(_prints, PRINTS).groupBy("host", "print", "key").agg(F.sum("n").alias("n"))
+    prints = write_through(prints, "prints")
+    picks = prints.groupBy("host", "print").agg(F.min("key").alias("pick"), F.sum("n").alias("rows"))
+    sizes = picks.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    again = picks.where("rows > 1").select(F.col("host").alias("of_host"), F.col("print").alias("of_print"), "pick")
+    repeated = (
+        prints.join(again, (F.col("host") == F.col("of_host")) & (F.col("print") == F.col("of_print")))
+        .groupBy(F.col("key").alias("of_key"))
+        .agg(F.sum(F.when(F.col("key") == F.col("pick"), F.col("n")).otherwise(0)).alias("copies"))
+    )
+    repeated = write_through(repeated, "repeated")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_COPIES else repeated
+    chosen = keyed.join(repeated, F.col("key") == F.col("of_key"), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return chosen.where("copies > 0").select("host", "html", "key", "copies"), sizes
+
+
 def noise_branches(pages: DataFrame) -> DataFrame:
     """Branches (host, path, inside) of low importance in the hosts' style trees, from rows of (host, html).
 
@@ -248,15 +293,15 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     content importance is the mean over its texts of one minus the text's entropy over the
     pages, log(pages with it) / log(pages): 1 if no text comes twice, 0 if every page has the same. Its
     presentation importance is the entropy of how its children look. ``inside`` marks the
-    branches that are noise even within articles. Features are summed before they
-    move, so a hot host is many small sums.
+    branches that are noise even within articles. Pages of a host with the same texts are one page, however they lie
+    in the table. Features are summed before they move, so a hot host is many small sums.
     """
-    summed = pages.mapInArrow(_features, TREE).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    tree = write_through(summed, "style_trees")  # read twice, parsed once
-    sizes = tree.where("kind = 2").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    chosen, sizes = _distinct_pages(pages)
+    # parts of a page's copies add up to whole numbers
+    tree = chosen.mapInArrow(_features, TREE).groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
+    sizes = sizes.where(F.col("pages") >= MIN_PAGES)
     by_path = (
-        tree.where("kind < 2")
-        .groupBy("host", "path")
+        tree.groupBy("host", "path")
         .agg(
             F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("texts"),
             F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("repeats"),

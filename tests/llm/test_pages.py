@@ -58,6 +58,22 @@ def test_copies_of_a_page_are_one_page(spark):
     assert {r.text for r in pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"the same article"}
 
 
+def test_copies_over_many_partitions_are_one_page(spark):
+    """A page copied over the whole table has as much weight in its host's style tree as any other page."""
+    def page(i):
+        return f"<body><article><p>own words of page {i}</p><p>more {i}</p></article></body>"
+
+    mirrored = "<body><article><p>start of it</p><blockquote>quoted once</blockquote></article><!-- {} --></body>"
+    rows = [(i, f"http://host.example/{i}", page(i)) for i in range(99)]
+    rows += [(1000 + i, f"http://host.example/m{i}", mirrored.format(i % 3)) for i in range(120)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(60, "page_id")
+    got = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert {got[1000 + i] for i in range(120)} == {"start of it quoted once"}
+    chosen, sizes = pages._distinct_pages(frame.select(pages.host_of("url").alias("host"), "html"))
+    assert [tuple(r) for r in sizes.collect()] == [("host.example", 100)]
+    assert sorted(r.copies for r in chosen.collect()) == [1] * 99 + [40] * 40
+
+
 def test_edges(spark):
     rows = [(1, None, None), (None, "", "<p>x"), (2, "http://h/", ""), (2, "http://h/", ""), (3, "nonsense", "<p>" + "é" * 100_000)]
     got = pages.extract(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'own' AS host", "1 AS noise")).collect()
