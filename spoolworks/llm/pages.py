@@ -6,7 +6,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +83,7 @@ class Node:
     noisy: bool
     article: bool
     skipped: bool = False  # within an inline element that is no part of the text around it
-    children: list[str] = field(default_factory=list)
+    children: int = 0  # a rolling hash of their tags
 
 
 @dataclass
@@ -135,7 +135,7 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
             if stack[-1].tag in BLOCKS:
                 flush()
             node = stack.pop()
-            shapes[node.path, xxhash.xxh3_64_intdigest(" ".join(node.children)) >> 1] += 1
+            shapes[node.path, node.children >> 1] += 1
 
     at, end = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
@@ -165,8 +165,7 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
             if tag in BLOCKS:
                 flush()
             parent = stack[-1]
-            if len(parent.children) < 64:
-                parent.children.append(tag)
+            parent.children = xxhash.xxh3_64_intdigest(tag, parent.children)
             if tag in VOID:
                 continue
             name, noisy = _look(tag, m[3])

@@ -42,6 +42,12 @@ def test_pages_by_hand(page, want):
     assert text_of(page) == want
 
 
+def test_looks_differ_by_any_child():
+    looks = lambda last: set(pages.read_page("<ul>" + "<li>x</li>" * 100 + f"<{last}>y</{last}></ul>")[1])
+    assert looks("li") == looks("li") and len(looks("li") - looks("div")) == 1
+    assert len(set(pages.read_page("<ul><li>x</li></ul><ul><li>x</li></ul><ul></ul>")[1])) == 3
+
+
 def test_style_tree_finds_unnamed_noise(spark):
     def page(i):
         links = "".join(f"<span>link {k}</span>" for k in range(4))
