@@ -299,7 +299,7 @@ def _(t):
 def image_folder(t):
     """A folder of real files made from the tables, by the sink that writes bytes under generated names."""
     folder = scratch_path(t.spark, "images")
-    bodies = contents(t).select(F.substring_index("path", "/", -1).alias("dest"), "path", F.substring("content", 1, 200).alias("content"))
+    bodies = contents(t).select(F.substring_index("path", "/", -1).alias("dest"), "path", "content")
     return folder, write_images(bodies, folder, src="path", content="content")
 
 
@@ -354,6 +354,18 @@ def _(t):
     return split_caption_records(records, listing, "doc_id", "/in")
 
 
+def manifest_copies(t):
+    """The folder, manifest and statuses of whole texts copied under the names of their lengths."""
+    # equal lengths give equal names, so the first writer by document wins; the listing says what was written
+    rows = split_exact_ranked(t.documents.select("doc_id", "n_chars"), "doc_id")
+    source = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    manifest = C.image_manifest(rows, source, index="n_chars").select("dest", "src", "split", "doc_id")
+    body = F.concat(F.lit(b"\xff\xd8\xff\xe0"), F.encode("text", "UTF-8"))
+    folder = scratch_path(t.spark, "copies")
+    bodies = manifest.join(t.documents.select("doc_id", body.alias("content")), "doc_id")
+    return folder, manifest, write_images(bodies, folder, content="content", order_key="doc_id")
+
+
 @query(
     "write_image_manifest",
     """SELECT dest, src, split, 4 + least(196, octet_length(encode(text))) AS length FROM (
@@ -364,15 +376,10 @@ def _(t):
     (V_RANKED, V_SPLIT),
 )
 def _(t):
-    # equal lengths give equal names, so the first writer by document wins; the listing says what was written
-    rows = split_exact_ranked(t.documents.select("doc_id", "n_chars"), "doc_id")
-    source = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
-    manifest = C.image_manifest(rows, source, index="n_chars").select("dest", "src", "split", "doc_id")
-    body = F.concat(F.lit(b"\xff\xd8\xff\xe0"), F.substring(F.encode("text", "UTF-8"), 1, 196))
-    folder = scratch_path(t.spark, "copies")
-    bodies = manifest.join(t.documents.select("doc_id", body.alias("content")), "doc_id")
-    copied = write_images(bodies, folder, content="content", order_key="doc_id")
-    listed = scan_image_files(t.spark, folder).select(F.substring_index("path", "/", -1).alias("dest"), "length")
+    folder, manifest, copied = manifest_copies(t)
+    # the files are whole; only the length given is the one that the SQL defines, with its 200 bytes at most
+    length = F.least(F.lit(200), F.col("length")).cast("long").alias("length")
+    listed = scan_image_files(t.spark, folder).select(F.substring_index("path", "/", -1).alias("dest"), length)
     return drop_failed_copies(manifest, copied).select("dest", "src", "split").join(listed, "dest")
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 
 from spoolworks import schemas, scratch_root, write_through
 from spoolworks.operators import ranking as R
+from spoolworks.plans import queries_images
 from spoolworks.plans.metric_data import metric_series
+from spoolworks.plans.standins import Tables
 from spoolworks.sinks import files as K
 from spoolworks.sources import files as S
 
@@ -162,3 +164,19 @@ def test_schemes_of_copies():
     assert K.plain_uri("s3a://bucket/x") == "s3://bucket/x" and K.plain_uri("hdfs://n:1/x") == "hdfs://n:1/x"
     with pytest.raises(ValueError, match="wasb"):
         K.plain_uri("wasb://a/b")
+
+
+def test_copied_images_are_whole(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    bodies = {r.path.rpartition("/")[2]: len(r.content) for r in queries_images.contents(t).collect()}
+    folder, _ = queries_images.image_folder(t)
+    assert {r.path.rpartition("/")[2]: r.length for r in S.scan_image_files(spark, folder).collect()} == bodies
+    assert max(bodies.values()) > 200
+    folder, manifest, copied = queries_images.manifest_copies(t)
+    texts = {r.doc_id: len(r.text.encode()) for r in t.documents.collect()}
+    first = {}
+    for r in manifest.collect():
+        first[r.dest] = min(r.doc_id, first.get(r.dest, r.doc_id))
+    want = {dest: 4 + texts[doc] for dest, doc in first.items()}
+    assert {r.path.rpartition("/")[2]: r.length for r in S.scan_image_files(spark, folder).collect()} == want
+    assert {r.status for r in copied.collect()} == {"written"}
