@@ -101,26 +101,30 @@ def _(t):
     return S.scan_run_logs(t.spark.read.schema(schema).json(path)).select("run", "step", "tag", "value")
 
 
-@query(
-    "scan_trainer_states",
-    """SELECT run, max(step) AS step, CAST(count(*) AS BIGINT) AS entries FROM (
-         SELECT CAST(run AS VARCHAR) AS run, step, unnest(['loss', 'learning_rate']) AS tag FROM v_train_log) q GROUP BY run""",
-    (V_TRAIN_LOG,),
-)
-def _(t):
-    """Two states of each run, the newer one holding the whole history; only that counts."""
+def trainer_states(t):
+    """Two states of each run, in pieces of at most 1,000 steps, so that no record grows with its run."""
     path = scratch_path(t.spark, "trainer-states")
     log = t.train_log
     half = log.groupBy("run").agg(F.ceil(F.max("step") / 2).alias("upto"))
     early = log.join(half, "run").where("step <= upto").drop("upto")
     for name, rows in (("checkpoint-00000001", early), ("checkpoint-00000002", log)):
-        states = rows.groupBy("run").agg(
+        states = rows.groupBy("run", F.floor((F.col("step") - 1) / STATE_STEPS).alias("piece")).agg(
             F.array_sort(F.collect_list(F.struct("step", "loss", "learning_rate"))).alias("log_history"), F.max("step").alias("global_step")
         )
         states.select(F.col("run").cast("string").alias("run"), "global_step", "log_history").write.json(f"{path}/{name}")
     schema = T.StructType([T.StructField("run", T.StringType()), *S.TRAINER_STATE.fields])
-    states = S.read_trainer_states(t.spark, f"{path}/*", multi_line=False, schema=schema)
-    newest = states.withColumn("path", F.regexp_extract("path", "checkpoint-[0-9]+", 0))
+    return S.read_trainer_states(t.spark, f"{path}/*", multi_line=False, schema=schema)
+
+
+@query(
+    "scan_trainer_states",
+    """SELECT run, max(step) AS step, CAST(count(*) AS BIGINT) AS entries FROM (
+         SELECT CAST(run AS VARCHAR) AS run, step, unnest(['loss', 'learning_rate']) AS tag FROM v_train_log) q GROUP BY run""",
+    (V_TRAIN_LOG,),
+)
+def _(t):
+    """Two states of each run, the newer one holding the whole history; only that counts."""
+    newest = trainer_states(t).withColumn("path", F.regexp_extract("path", "checkpoint-[0-9]+", 0))
     series = S.scan_run_logs(newest, path="path")
     return series.groupBy("run").agg(F.max("step").alias("step"), F.count(F.lit(1)).alias("entries"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from spoolworks import schemas, scratch_root, write_through
 from spoolworks.operators import ranking as R
-from spoolworks.plans import queries_images
+from spoolworks.plans import catalog, queries_images, queries_io
 from spoolworks.plans.metric_data import metric_series
 from spoolworks.plans.standins import Tables
 from spoolworks.sinks import files as K
@@ -180,3 +180,15 @@ def test_copied_images_are_whole(spark):
     want = {dest: 4 + texts[doc] for dest, doc in first.items()}
     assert {r.path.rpartition("/")[2]: r.length for r in S.scan_image_files(spark, folder).collect()} == want
     assert {r.status for r in copied.collect()} == {"written"}
+
+
+def test_trainer_states_come_in_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(queries_io, "STATE_STEPS", 7)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    steps = {str(r.user_id): r["count"] for r in t.events.groupBy("user_id").count().collect()}
+    assert max(steps.values()) > 7
+    states = queries_io.trainer_states(t).select("run", "path", F.size("log_history").alias("n")).collect()
+    assert max(r.n for r in states) <= 7
+    assert {run: sum(r.n for r in states if r.run == run and "checkpoint-00000002" in r.path) for run in steps} == steps
+    got = catalog.callables()["scan_trainer_states"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.run: (r.step, r.entries) for r in got} == {run: (n, 2 * n) for run, n in steps.items()}
