@@ -143,3 +143,10 @@ def _(spark, folder):
     from .vectors import top_k
 
     return top_k(table(spark, folder, "embeddings"))
+
+
+@query("op11_simhash")
+def _(spark, folder):
+    from .simhash import near_duplicate_components
+
+    return near_duplicate_components(table(spark, folder, "documents"))
