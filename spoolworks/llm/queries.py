@@ -150,3 +150,10 @@ def _(spark, folder):
     from .simhash import near_duplicate_components
 
     return near_duplicate_components(table(spark, folder, "documents"))
+
+
+@query("op13_conversation_repair")
+def _(spark, folder):
+    from .conversations import damage, repair_digest
+
+    return repair_digest(damage(table(spark, folder, "conversations")))
