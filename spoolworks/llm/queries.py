@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import WORD, table, whole
+from .conversations_sql import SQL as REPAIR
 
 QUERIES, SQL = {}, {}
 
@@ -152,8 +153,15 @@ def _(spark, folder):
     return near_duplicate_components(table(spark, folder, "documents"))
 
 
-@query("op13_conversation_repair")
+@query("op13_conversation_repair", REPAIR)
 def _(spark, folder):
     from .conversations import damage, repair_digest
 
     return repair_digest(damage(table(spark, folder, "conversations")))
+
+
+@query("op12_token_alignment")
+def _(spark, folder):
+    from .alignment import link_digest
+
+    return link_digest(table(spark, folder, "documents"))
