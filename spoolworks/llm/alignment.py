@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import write_through
+from ..session import scratch_path, write_through
 from .arrow import mix64, slices
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -31,6 +31,10 @@ SLICES = 64
 SLICE_BYTES = 2 << 20
 #: Blocks whose pairs of one slice meet in one task.
 FAN_IN = 128
+#: Words encoded as one string; words whose string is encoded at a time; words that a task remembers.
+JOINED = 50
+LEARN = 20_000
+KNOWN_WORDS = 500_000
 #: Tables of one slice that a step of a tree merges.
 TREE = 16
 #: Pair tables of at most so many bytes are broadcast.
@@ -81,7 +85,7 @@ def load_pieces(path: str = PIECE_BPE) -> dict:
 
 
 class Encoder:
-    """Both tokenizers of a task, opened once."""
+    """Both tokenizers of a task, opened once, and what is known of words already met."""
 
     def __init__(self, first: dict, second: dict):
         import os
@@ -94,6 +98,11 @@ class Encoder:
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second["spec"])
         self.tables = first["bytes"], second["bytes"]
+        self.sizes = tuple(np.array([len(x) for x in t], dtype=np.int64) for t in self.tables)
+        self.width, self.kinds = pair_width(second), tuple(map(id_kind, self.tables))
+        n = max(map(len, self.tables))
+        self.names = pa.array([f"{i}{end}".encode() for i in range(n) for end in (",", "|", ";", "")], pa.large_binary())
+        self.known: dict[bytes, tuple] = {}
 
     def first_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that begin with a blank of their own."""
@@ -103,6 +112,71 @@ class Encoder:
         """Ids of the same texts; this tokenizer puts the leading blank itself."""
         return self.second.encode([t[1:] for t in texts], num_threads=1)
 
+    def _one_by_one(self, words: list[bytes]) -> tuple[list, list, np.ndarray]:
+        """Ids of each word by both, and whether a word is not what its tokens join to; such a word has none."""
+        plain = [w.decode() for w in words]
+        ids, wrong = (self.first_ids(plain), self.second_ids(plain)), np.zeros(len(words), dtype=bool)
+        for part, table in zip(ids, self.tables):
+            wrong |= np.array([b"".join([table[i] for i in x]) != w for x, w in zip(part, words)], dtype=bool)
+        return *[[[] if bad else x for x, bad in zip(part, wrong.tolist())] for part in ids], wrong
+
+    def _together(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Flat ids and ids a word by both, of words encoded ``JOINED`` at a time; None if a token crosses words."""
+        joined = [b"".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        plain = [j.decode() for j in joined]
+        ends, out = np.cumsum([len(w) for w in words]), []
+        for encode, table, sizes in zip((self.first_ids, self.second_ids), self.tables, self.sizes):
+            ids = encode(plain)
+            if any(b"".join([table[i] for i in part]) != j for part, j in zip(ids, joined)):
+                return None
+            flat, _ = _flat(ids)
+            token_ends = np.cumsum(sizes[flat])
+            at = np.searchsorted(token_ends, ends)
+            if len(words) and not (token_ends[at] == ends).all():
+                return None
+            out.append((flat, np.diff(at, prepend=-1)))
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        # a word that ends in white space could take part of the next word's blanks
+        joinable = [w for w in words if not w[-1:].isspace() and not w.decode()[-1].isspace()]
+        for at in range(0, len(joinable), LEARN):
+            part = joinable[at : at + LEARN]
+            found = self._together(part)
+            if found is None:
+                continue
+            self._keep(part, Alignment(*found[0], *found[1], self.sizes), np.zeros(len(part), dtype=bool))
+        rest = [w for w in words if w not in self.known]
+        if rest:
+            first, second, wrong = self._one_by_one(rest)
+            self._keep(rest, Alignment(*_flat(first), *_flat(second), self.sizes), wrong)
+
+    def _keep(self, words: list[bytes], met: "Alignment", wrong: np.ndarray) -> None:
+        keys, cut = met.keys(self.width).astype("<u8"), met.doc_link.tolist()
+        (a, cut_a), (b, cut_b) = ((x.astype(kind), y.tolist()) for x, y, kind in zip((met.a, met.b), (met.doc_a, met.doc_b), self.kinds))
+        rows = zip(words, wrong.tolist(), np.diff(met.doc_group).tolist(), cut, cut[1:], met.texts(self.names), cut_a, cut_a[1:], cut_b, cut_b[1:])
+        for word, bad, n_groups, x, y, shown, p, q, r, s in rows:
+            self.known[word] = bad, n_groups, keys[x:y].tobytes(), shown + b";", a[p:q].tobytes(), b[r:s].tobytes()
+
+    def facts(self, words: list[bytes]) -> list[tuple]:
+        """For each word: whether it is wrong, its groups, packed id pairs of its links, groups as text, packed ids by both."""
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > KNOWN_WORDS:
+            self.known.clear()
+            fresh = words
+        self._learn(fresh)
+        return [self.known[w] for w in words]
+
+
+def id_kind(table: list[bytes]) -> str:
+    """How ids are packed."""
+    return "<u2" if len(table) <= 1 << 16 else "<u4"
+
+
+def pair_width(second: dict) -> int:
+    """Bits of the second id in the number of a pair."""
+    return max(1, (len(second["bytes"]) - 1).bit_length())
+
 
 def cuts(data: np.ndarray) -> np.ndarray:
     """Places of blanks that neither tokenizer can join to what stands before them.
@@ -137,7 +211,7 @@ def _gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 class Words:
-    """Texts cut into words, both tokenizers' ids of every distinct word, and the words of each text.
+    """Texts cut into words, and what both tokenizers make of every distinct word.
 
     Every text stands behind one blank. A word begins where neither tokenizer can join, so a text's ids are those of its
     words. A text with a word that its tokens do not join to is encoded again as one word. ``fits`` says
@@ -152,56 +226,50 @@ class Words:
         cut[cuts(data)] = True
         cut[begins] = True
         self.fits = np.array([bool(t) for t in texts])
-        self._encode(coder, joined, cut, begins)
-        again = np.flatnonzero(self.fits & self._holds_wrong())
+        self._look(coder, joined, cut, begins)
+        again = np.flatnonzero(self.fits & (self.sums(self.wrong) > 0))
         if len(again):
             for i in again.tolist():
                 cut[begins[i] + 1 : begins[i + 1]] = False
-            self._encode(coder, joined, cut, begins)
-            self.fits &= ~self._holds_wrong()
+            self._look(coder, joined, cut, begins)
+            self.fits &= self.sums(self.wrong) == 0
 
-    def _encode(self, coder: Encoder, joined: bytes, cut: np.ndarray, begins: np.ndarray) -> None:
+    def _look(self, coder: Encoder, joined: bytes, cut: np.ndarray, begins: np.ndarray) -> None:
         at = np.flatnonzero(cut).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(joined)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        plain = [w.decode() for w in distinct]
         self.index, self.first = words.indices.to_numpy(), np.searchsorted(at, begins)
-        self.wrong = np.zeros(len(distinct), dtype=bool)
-        self.ids = coder.first_ids(plain), coder.second_ids(plain)
-        for ids, table in zip(self.ids, coder.tables):
-            self.wrong |= np.array([b"".join([table[i] for i in part]) != word for part, word in zip(ids, distinct)], dtype=bool)
-
-    def _holds_wrong(self) -> np.ndarray:
-        return self.sums(self.wrong) > 0
+        wrong, n_groups, keys, self.shown, *self.ids = zip(*coder.facts(words.dictionary.to_pylist()))
+        self.wrong, self.n_groups = np.array(wrong, dtype=np.int64), np.array(n_groups, dtype=np.int64)
+        self.n_links = np.array([len(k) >> 3 for k in keys], dtype=np.int64)
+        self.keys, self.number = np.unique(np.frombuffer(b"".join(keys), dtype="<u8"), return_inverse=True)
 
     def sums(self, each: np.ndarray) -> np.ndarray:
         """The sum over each text's words of a number that each distinct word has."""
-        return np.add.reduceat(each[self.index].astype(np.int64), self.first[:-1]) if len(self.first) > 1 else np.zeros(0, np.int64)
+        return np.add.reduceat(each[self.index], self.first[:-1])
 
-    def aligned(self, sizes: tuple[np.ndarray, np.ndarray]) -> "Alignment":
-        """The alignment of every distinct word; wrong words have no tokens."""
-        kept = [[[] if bad else part for part, bad in zip(ids, self.wrong.tolist())] for ids in self.ids]
-        (a, n_a), (b, n_b) = _flat(kept[0]), _flat(kept[1])
-        return Alignment(a, n_a, b, n_b, sizes)
+    def joined(self, each: tuple[bytes, ...]) -> list[bytes]:
+        """For each text, what its words have, one behind the other; nothing for texts without tokens."""
+        column = pa.array(each, pa.large_binary()).take(pa.array(self.index))
+        places, data = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1)[self.first].tolist(), memoryview(column.buffers()[2] or b"")
+        return [bytes(data[a:b]) if fit else b"" for a, b, fit in zip(places, places[1:], self.fits.tolist())]
 
-    def group_texts(self, shown: list[bytes]) -> list[bytes]:
-        """The joined groups of each text, from those of its words."""
-        column = pa.array([x + b";" for x in shown], pa.large_binary()).take(pa.array(self.index))
-        places, data = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1)[self.first].tolist(), memoryview(column.buffers()[2])
-        return [bytes(data[a : b - 1]) if fit else b"" for a, b, fit in zip(places, places[1:], self.fits.tolist())]
+    def columns(self) -> dict[str, list]:
+        """Packed ids by both, groups, links and the hash of the groups, of each text."""
+        shas = [hashlib.sha256(memoryview(t)[:-1]).hexdigest() if t else "" for t in self.joined(self.shown)]
+        counted = {"n_groups": self.sums(self.n_groups) * self.fits, "n_links": self.sums(self.n_links) * self.fits}
+        return {"a": self.joined(self.ids[0]), "b": self.joined(self.ids[1]), **counted, "groups_sha256": shas}
 
-    def held_links(self, met: "Alignment", width: int) -> tuple[np.ndarray, np.ndarray]:
+    def held_links(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct id pairs and how many of the texts hold each."""
-        n_words = max(1, len(self.wrong))
+        n_words, n_keys = len(self.wrong), max(1, len(self.keys))
         text = np.repeat(np.arange(len(self.fits)), np.diff(self.first))
         held = np.unique((text * n_words + self.index)[self.fits[text]])
         text, word = held // n_words, held % n_words
-        keys, number = np.unique(met.keys(width), return_inverse=True)
-        n_links = np.diff(met.doc_link)
-        links = _gather(number, met.doc_link[:-1][word], n_links[word])
-        pairs = np.unique(np.repeat(text, n_links[word]) * max(1, len(keys)) + links)
-        counts = np.bincount(pairs % max(1, len(keys)), minlength=len(keys))
-        return keys[counts > 0], counts[counts > 0]
+        begins = np.cumsum(self.n_links) - self.n_links
+        links = _gather(self.number, begins[word], self.n_links[word])
+        pairs = np.unique(np.repeat(text, self.n_links[word]) * n_keys + links)
+        counts = np.bincount(pairs % n_keys, minlength=len(self.keys))
+        return self.keys[counts > 0], counts[counts > 0]
 
 
 # ---- alignment
@@ -234,8 +302,8 @@ class Alignment:
         """Each link's id pair as one number."""
         return (self.a[self.link_a].astype(np.uint64) << np.uint64(width)) | self.b[self.link_b].astype(np.uint64)
 
-    def texts(self) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of each document."""
+    def texts(self, names: pa.Array) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of each text; ``names`` has every id four times, before , | ; and nothing."""
         n_a, n_b = len(self.a), len(self.b)
         last_a, last_b = np.zeros(n_a, dtype=bool), np.zeros(n_b, dtype=bool)
         last_a[self.group_a - 1] = True
@@ -245,16 +313,13 @@ class Alignment:
         before_a = np.concatenate([[0], self.group_b])[np.cumsum(last_a) - last_a]  # ids of the other kind that come first
         upto_b = self.group_a[np.cumsum(last_b) - last_b] if n_b else np.zeros(0, dtype=np.int64)
         at_a, at_b = np.arange(n_a) + before_a, np.arange(n_b) + upto_b
-        ids, ends = np.empty(n_a + n_b, dtype=np.int64), np.empty(n_a + n_b, dtype=np.int64)
-        ids[at_a], ends[at_a] = self.a, last_a
-        ids[at_b], ends[at_b] = self.b, 2 + last_b.astype(np.int64) + closing
-        known, index = np.unique(ids * 5 + ends, return_inverse=True)
-        names = pa.array([f"{k // 5}{',|,;'[k % 5] if k % 5 < 4 else ''}".encode() for k in known.tolist()], pa.large_binary())
-        shown = names.take(pa.array(index))
-        places = np.frombuffer(shown.buffers()[1], dtype=np.int64, count=len(shown) + 1)
-        data = shown.buffers()[2]
-        cut = places[self.doc_a + self.doc_b]
-        return [bytes(data[a:b]) if data else b"" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        which = np.empty(n_a + n_b, dtype=np.int64)
+        which[at_a] = 4 * self.a.astype(np.int64) + last_a
+        which[at_b] = 4 * self.b.astype(np.int64) + 2 * last_b + closing  # the last group of a text has no end mark
+        shown = names.take(pa.array(which))
+        data = memoryview(shown.buffers()[2] or b"")
+        cut = np.frombuffer(shown.buffers()[1], dtype=np.int64, count=len(shown) + 1)[self.doc_a + self.doc_b].tolist()
+        return [bytes(data[a:b]) for a, b in zip(cut, cut[1:])]
 
 
 # ---- minimal perfect hash
@@ -323,12 +388,6 @@ def _slice_of(keys: np.ndarray, width: int, n: int) -> np.ndarray:
     return (mix64(keys >> np.uint64(width)) % np.uint64(n)).astype(np.int64)
 
 
-def _model(first: str, second: str) -> tuple[dict, dict, tuple[np.ndarray, np.ndarray], int]:
-    a, b = load_byte_level(first), load_pieces(second)
-    sizes = tuple(np.array([len(x) for x in v["bytes"]], dtype=np.int64) for v in (a, b))
-    return a, b, sizes, max(1, (len(b["bytes"]) - 1).bit_length())
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], coder: Encoder):
     """Documents by blocks of bounded size: the block's rows and their words."""
     for batch in batches:
@@ -338,10 +397,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], coder: Encoder):
                 yield part, Words(coder, texts)
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-
 def _slice_rows(keys: np.ndarray, width: int, n: int, **more: np.ndarray) -> dict[str, list]:
     """Columns of one row for each slice that the keys have: place, packed keys and whatever goes with them."""
     place = _slice_of(keys, width, n)
@@ -354,24 +409,36 @@ def _slice_rows(keys: np.ndarray, width: int, n: int, **more: np.ndarray) -> dic
     return out
 
 
-def block_pairs(docs: DataFrame, first: str = BYTE_BPE, second: str = PIECE_BPE, id_col: str = "doc_id", text_col: str = "text", n_slices: int = SLICES) -> DataFrame:
-    """``block, place, keys, counts``: distinct id pairs of every block of documents, and how many of them hold each."""
-    a, b, sizes, width = _model(first, second)
+PAIRS = [("block", T.LongType()), ("place", T.IntegerType()), ("keys", T.BinaryType()), ("counts", T.BinaryType())]
+ENCODED = [("a", T.BinaryType()), ("b", T.BinaryType()), ("n_groups", T.LongType()), ("n_links", T.LongType()), ("groups_sha256", T.StringType())]
+
+
+def encoded(docs: DataFrame, first: dict, second: dict, id_col: str = "doc_id", text_col: str = "text", n_slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
+    """Documents with their packed ids, and the distinct id pairs of every block of documents with how many of them hold each.
+
+    Both come from one pass over the texts and are written; a block's rows of both kinds have its number.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("id", kept.schema["id"].dataType), *[T.StructField(n, t) for n, t in PAIRS + ENCODED]])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, block = Encoder(a, b), TaskContext.get().partitionId() << 32
-        for _, words in _blocks(batches, coder):
+        coder, block = Encoder(first, second), TaskContext.get().partitionId() << 32
+        for part, words in _blocks(batches, coder):
             block += 1
-            keys, counts = words.held_links(words.aligned(sizes), width)
+            kinds = arrow.set(0, part.schema.field("id"))
+            yield _batch(kinds, id=part.column("id"), block=[block] * part.num_rows, **words.columns())
+            keys, counts = words.held_links()
             if len(keys):
-                rows = _slice_rows(keys, width, n_slices, counts=counts.astype("<u4"))
-                yield _batch(PAIR_ARROW, block=[block] * len(rows["place"]), **rows)
-
-    return _documents(docs, id_col, text_col).mapInArrow(run, PAIRS)
-
+                rows = _slice_rows(keys, coder.width, n_slices, counts=counts.astype("<u4"))
+                yield _batch(kinds, block=[block] * len(rows["place"]), **rows)
 
-PAIRS = "block long, place int, keys binary, counts binary"
-PAIR_ARROW = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    path = scratch_path(docs.sparkSession, "encoded")
+    kept.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    both = docs.sparkSession.read.schema(schema).parquet(path)
+    return both.where("place IS NULL").select("id", "block", *[n for n, _ in ENCODED]), both.where("place IS NOT NULL").select(*[n for n, _ in PAIRS])
 
 
 def _head(table: pa.Table) -> dict:
@@ -470,20 +537,12 @@ class PairTable:
         return at
 
 
-DIGEST = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-
-
-def _digest_rows(part: pa.RecordBatch, words: Words, met: Alignment, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    """One row of every document of a block; ``counts`` and ``best`` are those of each link of each distinct word."""
+def _grouped(pairs: DataFrame, fan_in: int) -> tuple[DataFrame, int]:
+    groups = max(1, math.ceil(pairs.select("block").distinct().count() / fan_in))
+    return pairs.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups))), groups
 
-    def by_word(each: np.ndarray) -> np.ndarray:
-        upto = np.concatenate([[0], np.cumsum(each)])[met.doc_link]
-        return words.sums(np.diff(upto)) * words.fits
 
-    columns = [words.sums(x) * words.fits for x in (met.n_a, met.n_b, np.diff(met.doc_group), np.diff(met.doc_link))]
-    columns += [by_word(best), by_word(counts)]
-    shas = [hashlib.sha256(t).hexdigest() if t else "" for t in words.group_texts(met.texts())]
-    return pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c.astype(np.int64)) for c in columns], pa.array(shas, pa.string())], names=["id", *DIGEST])
+DIGEST = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
 def link_digest(
@@ -505,93 +564,85 @@ def link_digest(
     The second pass reads the pair tables from a broadcast if they take ``broadcast_bytes`` at most; else blocks of documents
     meet the counts of their own pairs by shuffle. Both give the same rows.
     """
-    a, b, sizes, width = _model(first, second)
-    kept = _documents(docs, id_col, text_col)
-    out = T.StructType([T.StructField("id", kept.schema["id"].dataType), *[T.StructField(n, T.LongType()) for n in DIGEST[:-1]], T.StructField(DIGEST[-1], T.StringType())])
+    a, b = load_byte_level(first), load_pieces(second)
+    sizes = tuple(np.array([len(x) for x in v["bytes"]], dtype=np.int64) for v in (a, b))
+    kinds, width = (id_kind(a["bytes"]), id_kind(b["bytes"])), pair_width(b)
+    written, pairs = encoded(docs, a, b, id_col, text_col, n_slices)
+    pairs, groups = _grouped(pairs, fan_in)
+    tables = pair_counts(pairs, groups, width)
+    out = T.StructType([written.schema["id"], *[T.StructField(n, T.LongType()) for n in DIGEST[:-1]], T.StructField(DIGEST[-1], T.StringType())])
 
-    def grouped(written: DataFrame) -> tuple[DataFrame, int]:
-        groups = max(1, math.ceil(written.select("block").distinct().count() / fan_in))
-        return written.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups))), groups
+    def digests(batch: pa.RecordBatch, look_up) -> pa.RecordBatch:
+        """The rows of some documents, aligned again; ``look_up`` gives counts and best marks of distinct pairs."""
+        ids, lengths = zip(*[_unpack(batch.column(c), kind) for c, kind in zip("ab", kinds)])
+        met = Alignment(ids[0], lengths[0], ids[1], lengths[1], sizes)
+        keys, number = np.unique(met.keys(width), return_inverse=True)
+        counts, best = look_up(keys)
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x[number])])[met.doc_link]) for x in (best.astype(np.int64), counts)]
+        columns = [*map(pa.array, lengths), batch.column("n_groups"), batch.column("n_links"), *map(pa.array, sums), batch.column("groups_sha256")]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *DIGEST])
 
-    pairs, groups = grouped(write_through(block_pairs(docs, first, second, id_col, text_col, n_slices), "pairs"))
-    tables = pair_counts(pairs, groups, width)
     size = tables.agg(F.coalesce(F.sum(sum((F.octet_length(c) for c in ("hash", "held", "counts", "best")), F.lit(0).cast("long"))), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        shared = kept.sparkSession.sparkContext.broadcast({r["place"]: tuple(map(bytes, r[1:])) for r in tables.collect()})
+        shared = docs.sparkSession.sparkContext.broadcast({r["place"]: tuple(map(bytes, r[1:])) for r in tables.collect()})
+
+        def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = {place: PairTable(*packed) for place, packed in shared.value.items()}
 
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder, known = Encoder(a, b), {place: PairTable(*packed) for place, packed in shared.value.items()}
-            for part, words in _blocks(batches, coder):
-                met = words.aligned(sizes)
-                keys, number = np.unique(met.keys(width), return_inverse=True)
+            def look_up(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 place = _slice_of(keys, width, n_slices)
-                counts, best = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+                counts, best = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.uint8)
                 for p in np.unique(place).tolist():
-                    here = place == p
-                    # a pair that no fitting text holds was not counted, and no sum reads it
-                    counts[here], best[here] = _found(known.get(p), keys[here])
-                yield _digest_rows(part, words, met, counts[number], best[number])
+                    here = np.flatnonzero(place == p)
+                    at = known[p].places(keys[here])
+                    counts[here], best[here] = known[p].counts[at], known[p].best[at]
+                return counts, best
 
-        return kept.mapInArrow(look_up, out).withColumnRenamed("id", id_col)
+            for batch in batches:
+                for part in slices(batch, "a", SLICE_BYTES):
+                    yield digests(part, look_up)
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, block = Encoder(a, b), TaskContext.get().partitionId() << 32
-        for part, words in _blocks(batches, coder):
-            block += 1
-            keys, counts = words.held_links(words.aligned(sizes), width)
-            rows = _slice_rows(keys, width, n_slices, counts=counts.astype("<u4")) if len(keys) else {"place": []}
-            n, extra = part.num_rows, len(rows["place"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * (n + extra)), pa.concat_arrays([part.column("id"), pa.nulls(extra, part.column("id").type)]), pa.concat_arrays([part.column("text"), pa.nulls(extra, part.column("text").type)])]
-                + [pa.array([None] * n + list(rows.get(c, [])), t) for c, t in (("place", pa.int32()), ("keys", pa.binary()))],
-                names=["block", "id", "text", "place", "keys"],
-            )
-
-    schema = T.StructType([T.StructField("block", T.LongType()), *kept.schema, T.StructField("place", T.IntegerType()), T.StructField("keys", T.BinaryType())])
-    both, groups = grouped(write_through(kept.mapInArrow(again, schema), "blocks"))
-    asked = both.where("keys IS NOT NULL").select("place", "grp", "block", "keys")
+        return written.mapInArrow(by_broadcast, out).withColumnRenamed("id", id_col)
+
+    asked = pairs.select("place", "grp", "block", "keys")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [PairTable.of(right, 0)] if left.num_rows else []
-        rows = [found[0].places(keys) for keys in _values(left.column("keys"), "<u8")] if found else []
-        return pa.table(
-            {"b": left.column("block"), "k": left.column("keys"), "counts": pa.array([found[0].counts[x].tobytes() for x in rows], pa.binary()), "best": pa.array([found[0].best[x].tobytes() for x in rows], pa.binary())}
-        )
+        counts, best = [], []
+        for keys in _values(left.column("keys"), "<u8"):
+            table = PairTable.of(right, 0) if not counts else table
+            at = table.places(keys)
+            counts.append(table.counts[at].tobytes())
+            best.append(table.best[at].tobytes())
+        return pa.table({"b": left.column("block"), "k": left.column("keys"), "counts": pa.array(counts, pa.binary()), "best": pa.array(best, pa.binary())})
 
     answers = asked.groupBy("place", "grp").cogroup(_at_groups(tables, groups).groupBy("place", "grp")).applyInArrow(answer, "b long, k binary, counts binary, best binary")
-    texts = both.where("keys IS NULL").select("block", "id", "text")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, counts, best = (np.concatenate([np.zeros(0, kind), *_values(right.column(c), kind)]) for c, kind in (("k", "<u8"), ("counts", "<i8"), ("best", np.uint8)))
         order = np.argsort(keys)
-        keys, counts, best = keys[order], counts[order], best[order].astype(np.int64)
-        made = []
-        for part, words in _blocks(left.select(["id", "text"]).combine_chunks().to_batches(), Encoder(a, b)):
-            met = words.aligned(sizes)
-            wanted = met.keys(width)
-            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-            made.append(_digest_rows(part, words, met, counts[at] * known if len(keys) else known, best[at] * known if len(keys) else known))
-        return pa.Table.from_batches(made)
 
-    return texts.groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(finish, out).withColumnRenamed("id", id_col)
+        def look_up(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = order[np.searchsorted(keys, wanted, sorter=order)] if len(wanted) else np.zeros(0, np.int64)
+            if not (keys[at] == wanted).all():
+                raise KeyError("an id pair was never counted")
+            return counts[at], best[at]
 
+        return pa.Table.from_batches([digests(batch, look_up) for batch in left.combine_chunks().to_batches()])
 
-def _found(table: PairTable | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and best marks of keys; zeros for those that the table does not hold."""
-    if table is None:
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    at = table.made.find(keys)
-    real = (at >= 0) & (table.held[at] == keys)
-    return table.counts[at] * real, table.best[at].astype(np.int64) * real
+    return written.groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(finish, out).withColumnRenamed("id", id_col)
+
+
+def _unpack(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, joined, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=kind).astype(np.int64), np.array([len(r) for r in rows], dtype=np.int64) // np.dtype(kind).itemsize
 
 
 def pair_table(docs: DataFrame, first: str = BYTE_BPE, second: str = PIECE_BPE, id_col: str = "doc_id", text_col: str = "text", n_slices: int = SLICES, fan_in: int = FAN_IN) -> DataFrame:
     """``a, b, n_docs, best``: every linked id pair, how many documents hold it, and whether no pair of ``a`` has more."""
-    *_, width = _model(first, second)
-    pairs = write_through(block_pairs(docs, first, second, id_col, text_col, n_slices), "pairs")
-    groups = max(1, math.ceil(pairs.select("block").distinct().count() / fan_in))
-    tables = pair_counts(pairs.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups))), groups, width)
+    a, b = load_byte_level(first), load_pieces(second)
+    width = pair_width(b)
+    tables = pair_counts(*_grouped(encoded(docs, a, b, id_col, text_col, n_slices)[1], fan_in), width)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
