@@ -10,6 +10,7 @@ from ..operators.ranking import split_exact
 from ..session import scratch_path
 from ..sinks import files as K
 from ..sources import files as S
+from ..sources.records import scan_array_ranges, scan_records
 from .catalog import query
 from .queries_metrics import LONG, r, settled
 from .queries_sampling import V_RANKED, V_SPLIT
@@ -25,6 +26,45 @@ def _(t):
     return S.scan_json_array(t.spark, path, t.conversations.schema)
 
 
+@query("scan_array_ranges", "SELECT conv_id, turn, role, text FROM conversations")
+def _(t):
+    """Arrays on one line, each read by many tasks in byte ranges."""
+    path = scratch_path(t.spark, "arrays")
+    K.write_json(t.conversations, path, layout="array", line_end=" ")
+    return scan_array_ranges(t.spark, path, t.conversations.schema, range_bytes=8 << 10)
+
+
+def broken_files(t):
+    """Arrays of odd and lines of even documents; of every 11 documents, four are broken in different ways."""
+    text = F.to_json(F.struct("doc_id", "text", "lang"))
+    kind = F.col("doc_id") % 11
+    hurt = (
+        F.when(kind == 3, F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")))
+        .when(kind == 5, F.regexp_replace(text, '"text":"', '"text":'))
+        .when(kind == 7, F.regexp_replace(text, '"text":', '"text"'))
+        .when(kind == 9, F.expr("left(j, length(j) - 1)"))
+    )
+    rows = t.documents.withColumn("j", text).select("doc_id", F.coalesce(hurt, F.col("j")).alias("value"))
+    path = scratch_path(t.spark, "broken")
+    K.write_text_records(rows.where("doc_id % 2 = 1").select("value"), f"{path}/arrays", layout="array")
+    K.write_text_records(rows.where("doc_id % 2 = 0").select("value"), f"{path}/lines")
+    return path
+
+
+@query(
+    "quarantine_file_rows",
+    """SELECT doc_id, CASE WHEN doc_id % 11 IN (3, 5, 7, 9) THEN 'reject' ELSE 'good' END AS kind,
+              CASE WHEN doc_id % 11 IN (3, 5, 7, 9) THEN NULL ELSE text END AS text FROM documents""",
+)
+def _(t):
+    schema = T.StructType([t.documents.schema[n] for n in ("doc_id", "text", "lang")])
+    good, rejects = scan_records(t.spark, broken_files(t), schema, range_bytes=64 << 10)
+    named = F.regexp_extract(F.decode("record", "UTF-8"), '"doc_id":([0-9]+)', 1).cast("long")
+    return good.select("doc_id", F.lit("good").alias("kind"), "text").unionByName(
+        rejects.select(named.alias("doc_id"), F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("text"))
+    )
+
+
 @query("scan_mixed_layouts", "SELECT conv_id, turn, role, text FROM conversations")
 def _(t):
     """A folder that holds arrays and lines gives all rows of both."""

@@ -21,19 +21,25 @@ from ..session import write_through
 BLOCK = 1 << 20
 
 
-def write_json(df: DataFrame, path: str, layout: str = "lines", ascii_only: bool = False, mode: str = "errorifexists") -> None:
+def write_json(df: DataFrame, path: str, layout: str = "lines", ascii_only: bool = False, mode: str = "errorifexists", line_end: str = "\n") -> None:
     """UTF-8 JSON, as lines, or as one array per file for readers that want an array.
 
-    Each task writes its own file. ``ascii_only`` escapes every other character.
+    Each task writes its own file. ``ascii_only`` escapes every other character. ``line_end`` stands between the records of an array.
     """
     options = {"writeNonAsciiCharacterAsCodePoint": str(ascii_only).lower()}
     if layout == "lines":
         df.write.mode(mode).options(**options).json(path)
-    elif layout == "array":
-        rows = df.select(F.to_json(F.struct(*df.columns), options).alias("value"))
-        rows.mapInPandas(_add_brackets, "value string").write.mode(mode).text(path)
     else:
+        write_text_records(df.select(F.to_json(F.struct(*df.columns), options).alias("value")), path, layout, mode, line_end)
+
+
+def write_text_records(rows: DataFrame, path: str, layout: str = "lines", mode: str = "errorifexists", line_end: str = "\n") -> None:
+    """Records that are text already (``value``), as lines or as one array per file."""
+    if layout not in ("lines", "array"):
         raise ValueError(f"layout must be lines or array, not {layout!r}")
+    if layout == "array":
+        rows = rows.mapInPandas(_add_brackets, "value string")
+    rows.write.mode(mode).option("lineSep", line_end).text(path)
 
 
 def _add_brackets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
