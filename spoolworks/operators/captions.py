@@ -95,6 +95,12 @@ def valid_image(df: DataFrame, content: str = "content") -> DataFrame:
     return checked.where(F.col(content).isNotNull())
 
 
+def whole_images(df: DataFrame, faults: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose file has no fault among ``faults`` (``path, fault``); rows without an entry there go as well."""
+    sound = faults.where("fault IS NULL").select(F.col("path").alias("__path"))
+    return df.join(sound, F.col(path) == F.col("__path"), "left_semi")
+
+
 def supported_image_type(df: DataFrame, kind: str, supported: tuple[str, ...] = ("path", "image")) -> DataFrame:
     return df.where(F.col(kind).isin(*supported))
 

@@ -14,7 +14,7 @@ from ..operators import projections as P
 from ..operators.ranking import split_exact_ranked
 from ..session import scratch_path
 from ..sinks.files import copy_images as write_images
-from ..sinks.files import drop_failed_copies
+from ..sinks.files import drop_failed_copies, image_faults
 from ..sources.files import scan_image_files
 from .caption_data import flatten_caption_source, load_vision_records, prepare_vision_prompts, split_caption_records
 from .catalog import query
@@ -368,7 +368,7 @@ def manifest_copies(t):
 
 @query(
     "write_image_manifest",
-    """SELECT dest, src, split, 4 + least(196, octet_length(encode(text))) AS length FROM (
+    """SELECT dest, src, split, 4 + octet_length(encode(text)) AS length FROM (
          SELECT *, row_number() OVER (PARTITION BY dest ORDER BY doc_id) AS rn FROM (
          SELECT doc_id, split, text, concat('/in/doc_', doc_id, '.jpg') AS src,
                 concat(split, '_', lpad(CAST(n_chars AS VARCHAR), CAST(greatest(5, length(CAST(n_chars AS VARCHAR))) AS INTEGER), '0'), '.jpg') AS dest
@@ -377,9 +377,7 @@ def manifest_copies(t):
 )
 def _(t):
     folder, manifest, copied = manifest_copies(t)
-    # the files are whole; only the length given is the one that the SQL defines, with its 200 bytes at most
-    length = F.least(F.lit(200), F.col("length")).cast("long").alias("length")
-    listed = scan_image_files(t.spark, folder).select(F.substring_index("path", "/", -1).alias("dest"), length)
+    listed = scan_image_files(t.spark, folder).select(F.substring_index("path", "/", -1).alias("dest"), "length")
     return drop_failed_copies(manifest, copied).select("dest", "src", "split").join(listed, "dest")
 
 
@@ -397,3 +395,59 @@ def _(t):
     )
     copied = write_images(manifest, scratch_path(t.spark, "copied"))
     return copied.select(F.replace(F.substring_index("src", "/", -1), F.lit("gone_"), F.lit("doc_")).alias("src"), "dest", "status")
+
+
+def _be(n):
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def _le(n):
+    return F.unhex(F.format_string("%02X%02X%02X%02X", *[F.shiftright(n, 8 * i).bitwiseAND(255) for i in range(4)]))
+
+
+def _chunk(kind, body):
+    """A PNG chunk: length, type, body and checksum."""
+    named = F.concat(F.lit(kind), body)
+    return F.concat(_be(F.octet_length(body)), named, _be(F.crc32(named)))
+
+
+def made_images(t):
+    """Images in three containers around whole texts, by turns whole, cut short, changed in one bit, or no image."""
+    text, kind = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.col("doc_id") % 8
+    header = _chunk(b"IHDR", F.lit(bytes.fromhex("00000001000000010800000000")))
+    png = F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), header, _chunk(b"IDAT", text), _chunk(b"IEND", F.lit(b"")))
+    # the lowest bit of the last checksum byte of the data chunk
+    at = F.octet_length(png) - 13
+    bit = F.unhex(F.format_string("%02X", F.conv(F.hex(F.substring(png, at + 1, F.lit(1))), 16, 10).cast("int").bitwiseXOR(1)))
+    flipped = F.concat(F.substring(png, F.lit(1), at), bit, F.substring(png, at + 2, F.octet_length(png)))
+    frame, scan = "ffd8ffe000040000ffc0000b080001000101011100", "ffda0008010100003f00"
+    jpeg = F.concat(F.lit(bytes.fromhex(frame + scan)), text, F.lit(b"\xff\xd9"))
+    coded = F.concat(F.lit(bytes.fromhex("0000009d012a01000100")), text)
+    body = F.concat(F.lit(b"WEBPVP8 "), _le(F.octet_length(coded)), coded, F.when(F.octet_length(coded) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+    webp = F.concat(F.lit(b"RIFF"), _le(F.octet_length(body)), body)
+
+    def cut(image, n):
+        return F.substring(image, F.lit(1), F.octet_length(image) - n)
+
+    content = (
+        F.when(kind == 0, png).when(kind == 1, cut(png, 3)).when(kind == 2, flipped).when(kind == 3, jpeg).when(kind == 4, cut(jpeg, 1))
+        .when(kind == 5, webp).when(kind == 6, cut(webp, 2)).otherwise(text)
+    )
+    return t.documents.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".img")).alias("path"), content.alias("content"))
+
+
+WHOLE = "SELECT concat('doc_', doc_id, '.img') AS path, CASE doc_id % 8 WHEN 2 THEN 'bad checksum' WHEN 7 THEN 'no known format' ELSE CASE WHEN doc_id % 8 IN (1, 4, 6) THEN 'truncated' END END AS fault FROM documents"
+
+
+@query("valid_image_structure", WHOLE)
+def _(t):
+    return image_faults(made_images(t), content="content")
+
+
+@query("valid_image_files", WHOLE)
+def _(t):
+    """The same images as files, read from where they lie."""
+    folder = scratch_path(t.spark, "made-images")
+    write_images(made_images(t).withColumn("dest", F.col("path")), folder, src="path", content="content")
+    found = image_faults(scan_image_files(t.spark, folder))
+    return found.select(F.substring_index("path", "/", -1).alias("path"), "fault")

@@ -11,14 +11,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.image_structure import Bytes, image_fault
 from ..operators.ranking import first_writer_wins
 from ..session import write_through
 
 BLOCK = 1 << 20
+#: Folder beside the targets where task attempts write before they are committed.
+ATTEMPTS = "_attempts"
 
 
 def write_json(df: DataFrame, path: str, layout: str = "lines", ascii_only: bool = False, mode: str = "errorifexists", line_end: str = "\n") -> None:
@@ -113,22 +117,38 @@ def copy_images(
 
     The image is a file named by ``src``, or bytes in the column ``content``. Of rows with one ``dest``
     the first by ``order_key`` (``src`` unless given) is written. Tasks read and write the files
-    themselves, a block at a time, so bytes of files never shuffle. A target that
-    exists is left alone; a file is written under a name of its own and then renamed, so a repeated task
-    does no harm. The table of statuses is written once, so reading it again copies nothing.
+    themselves, a block at a time, so bytes of files never shuffle. A target that exists is left alone.
+
+    Copies are committed in two phases. Every task attempt first writes into a folder of its own, and the table of what
+    was written, which Spark keeps of successful attempts alone, is the commit manifest. A second
+    pass then moves those files to their names. A repeated task of either pass gives the same statuses, and the
+    attempt folders, those of lost tasks too, are removed at the end. The statuses are a written table: reading it again copies nothing.
     """
     plain_uri(dest_dir)
+    spark = manifest.sparkSession
     first = first_writer_wins(manifest.select(*{src, dest, order_key or src}), dest, order_key or src).select(dest, src)
     rows = manifest.join(first, [dest, src], "left_semi") if content else first
     wanted = rows.select(F.col(src).cast("string").alias("src"), F.col(dest).alias("dest"), *([F.col(content).alias("content")] if content else []))
+    attempts = f"{dest_dir.rstrip('/')}/{ATTEMPTS}-{uuid.uuid4().hex}"
 
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = f"{attempts}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
         for batch in batches:
             bodies = batch["content"] if content else [None] * len(batch)
-            status = [_copy_once(s, dest_dir, d, b, content is not None) for s, d, b in zip(batch["src"], batch["dest"], bodies)]
+            done = [_stage_one(s, dest_dir, d, b, content is not None, own) for s, d, b in zip(batch["src"], batch["dest"], bodies)]
+            yield pd.DataFrame({"src": batch["src"], "dest": batch["dest"], "status": [x for x, _ in done], "part": [p for _, p in done]})
+
+    def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            status = [_publish_one(dest_dir, d, p) if s == "staged" else s for d, s, p in zip(batch["dest"], batch["status"], batch["part"])]
             yield pd.DataFrame({"src": batch["src"], "dest": batch["dest"], "status": status})
 
-    return write_through(wanted.mapInPandas(copy, "src string, dest string, status string"), "copied")
+    try:
+        staged = write_through(wanted.mapInPandas(stage, "src string, dest string, status string, part string"), "staged")
+        return write_through(staged.mapInPandas(publish, "src string, dest string, status string"), "copied")
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(attempts)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_failed_copies(rows: DataFrame, copied: DataFrame, src: str = "src", dest: str = "dest") -> DataFrame:
@@ -143,36 +163,88 @@ def _open_file_system(uri: str):
     return fs.FileSystem.from_uri(plain_uri(uri))
 
 
-def _copy_once(src: str | None, dest_dir: str, name: str, body: bytes | None, from_bytes: bool) -> str:
+def _stage_one(src: str | None, dest_dir: str, name: str, body: bytes | None, from_bytes: bool, own: str) -> tuple[str, str | None]:
+    """Copies one image into the attempt's folder; the status so far, and where the copy lies."""
     from pyarrow import fs
 
     try:
         target, root = _open_file_system(dest_dir)
-        path = f"{root.rstrip('/')}/{name}"
-        if target.get_file_info(path).type != fs.FileType.NotFound:
-            return "kept"
+        if target.get_file_info(f"{root.rstrip('/')}/{name}").type != fs.FileType.NotFound:
+            return "kept", None
         if from_bytes:
             if body is None:
-                return "missing"
+                return "missing", None
             read = pa.BufferReader(body)
         else:
             if src is None:
-                return "missing"
+                return "missing", None
             source, origin = _open_file_system(src)
             if source.get_file_info(origin).type != fs.FileType.File:
-                return "missing"
+                return "missing", None
             read = source.open_input_stream(origin)
+        part = f"{own}/{name}"
+        _, path = _open_file_system(part)
         target.create_dir(path.rpartition("/")[0], recursive=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with read, target.open_output_stream(part) as write:
+        with read, target.open_output_stream(path) as write:
             while block := read.read(BLOCK):
                 write.write(block)
-        target.move(part, path)
+        return "staged", part
+    except (OSError, ValueError):
+        return "failed", None
+
+
+def _publish_one(dest_dir: str, name: str, part: str) -> str:
+    """Moves a committed copy to its name; a copy that is gone while its target is there was moved by an earlier attempt."""
+    from pyarrow import fs
+
+    try:
+        target, root = _open_file_system(dest_dir)
+        path, (_, staged) = f"{root.rstrip('/')}/{name}", _open_file_system(part)
+        there = target.get_file_info(path).type != fs.FileType.NotFound
+        if target.get_file_info(staged).type == fs.FileType.NotFound:
+            return "written" if there else "failed"
+        if there:
+            return "kept"
+        target.create_dir(path.rpartition("/")[0], recursive=True)
+        target.move(staged, path)
         return "written"
     except (OSError, ValueError):
         return "failed"
 
 
+def image_faults(files: DataFrame, path: str = "path", content: str | None = None) -> DataFrame:
+    """``path, fault`` of each distinct file named: why it is no whole image, null if it is one.
+
+    Files are opened in the tasks and read a window at a time, to the end; bytes in the column ``content``, if named, are read instead. A file
+    that cannot be read has the fault ``unreadable``; null content ``missing``.
+    """
+
+    def from_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "fault": [_file_fault(p) for p in batch["path"]]})
+
+    def from_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            faults = []
+            for body in batch.column("content"):
+                data = body.as_buffer() if body.is_valid else None
+                faults.append("missing" if data is None else image_fault(Bytes(memoryview(data)), data.size))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(faults, pa.string())], names=["path", "fault"])
+
+    if content:
+        return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(from_content, "path string, fault string")
+    return files.select(F.col(path).alias("path")).distinct().mapInPandas(from_files, "path string, fault string")
+
+
+def _file_fault(uri: str) -> str | None:
+    try:
+        source, origin = _open_file_system(uri)
+        with source.open_input_file(origin) as stream:
+            return image_fault(stream, stream.size())
+    except (OSError, ValueError):
+        return "unreadable"
+
+
 def read_heads(paths: DataFrame, path: str = "path", size: int = 32) -> DataFrame:
     """``path, head``: the leading bytes of each distinct file named, null if it cannot be read.
 
