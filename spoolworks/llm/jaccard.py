@@ -265,8 +265,10 @@ def _candidates(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     table = pa.Table.from_batches(list(batches))
     n_all, tag_all = table.column("n").to_numpy(), table.column("tag").to_numpy()
     tile = table.column("tile").to_numpy()
-    # distinct sets, by size
-    _, at, who = np.unique(tag_all, return_index=True, return_inverse=True)
+    # distinct sets, by size; of each a row that carries its bitmap
+    carried = np.flatnonzero(table.column("bits").is_valid().to_numpy())
+    known, first = np.unique(tag_all[carried], return_index=True)
+    at, who = carried[first], np.searchsorted(known, tag_all)
     order = np.argsort(n_all[at], kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -367,13 +369,18 @@ def _candidate_links(sets: DataFrame, levels: np.ndarray, usual: float, tile: in
                 own = (mix64(tags.view(np.uint64)) % b[at].astype(np.uint64)).astype(np.int64)
                 pair = (np.minimum(own, other) << 20) | np.maximum(own, other)
                 tiles = mix64(k[at] ^ mix64(pair.astype(np.uint64)))
+                bundle = (tiles % np.uint64(bundles)).astype(np.int64)
+                # a set's bitmap goes to a bundle once, not with each of its keys
+                _, first = np.unique(bundle * batch.num_rows + r[at], return_index=True)
+                lead = np.zeros(len(at), dtype=bool)
+                lead[first] = True
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((tiles % np.uint64(bundles)).astype(np.int32)),
+                        pa.array(bundle.astype(np.int32)),
                         pa.array(tiles.view(np.int64)),
                         pa.array(tags),
                         batch.column("n").take(pa.array(r[at])),
-                        batch.column("bits").take(pa.array(r[at])),
+                        batch.column("bits").take(pa.array(r[at], mask=~lead)),
                     ],
                     names=["bundle", "tile", "tag", "n", "bits"],
                 )
