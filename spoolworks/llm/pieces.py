@@ -24,9 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
 SPACE = 0x2581  # the mark that stands for a blank in pieces
 OWN_MARK = 0x110000  # the same character where the text itself has it; no piece holds it
-#: Longer runs without a blank are cut, and each part has a lattice of its own.
-CHUNK = 96
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PREFIX_BITS = 21
@@ -121,9 +119,6 @@ class Chunks:
             blank = points == SPACE
             begins[1:] = blank[1:] & ~blank[:-1]
             begins[(self.text_ends - lengths)[lengths > 0]] = True
-            at = np.flatnonzero(begins)
-            offset = np.arange(len(points)) - np.repeat(at, np.diff(np.append(at, len(points))))
-            begins |= offset % CHUNK == 0
         self.starts = np.flatnonzero(begins)
         self.sizes = np.diff(np.append(self.starts, len(points)))
         self.text = np.searchsorted(self.text_ends, self.starts, side="right")
@@ -133,9 +128,9 @@ class Chunks:
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """One place of each distinct chunk, and each chunk's number among them; equal hashes are compared."""
         offset = np.arange(len(self.points)) - np.repeat(self.starts, self.sizes)
-        salt = np.uint64(0)
+        salt, powers = np.uint64(0), _powers(BASE, int(self.sizes.max()))
         while True:
-            codes = mix64(self.points.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D) + salt) * _powers(BASE, CHUNK)[offset]
+            codes = mix64(self.points.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D) + salt) * powers[offset]
             hashes = np.add.reduceat(codes, self.starts) + self.sizes.astype(np.uint64)
             _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
             same = np.repeat(self.starts[first][number], self.sizes) + offset
@@ -149,11 +144,11 @@ def _lattice(points: np.ndarray, sizes: np.ndarray, model: dict):
     begins = np.cumsum(sizes) - sizes
     offset = np.arange(len(points)) - np.repeat(begins, sizes)
     room = np.repeat(sizes, sizes) - offset
-    up, down = _powers(BASE, CHUNK + 1), _powers(BASE_INVERSE, CHUNK + 1)
+    up, down = (_powers(base, int(sizes.max()) + 1) for base in (BASE, BASE_INVERSE))
     upto = np.concatenate([[np.uint64(0)], np.cumsum(_codes(points) * up[offset], dtype=np.uint64)])
     alive, starts, ends, weights, ids = np.arange(len(points)), [], [], [], []
     covered = np.zeros(len(points), dtype=bool)
-    for length in range(1, min(model["longest"], CHUNK) + 1):
+    for length in range(1, model["longest"] + 1):
         alive = alive[room[alive] >= length]
         if len(alive) == 0:
             break
@@ -179,17 +174,22 @@ def _lattice(points: np.ndarray, sizes: np.ndarray, model: dict):
     return start, start + chunk[start], end + chunk[start], np.concatenate(weights), np.concatenate(ids), offset
 
 
-def _forward(n_places: int, first: np.ndarray, start, begin, end, weight, offset) -> np.ndarray:
-    """The log sum over all ways from a chunk's first place to each place."""
+def _forward(n_places: int, first: np.ndarray, begin, end, weight, offset) -> np.ndarray:
+    """The log sum over all ways from a chunk's first place to each place; ``offset`` is that of an edge's end.
+
+    All chunks go on together, a place at a time; the edges into a place are summed in the order of their begins, so no sum
+    depends on the other chunks.
+    """
     sums = np.full(n_places, -np.inf)
     sums[first] = 0.0
-    length = end - begin
-    order = np.lexsort((length, offset[start]))
-    keys = offset[start][order] * 1000 + length[order]
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-        e = order[lo:hi]  # of one start offset and length: no two end at the same place
-        sums[end[e]] = np.logaddexp(sums[end[e]], sums[begin[e]] + weight[e])
+    order = np.lexsort((begin, end, offset))
+    begin, end, weight, offset = begin[order], end[order], weight[order], offset[order]
+    heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+    cuts = np.flatnonzero(np.concatenate([[True], offset[heads][1:] != offset[heads][:-1], [True]]))
+    upto = np.append(heads, len(end))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        lo, hi = upto[a], upto[b]
+        sums[end[heads[a:b]]] = np.logaddexp.reduceat(sums[begin[lo:hi]] + weight[lo:hi], heads[a:b] - lo)
     return sums
 
 
@@ -204,7 +204,7 @@ def encode(texts: list[str], keys: np.ndarray, model: dict, seed: int = 0) -> tu
     points = chunks.points[np.repeat(chunks.starts[first] - begins, sizes) + np.arange(sizes.sum())]
     start, begin, end, weight, ids, offset = _lattice(points, sizes, model)
     entry = begins + np.arange(len(sizes))
-    sums = _forward(len(points) + len(sizes), entry, start, begin, end, weight, offset)
+    sums = _forward(len(points) + len(sizes), entry, begin, end, weight, offset[start] + end - begin)
 
     # incoming edges by place, with running shares of the place's sum
     order = np.argsort(end, kind="stable")
@@ -276,9 +276,11 @@ def _model_on(df: DataFrame, path: str, alpha: float):
 
 
 def encode_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str = "tokens", seed: int = 0, path: str = MODEL, alpha: float = ALPHA
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str = "tokens", seed: int = 0, path: str = MODEL, alpha: float = ALPHA, keep: list[str] | None = None
 ) -> DataFrame:
-    """Adds an array of piece ids to documents; every row and column stays (one of the result's name is replaced).
+    """Adds an array of piece ids to documents; every row stays, and every column or those of ``keep`` (one of the result's name is replaced).
+
+    Only the columns that stay come back from Python, so leave out the text where it is not needed.
 
     The same id, text and seed always give the same segmentation, however the rows are dealt; rows that repeat an
     id get the same random numbers. Null and empty texts have no pieces. Whole texts are encoded;
@@ -286,7 +288,7 @@ def encode_documents(
     """
     model = _model_on(docs, path, alpha)
     (key,) = free(docs, "row_key")
-    keep = [c for c in docs.columns if c.lower() != tokens_col.lower()]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != tokens_col.lower()]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(tokens_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

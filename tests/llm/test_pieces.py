@@ -88,3 +88,30 @@ def test_documents(spark, docs_of):
 def test_the_table_is_lossless(spark, corpus):
     rows = QUERIES["op3_sentencepiece"](spark, FOLDER).collect()
     assert len(rows) == len(corpus) and all(r.lossless for r in rows)
+
+
+def test_a_long_run_is_one_lattice(model):
+    """1,000 characters without a blank: the sums are those of all ways over the whole run, and pieces cross every place."""
+    processor = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    table = {processor.id_to_piece(int(i)): w for i, w in zip(model["ids"], model["weights"])}
+    text = ("therestationing日本語where" * 60)[:1000]
+    chunks = pieces.Chunks([text, "two words"])
+    points = chunks.points[: chunks.sizes[0]]
+    _, begin, end, weight, _, offset = pieces._lattice(points, np.array([len(points)]), model)
+    start = begin
+    got = pieces._forward(len(points) + 1, np.array([0]), begin, end, weight, offset[start] + end - begin)
+    run = "▁" + text
+    want = [0.0]
+    for j in range(1, len(run) + 1):
+        ways = [want[i] + table[run[i:j]] for i in range(max(0, j - model["longest"]), j) if run[i:j] in table]
+        if run[j - 1] not in table:
+            ways.append(want[j - 1] + model["byte_weight"] * len(run[j - 1].encode()))
+        want.append(np.logaddexp.reduce(ways))
+    assert np.allclose(got, want)
+    crossed = set()
+    for key in range(40):
+        ids, _ = pieces.encode([text], np.array([key], np.uint64), model)
+        ends = np.cumsum([len(processor.id_to_piece(int(i))) if not processor.is_byte(int(i)) else 0 for i in ids])
+        crossed |= set(range(1001)) - set(ends.tolist())
+    inside = {p for a, b in zip(begin.tolist(), end.tolist()) for p in range(a + 1, b)}
+    assert crossed - {0} <= inside and len(crossed) > 0.5 * len(inside)
