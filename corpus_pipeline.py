@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as sampled piece ids."""
-    return encode_documents(docs).select("doc_id", "lang", "source", "tokens")
+    return encode_documents(docs, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", tokens)]
