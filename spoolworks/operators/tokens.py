@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..constants import PAD_TOKEN_ID
 from ..functions import tokens as K
+from ..session import spread
 
 
-def tokenize(df: DataFrame, text: str = "text", out: str = "input_ids") -> DataFrame:
-    """Unpadded ids of the whole text by the built-in token rule."""
-    return df.withColumn(out, K.encode(K.split_tokens(F.col(text))))
+def tokenize(df: DataFrame, text: str = "text", out: str = "input_ids", partitions: int | None = None) -> DataFrame:
+    """Unpadded ids of the whole text by the built-in token rule.
+
+    Hashing takes far longer than reading, and a reader cannot cut a row group: ``partitions`` deals rows of
+    few large groups to so many tasks first.
+    """
+    return spread(df, partitions).withColumn(out, K.encode(K.split_tokens(F.col(text))))
 
 
 def pad_to_length(df: DataFrame, length: int, pad_id: int = PAD_TOKEN_ID, ids: str = "input_ids") -> DataFrame:
@@ -23,10 +28,10 @@ def pad_to_length(df: DataFrame, length: int, pad_id: int = PAD_TOKEN_ID, ids: s
     })
 
 
-def tokenize_pad(df: DataFrame, length: int, text: str = "text", pad_id: int = PAD_TOKEN_ID) -> DataFrame:
-    """Ids and mask of exactly ``length`` entries; tokens past the cut are never hashed."""
+def tokenize_pad(df: DataFrame, length: int, text: str = "text", pad_id: int = PAD_TOKEN_ID, partitions: int | None = None) -> DataFrame:
+    """Ids and mask of exactly ``length`` entries; tokens past the cut are never hashed. ``partitions`` is as in ``tokenize``."""
     cut = F.slice(K.split_tokens(F.col(text)), 1, length)
-    return pad_to_length(df.withColumn("input_ids", K.encode(cut)), length, pad_id)
+    return pad_to_length(spread(df, partitions).withColumn("input_ids", K.encode(cut)), length, pad_id)
 
 
 def mask_prompt_labels(

@@ -15,6 +15,7 @@ from ..operators import steps as S
 from ..operators import tokens as K
 from ..operators.filters import quarantine_bad_rows, require_rows
 from ..operators.ranking import shuffle_rank
+from ..session import spread, write_through
 from .catalog import query
 from .standins import V_INSTRUCTION
 from .text_data import prepare_chat_tokens, prepare_instruction_tokens
@@ -323,7 +324,7 @@ LENGTH = 512
         FROM (SELECT doc_id, {ids_sql('text')} AS ids FROM documents) q""",
 )
 def _(t):
-    rows = K.tokenize_pad(t.documents.select("doc_id", "text"), LENGTH)
+    rows = K.tokenize_pad(t.documents.select("doc_id", "text"), LENGTH, partitions=t.tasks_for("documents"))
     return rows.select(
         "doc_id", K.joined(F.col("input_ids")).alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_real"),
@@ -333,7 +334,7 @@ def _(t):
 
 @query("tokenize", f"SELECT doc_id, array_to_string({ids_sql('text')}, ' ') AS input_ids FROM documents")
 def _(t):
-    rows = K.tokenize(t.documents.select("doc_id", "text"))
+    rows = K.tokenize(t.documents.select("doc_id", "text"), partitions=t.tasks_for("documents"))
     return rows.select("doc_id", K.joined(F.col("input_ids")).alias("input_ids"))
 
 
@@ -379,10 +380,13 @@ BATCH = 8
 )
 def _(t):
     # ids and token counts are ranked; the texts meet their batch's length once, and are tokenised after that
-    sizes = t.documents.select("doc_id", F.size(TK.split_tokens(F.col("text"))).alias("n_tokens"))
+    texts = t.documents.select("doc_id", "text")
+    sizes = write_through(spread(texts, t.tasks_for("documents")).select("doc_id", F.size(TK.split_tokens(F.col("text"))).alias("n_tokens")), "sizes")
     batches = S.assign_steps(shuffle_rank(sizes, "doc_id"), batch_size=BATCH).withColumnRenamed("micro", "batch_id")
     lengths = batches.join(K.batch_lengths(batches, multiple_of=8), "batch_id").select("doc_id", "batch_id", "padded_length")
-    rows = K.tokenize(t.documents.select("doc_id", "text").join(lengths, "doc_id"))
+    # dealt by a fixed number, so that tasks are not merged by bytes before the costly step
+    dealt = texts.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = K.tokenize(dealt.join(lengths, "doc_id"))
     return K.pad_to_column(rows).select("doc_id", "batch_id", "padded_length", K.joined(F.col("input_ids")).alias("input_ids"))
 
 

@@ -23,6 +23,11 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def tasks_for(self, name: str) -> int | None:
+        """Tasks for costly work on a table of fewer files than the session has cores; null leaves the readers' splits."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return cores if len(self.table(name).inputFiles()) < cores else None
+
     @cached_property
     def conversations(self) -> DataFrame:
         return self.table("conversations")

@@ -50,6 +50,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/spoolworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """The rows dealt to so many tasks; without a number they stay where they are."""
+    return df.repartition(partitions) if partitions else df
+
+
 def write_through(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     spark = df.sparkSession
