@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.registry import batch_hook
 from ..session import scratch_path
 from ..streaming import jobs as J
+from ..streaming.progress import read_progress, run_observed
 from .catalog import query
 from .queries_metrics import r, settled
 from .standins import V_GPU, gpu_samples
@@ -94,3 +95,21 @@ def _(t):
     stream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     counts = t.spark.read.parquet(f"{out}/counts")
     return counts.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "stream_progress",
+    """SELECT event, n_events, n_rows, n_users FROM (
+         SELECT 'progress' AS event, 4 AS n_events, CAST(count(*) AS DOUBLE) AS n_rows, CAST(sum(user_id) AS DOUBLE) AS n_users FROM events
+         UNION ALL SELECT 'started', 1, NULL, NULL UNION ALL SELECT 'ended', 1, NULL, NULL) q""",
+)
+def _(t):
+    """Four files, a batch each: what was observed in the batches adds up to the table."""
+    out = scratch_path(t.spark, "observed")
+    t.table("events").select("user_id").repartition(4).write.parquet(f"{out}/in")
+    stream = J.stream_files(t.spark, f"{out}/in", t.table("events").select("user_id").schema, max_files=1)
+    observed = {"rows": F.count(F.lit(1)), "users": F.sum("user_id")}
+    run_observed(stream, f"{out}/rows", f"{out}/checkpoint", f"{out}/log", observed)
+    return read_progress(t.spark, f"{out}/log").groupBy("event").agg(
+        F.count(F.lit(1)).cast("int").alias("n_events"), F.sum(F.col("metrics")["rows"]).alias("n_rows"), F.sum(F.col("metrics")["users"]).alias("n_users")
+    )
