@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ SCORES = {"email": 0.9, "ip": 0.8, "card": 0.8, "phone": 0.8, "iban": 0.9, "ssn"
 CONTEXT_ADDS = 0.1
 CONTEXT_LIFTS = 0.4
 CONTEXT_CHARS = 40
+#: Code points of the chunks in which context is looked up.
+CHUNK = 256
 #: Spans of the added kinds count from this score on; base spans always count.
 MIN_SCORE = 0.7
 CONTEXT = {
@@ -69,27 +73,64 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """The values in pieces of the square root of their number."""
+    width = F.ceil(F.sqrt(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    last = F.greatest(F.ceil(F.size(values) / width).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * width + 1, width))
+
+
+def _sums(steps: Column) -> Column:
+    """The sum of all steps, and for each the sum of those before it."""
+    zero = F.struct(F.lit(0).alias("total"), F.expr("CAST(array() AS array<int>)").alias("before"))
+    return F.aggregate(
+        steps, zero, lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before"))
+    )
+
+
+def sums_before(steps: Column) -> Column:
+    """For each step the sum of those before it. An array grows by copies, so it grows piece by piece: n steps cost n times their root."""
+    pieces = _with(steps, lambda s: F.transform(_blocks(s), _sums))
+    return _with(
+        pieces,
+        lambda p: F.flatten(F.zip_with(p, _sums(F.transform(p, lambda x: x["total"]))["before"], lambda x, at: F.transform(x["before"], lambda y: y + at))),
+    )
+
+
 def _located(kind: str, text: Column, found: Column) -> Column:
-    """Matches with their code-point places: the texts between them come from splitting at the matches."""
+    """Confirmed matches with their code-point places: the texts between matches come from splitting at them."""
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def places(all_pairs: Column) -> Column:
+        before = sums_before(F.transform(all_pairs, lambda x: x["gap"] + F.length(x["value"])))
+        starts = F.zip_with(all_pairs, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), x["value"].alias("value")))
+        good = F.filter(starts, lambda x: _confirmed(kind, x["value"]))
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end")))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return _with(pairs, places)
 
 
-def _scored(kind: str, text: Column, span: Column) -> Column:
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, length: Column) -> Column:
+    """Up to ``CHUNK`` code points of the text from its chunks, without a walk from the text's start."""
+    at = F.floor(start / CHUNK).cast("int")
+    near = F.concat(F.coalesce(F.get(chunks, at), F.lit("")), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return near.substr(F.pmod(start, F.lit(CHUNK)) + 1, length)
+
+
+def _scored(kind: str, chunks: Column, span: Column) -> Column:
     """The proposal as a finding with a score."""
     left = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    near = F.lower(
-        F.concat(text.substr(left + 1, span["start"] - left), F.lit(" "), text.substr(span["end"] + 1, F.lit(CONTEXT_CHARS)))
-    )
+    near = F.lower(F.concat(_piece(chunks, left, span["start"] - left), F.lit(" "), _piece(chunks, span["end"], F.lit(CONTEXT_CHARS))))
     has = near.rlike(r"\b(" + "|".join(CONTEXT[kind]) + ")")
     lift = CONTEXT_ADDS if SCORES[kind] >= MIN_SCORE else CONTEXT_LIFTS
     return F.struct(
@@ -101,6 +142,20 @@ def _scored(kind: str, text: Column, span: Column) -> Column:
     )
 
 
+def _meets(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _blocks_of_spans(spans: Column) -> Column:
+    """Sorted spans in pieces, each with the range it lies in."""
+    return F.transform(
+        _with(spans, _blocks),
+        lambda p: F.struct(
+            F.array_min(F.transform(p, lambda x: x["start"])).alias("start"), F.array_max(F.transform(p, lambda x: x["end"])).alias("end"), p.alias("spans")
+        ),
+    )
+
+
 FINDING = "array<struct<start:int,`order`:int,end:int,kind:string,score:double>>"
 
 
@@ -112,7 +167,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
     Luhn sum, 10 to 15 digits. Added kinds are bank accounts with remainder 1 by 97, and social
     security and unprefixed telephone numbers beside a word that names them; they never overlap a
     base span. A null text counts as empty; every row and column stays (a column of the result's name is
-    replaced). The patterns run within the JVM on whole texts and no row moves.
+    replaced). The patterns run within the JVM on whole texts and no row moves; n matches in a text cost n times
+    the root of n at most.
     """
     steps = docs
     names = free(docs, "whole_text", *[f"found_{k}" for k in KINDS], *[f"spans_{k}" for k in KINDS])
@@ -128,15 +184,16 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
     steps = steps.withColumns({found[k]: proposals(k) for k in KINDS})
 
     def findings(kind: str) -> Column:
-        good = F.filter(_located(kind, body, F.col(found[kind])), lambda s: _confirmed(kind, s["value"]))
         some = F.exists(F.col(found[kind]), lambda v: _confirmed(kind, v))
-        return F.when(some, F.transform(good, lambda s: _scored(kind, body, s))).otherwise(F.expr(f"CAST(array() AS {FINDING})"))
+        good = _located(kind, body, F.col(found[kind]))
+        scored = _with(_chunks(body), lambda chunks: F.transform(good, lambda s: _scored(kind, chunks, s)))
+        return F.when(some, scored).otherwise(F.expr(f"CAST(array() AS {FINDING})"))
 
     steps = steps.withColumns({spans[k]: findings(k) for k in KINDS})
     base, extra = free(steps, "base_spans", "extra_spans")
     added = F.concat(*[F.filter(spans[k], lambda s: s["score"] >= MIN_SCORE) for k in KINDS[4:]])
     steps = steps.withColumns({base: F.concat(*[F.col(spans[k]) for k in BASE]), extra: added})
-    apart = F.filter(extra, lambda a: ~F.exists(F.col(base), lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    apart = _with(_blocks_of_spans(F.array_sort(F.col(base))), lambda blocks: F.filter(extra, lambda a: ~F.exists(blocks, lambda b: _meets(a, b) & F.exists(b["spans"], lambda x: _meets(a, x)))))
     own = [F.col(c) for c in docs.columns if c.lower() != spans_col.lower()]
     return steps.select(*own, F.array_sort(F.concat(F.col(base), F.when(F.size(extra) > 0, apart).otherwise(F.expr(f"CAST(array() AS {FINDING})")))).alias(spans_col))
 

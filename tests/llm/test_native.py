@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -76,6 +77,36 @@ def test_personal_data_on_the_table(spark, corpus):
         assert rows[d["doc_id"]].base_sha256 == digest(base_spans(d["text"])), d["doc_id"]
 
 
+DENSE = [
+    "12345, " * 40_000 + "4111 1111 1111 1111",
+    "a.b@c.de call me, " * 55_000,
+    "+1 (555) 010-9999 tel 555 010 9999 or x@y.zz; " * 5_000 + "é\U0001f600 10.0.0.1 " * 20_000,
+]
+
+
+def test_many_matches_in_one_text(docs_of):
+    docs = docs_of(list(enumerate(DENSE)), partitions=1)
+    docs.count()
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.personal_data_digest(docs).collect()}
+    assert time.time() - start < 40
+    for i, text in enumerate(DENSE):
+        want = base_spans(text)
+        assert rows[i].base_sha256 == digest(want) and len(want) > 0
+    assert rows[2].n_tel == 5_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101])
+def test_sums_and_chunks(spark, n):
+    steps = [3 * i % 7 for i in range(n)]
+    got = spark.createDataFrame([(steps,)], "steps array<int>").select(pii.sums_before(F.col("steps"))).first()[0]
+    assert got == [sum(steps[:i]) for i in range(n)]
+    text = "é\U0001f600\n" * (n * 9)
+    ends = [(a, k) for a in (0, 1, 255, 256, 257, 511, 700) for k in (0, 1, 40)]
+    pieces = [pii._piece(pii._chunks(F.col("t")), F.lit(a), F.lit(k)).alias(f"c{i}") for i, (a, k) in enumerate(ends)]
+    assert list(spark.createDataFrame([(text,)], "t string").select(*pieces).first()) == [text[a : a + k] for a, k in ends]
+
+
 def test_context_moves_the_score(docs_of):
     found = pii.find_personal_data(docs_of([(1, "a@b.co is"), (2, "mail a@b.co")])).select("doc_id", F.explode("findings").alias("f"))
     scores = {r.doc_id: r.f.score for r in found.collect()}
