@@ -8,6 +8,7 @@ from ..operators.registry import batch_hook
 from ..session import scratch_path
 from ..streaming import jobs as J
 from ..streaming.progress import read_progress, run_observed
+from ..streaming.saves import save_events, saves_of
 from .catalog import query
 from .queries_metrics import r, settled
 from .standins import V_GPU, gpu_samples
@@ -113,3 +114,18 @@ def _(t):
     return read_progress(t.spark, f"{out}/log").groupBy("event").agg(
         F.count(F.lit(1)).cast("int").alias("n_events"), F.sum(F.col("metrics")["rows"]).alias("n_rows"), F.sum(F.col("metrics")["users"]).alias("n_users")
     )
+
+
+@query(
+    "stream_saves",
+    """SELECT user_id AS run, event_id AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3 AS kept
+       FROM events WHERE event_id % 10 = 0""",
+)
+def _(t):
+    """A save every ten steps and the last three of a run kept, over four files whose steps are in no order."""
+    out = scratch_path(t.spark, "saves")
+    steps = t.table("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"))
+    steps.repartition(4).write.parquet(f"{out}/in")
+    events = save_events(J.stream_files(t.spark, f"{out}/in", steps.schema, max_files=1), every=10, keep=3)
+    J.run_available(events, f"{out}/rows", f"{out}/checkpoint")
+    return saves_of(t.spark.read.parquet(f"{out}/rows"))
