@@ -210,8 +210,10 @@ def _(t):
             F.lit("train_loss"), settled(F.col("train_loss")), F.lit("steps"), F.col("steps").cast("double")
         ).alias("final_metrics"),
     )
+    # a first version of every run, which the second one replaces
+    K.write_run_info(info.withColumn("final_metrics", F.create_map(F.lit("train_loss"), F.lit(0.0))), path)
     K.write_run_info(info, path)
-    return t.spark.read.schema(K.RUN_INFO).parquet(path).select(
+    return K.read_run_info(t.spark, path).select(
         "run", F.get_json_object("model_args", "$.name").alias("model"),
         F.col("final_metrics")["train_loss"].alias("train_loss"), F.col("final_metrics")["steps"].alias("steps"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import preview, round_half_up
+from ..operators import epochs as E
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import steps as S
@@ -164,3 +165,30 @@ def _(t):
 @query("split_counts", "SELECT split, COUNT(*) AS rows FROM v_split GROUP BY ROLLUP (split)", (V_RANKED, V_SPLIT))
 def _(t):
     return M.split_counts(R.split_exact(t.documents.select("doc_id"), "doc_id"))
+
+
+def _feistel(source: str) -> str:
+    """One walk of the positions ``x`` of a table, as SQL."""
+    out = f"SELECT *, x // b AS l, x % b AS r FROM ({source})"
+    for i in range(E.ROUNDS):
+        own, other, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        change = f"CAST(concat('0x', substr(md5(concat('42:', epoch, ':{i}:', {other})), 1, 15)) AS BIGINT)"
+        out = f"SELECT * REPLACE (({own} + {change} % {side}) % {side} AS {own}) FROM ({out})"
+    return f"SELECT doc_id, epoch, n, a, b, l * b + r AS x FROM ({out})"
+
+
+SIDES = """SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM documents)"""
+
+
+@query(
+    "epoch_reshuffle",
+    f"""WITH RECURSIVE start AS (SELECT doc_id, epoch, n, a, b, x FROM ({SIDES}), (SELECT unnest([0, 1, 2]) AS epoch)),
+        walk AS ({_feistel("SELECT * FROM start")} UNION ALL {_feistel("SELECT doc_id, epoch, n, a, b, x FROM walk WHERE x >= n")})
+        SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, x AS rank, x // 32 AS step FROM walk WHERE x < n AND (epoch > 0 OR x >= 64)""",
+)
+def _(t):
+    """Three epochs in their own orders, resumed behind the second step of 32 rows."""
+    placed = R.input_rank(t.documents.select("doc_id"), "doc_id", name="position")
+    ranked = E.reshuffled(placed, "position", t.documents.count(), epochs=3, resume=(0, 64))
+    return S.assign_steps(ranked, batch_size=32).select("doc_id", "epoch", "rank", "step")

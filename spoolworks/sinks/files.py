@@ -294,5 +294,32 @@ def run_info(spark: SparkSession, run: str, model_args, data_args, training_args
 
 
 def write_run_info(info: DataFrame, path: str) -> None:
-    """Appends registry rows."""
-    info.write.mode("append").parquet(path)
+    """Adds a version of the registry that replaces its runs; earlier versions and other runs stay.
+
+    A version is a folder of its own, so writers at the same time never touch each other's files, and a version is there as a whole once
+    its job has committed. Its number is one above those that were there when it began; versions of one number, by writers at the
+    same time, are in the order of a random suffix, the same for every reader.
+    """
+    spark = info.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*"))
+    numbers = [int(f.getPath().getName().removeprefix("version=").partition("-")[0]) for f in found or []]
+    info.select(*RUN_INFO.names).write.parquet(f"{path}/version={max(numbers, default=-1) + 1:012d}-{uuid.uuid4().hex}")
+
+
+def read_run_info(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every run; a run that one version names twice has the row of the greater settings, taken as texts.
+
+    A null run is a run.
+    """
+    rows = run_versions(spark, path)
+    settings = [c for c in RUN_INFO.names[1:] if c != "final_metrics"]
+    metrics = F.array_sort(F.map_entries("final_metrics"))
+    newest = F.max_by(F.struct(*RUN_INFO.names[1:]), F.struct("version", *settings, metrics))
+    return rows.groupBy("run").agg(newest.alias("newest")).select("run", "newest.*")
+
+
+def run_versions(spark: SparkSession, path: str) -> DataFrame:
+    """All rows ever written, with their version."""
+    return spark.read.schema(T.StructType([*RUN_INFO.fields, T.StructField("version", T.StringType())])).parquet(path)

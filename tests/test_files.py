@@ -1,5 +1,6 @@
 import dataclasses
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,25 @@ def test_run_registry(spark, tmp_path):
     assert json.loads(rows["one"].data_args) == {"path": "x"} and rows["one"].final_metrics == {"loss": 1.0}
 
 
+def test_one_registry_row_per_run(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    row = lambda run, loss: K.run_info(spark, run, {"a": 1}, {}, {}, {"loss": loss})
+    K.write_run_info(row("one", 3).union(row("two", 2)).union(row(None, 1)), path)
+    K.write_run_info(row("one", 1), path)
+    assert {r.run: r.final_metrics["loss"] for r in K.read_run_info(spark, path).collect()} == {"one": 1.0, "two": 2.0, None: 1.0}
+    # writers at the same time: all commit, each run has one row
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: K.write_run_info(row("two", 10 + i).union(row(f"own{i}", i)), path), range(4)))
+    rows = K.read_run_info(spark, path).collect()
+    assert sorted(r.run or "" for r in rows) == ["", "one", "own0", "own1", "own2", "own3", "two"]
+    assert K.run_versions(spark, path).count() == 12
+    last = max(K.run_versions(spark, path).where("run = 'two'").collect(), key=lambda r: r.version)
+    assert {r.run: r for r in rows}["two"].final_metrics == last.final_metrics
+    K.write_run_info(row("two", 0).limit(0), path)
+    K.write_run_info(row("one", 5).union(row("one", 7)), path)
+    assert {r.run: r.final_metrics["loss"] for r in K.read_run_info(spark, path).collect()}["one"] == 7.0
+
+
 def test_scratch_follows_the_session_setting(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     kept = write_through(spark.range(5), "five")
