@@ -25,7 +25,9 @@ TOPK_LIMIT = 100_000  # largest n that is left to a top-k sort unless the method
 HOT_ROWS = 1_000_000  # groups up to this size are ranked in one piece
 PIECE_ROWS = 250_000  # rows of one piece of an order, whatever the number of rows
 MAX_CUTS = 4096  # quantiles that come to the driver; more pieces come from dividing their ranges
-IMAGE_BYTES = 6  # bytes of a text key, after what all keys share, that place it
+IMAGE_BYTES = 6  # bytes of a key, after what a quantile's range shares, that place it within
+CUT_SAMPLE = 64  # sampled keys for each cut
+CUT_BYTES = 4096  # leading bytes of a sampled key that come to the driver
 
 
 def seeded_hash(key: Column, seed: int = 42) -> Column:
@@ -50,7 +52,7 @@ def sized_digits(df: DataFrame) -> Column:
 
 
 def order_image(df: DataFrame, column: str) -> Column:
-    """A double that never decreases along the order of a number, time, boolean, text or binary column."""
+    """A double that never decreases along the order of a number, time or boolean column."""
     kind = df.schema[column].dataType
     value = F.col(column)
     if isinstance(kind, (T.NumericType, T.BooleanType)):
@@ -61,19 +63,73 @@ def order_image(df: DataFrame, column: str) -> Column:
         return F.unix_micros(value).cast("double")
     if isinstance(kind, T.TimestampNTZType):
         return F.datediff(value, F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        raw = value.cast("binary")
-        # all keys lie between the least and the greatest, so they share what these two share
-        ends = df.agg(F.min(column).cast("binary").alias("low"), F.max(column).cast("binary").alias("high")).first()
-        low, high = bytes(ends["low"] or b""), bytes(ends["high"] or b"")
-        shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-        head = F.rpad(F.hex(F.substring(raw, shared + 1, IMAGE_BYTES)), 2 * IMAGE_BYTES, "0")
-        return F.conv(head, 16, 10).cast("double")
     raise ValueError(f"no order is kept for keys of type {kind.simpleString()}")
 
 
+def order_bytes(df: DataFrame, column: str) -> Column | None:
+    """Bytes in the order of a text, binary, long or decimal column, exactly; null for types that a double places exactly.
+
+    Decimals of more than 18 digits are placed by doubles.
+    """
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return value.cast("binary")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        value = (value * F.lit(10**kind.scale).cast(f"decimal({kind.scale + 1},0)")).cast("long")
+    elif not isinstance(kind, T.LongType):
+        return None
+    return F.unhex(F.lpad(F.hex(value.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+
+
+def _shared(x: bytes, y: bytes) -> int:
+    return next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+
+def _range_of_bytes(df: DataFrame, raw: Column, cuts: int, each: int) -> Column:
+    """The piece of each key: keys of a sample are the cuts, found by binary search; ranges between them are divided evenly.
+
+    Cuts are as short as tells neighbours of the sample apart, so long common beginnings do no harm. Beyond ``MAX_CUTS`` pieces a range
+    that holds an outlier may stay undivided: one in ``MAX_CUTS`` of the rows.
+    """
+    keys = df.select(raw.alias("raw")).where("raw IS NOT NULL")
+    n, low, high = keys.agg(F.count(F.lit(1)), F.substring(F.min("raw"), 1, CUT_BYTES), F.substring(F.max("raw"), 1, CUT_BYTES)).first()
+    if not n:
+        return F.lit(0).cast("long")
+    sampled = keys.sample(min(1.0, 1.2 * cuts * CUT_SAMPLE / n), seed=42)
+    in_order = Window.orderBy("raw")  # a bounded sample
+    tiles = sampled.select("raw", F.ntile(cuts).over(in_order).alias("tile"), F.lag("raw").over(in_order).alias("before"))
+    first = [F.substring(x, 1, CUT_BYTES) for x in (F.min("raw"), F.min_by("before", "raw"))]
+    starts = tiles.groupBy("tile").agg(first[0].alias("start"), first[1].alias("before")).collect()
+    inner = {bytes(r.start[: _shared(r.before, r.start) + 1]) for r in starts if r.before is not None}
+    inner = sorted(inner - {bytes(low)})
+    if not inner:
+        return F.lit(0).cast("long")
+    table = F.array(*[F.lit(x) for x in inner])
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(len(inner).bit_length()))])
+
+    def search(key: Column) -> Column:
+        return F.aggregate(strides, F.lit(0), lambda at, by: F.when(F.get(table, at + by - 1) <= key, at + by).otherwise(at))
+
+    def within(key: Column, piece: Column) -> Column:
+        ends = list(zip([bytes(low), *inner], [*inner, bytes(high)]))
+        shared = [_shared(x, y) for x, y in ends]
+        place = [[int.from_bytes(e[i][k : k + IMAGE_BYTES].ljust(IMAGE_BYTES, b"\0")) for e, k in zip(ends, shared)] for i in (0, 1)]
+        skip, first, last = (F.get(F.array(*map(F.lit, x)), piece) for x in (shared, *place))
+        head = F.rpad(F.hex(F.substr(key, skip + 1, F.lit(IMAGE_BYTES))), 2 * IMAGE_BYTES, "0")
+        part = (F.conv(head, 16, 10).cast("double") - first) / (last - first) * each
+        return F.when(last > first, F.least(F.greatest(F.floor(part), F.lit(0)), F.lit(each - 1))).otherwise(F.lit(0)).cast("long")
+
+    def place_of(key: Column) -> Column:
+        if each == 1:
+            return search(key).cast("long")
+        return F.transform(F.array(search(key)), lambda piece: piece.cast("long") * each + within(key, piece))[0]
+
+    return F.transform(F.array(raw), place_of)[0]
+
+
 def with_range_segment(df: DataFrame, column: str, pieces: int | None = None, name: str = "__seg") -> DataFrame:
-    """Order-preserving pieces of a plain column, by quantiles of its ``order_image``.
+    """Order-preserving pieces of a plain column, by quantiles of its ``order_image``, or by sampled keys where it has ``order_bytes``.
 
     Pieces are sized by a count unless their number is given. At most ``MAX_CUTS`` quantiles come
     to the driver; if more pieces are needed, each quantile's range is divided evenly. The cuts
@@ -85,6 +141,9 @@ def with_range_segment(df: DataFrame, column: str, pieces: int | None = None, na
         return df.withColumn(name, F.lit(0).cast("long"))
     image, each = f"{name}_image", -(-pieces // MAX_CUTS)
     cuts = min(pieces, MAX_CUTS)
+    raw = order_bytes(df, column)
+    if raw is not None:
+        return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(_range_of_bytes(df, raw, cuts, each)).cast("long"))
     tagged = df.withColumn(image, order_image(df, column))
     found = tagged.select(F.percentile_approx(image, [i / cuts for i in range(cuts + 1)], 4 * cuts)).first()[0]
     inner = sorted({x for x in found or [] if math.isfinite(x)}) or [0.0]

@@ -103,6 +103,31 @@ def test_pieces_stay_small_as_rows_grow(spark, monkeypatch):
     assert digits == [4, 5]
 
 
+OUTLIERS = {
+    "paths": ("string", lambda i: f"s3://bucket/a/very/long/common/beginning/part-{i:07d}.jpg"),
+    "wide longs": ("long", lambda i: 2**62 + i),
+    "negative longs": ("long", lambda i: -(2**62) - 3 * i),
+    "decimals": ("decimal(18,2)", lambda i: decimal.Decimal(9 * 10**15) + decimal.Decimal(i) / 100),
+    "bytes": ("binary", lambda i: b"\0\xff" * 9 + i.to_bytes(4)),
+}
+
+
+@pytest.mark.parametrize("max_cuts", [4096, 4])
+@pytest.mark.parametrize("name", sorted(OUTLIERS))
+def test_outliers_and_common_beginnings_leave_pieces_even(spark, monkeypatch, name, max_cuts):
+    monkeypatch.setattr(R, "PIECE_ROWS", 250)
+    monkeypatch.setattr(R, "MAX_CUTS", max_cuts)
+    kind, key = OUTLIERS[name]
+    odd = {"string": ["", "zebra"], "binary": [b"", b"z"]}.get(kind, [type(key(0))(0), type(key(0))(1)])
+    keys = [*map(key, range(3000)), *odd]
+    df = spark.createDataFrame([(k,) for k in keys], f"k {kind}").repartition(4)
+    tagged = R.with_range_segment(df, "k")
+    sizes = [r["count"] for r in tagged.groupBy("__seg").count().collect()]
+    assert max(sizes) <= (500 if max_cuts > 12 else 1000) and sum(sizes) == 3002
+    ranked = R.input_rank(df, "k").collect()
+    assert [r.k for r in sorted(ranked, key=lambda r: r["rank"])] == sorted(keys)
+
+
 def test_shuffle_seeded(spark):
     assert [r.id for r in R.shuffle_seeded(spark.range(50), "id", 7).collect()] == order(range(50), 7)
 
