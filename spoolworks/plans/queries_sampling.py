@@ -9,6 +9,7 @@ from ..operators import epochs as E
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import steps as S
+from ..session import spread
 from .catalog import query
 from .standins import V_TRAIN_LOG
 
@@ -190,5 +191,6 @@ SIDES = """SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM (
 def _(t):
     """Three epochs in their own orders, resumed behind the second step of 32 rows."""
     placed = R.input_rank(t.documents.select("doc_id"), "doc_id", name="position")
+    placed = spread(placed, t.tasks_for("documents"))
     ranked = E.reshuffled(placed, "position", t.documents.count(), epochs=3, resume=(0, 64))
     return S.assign_steps(ranked, batch_size=32).select("doc_id", "epoch", "rank", "step")
