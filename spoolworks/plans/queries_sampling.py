@@ -191,6 +191,8 @@ SIDES = """SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM (
 def _(t):
     """Three epochs in their own orders, resumed behind the second step of 32 rows."""
     placed = R.input_rank(t.documents.select("doc_id"), "doc_id", name="position")
-    placed = spread(placed, t.tasks_for("documents"))
-    ranked = E.reshuffled(placed, "position", t.documents.count(), epochs=3, resume=(0, 64))
+    rows = t.documents.count()
+    # the ranks are computed per row, so small rows are worth a task each core
+    placed = spread(placed, max(t.spark.sparkContext.defaultParallelism, rows // R.PIECE_ROWS))
+    ranked = E.reshuffled(placed, "position", rows, epochs=3, resume=(0, 64))
     return S.assign_steps(ranked, batch_size=32).select("doc_id", "epoch", "rank", "step")
