@@ -105,7 +105,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = len(at) * 6 < width * 2
         narrow = np.minimum(own, 65535).astype(np.uint16)
         numbers.append(k)
-        data.append(b"s" + at.astype(np.uint32).tobytes() + narrow[at].tobytes() if small else b"d" + narrow.tobytes())
+        data.append(b"s" + at.astype(np.uint32).tobytes() + narrow[at].tobytes() if small else b"d" + pa.compress(narrow.tobytes(), "zstd", asbytes=True))
     if numbers:
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
@@ -116,7 +116,7 @@ def _sketch_sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         for data in batch.column("data"):
             raw = data.as_py()
             if raw[:1] == b"d":
-                total += np.frombuffer(raw, np.uint16, offset=1)
+                total += np.frombuffer(pa.decompress(raw[1:], 2 * len(total), "zstd", asbytes=True), np.uint16)
             else:
                 n = (len(raw) - 1) // 6
                 total[np.frombuffer(raw[1 : 1 + 4 * n], np.uint32)] += np.frombuffer(raw[1 + 4 * n :], np.uint16)
@@ -174,19 +174,34 @@ def _sets_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, hash long, n long, tag long, bits binary, keys array<long>")
 
 
-def _pack_keys(slice_bits: int):
+def _pack_keys(slice_bits: int, several: np.ndarray):
+    """Keys and their holders; a set that only one task found needs no name, each of its keys is a holder more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            named = sieve.is_member(several.value, batch.column("hash").to_numpy(zero_copy_only=False))
             lists = batch.column("keys")
             count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             holders = np.repeat(batch.column("tag").to_numpy(zero_copy_only=False), count).astype(np.int64).view(np.uint64)
             if len(keys):
-                yield sieve.pack(keys, holders, slice_bits)
+                yield sieve.pack(keys, holders, slice_bits, np.repeat(~named, count))
 
     return run
 
 
+def first_shared(live: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of the keys, in the common order of each row's set, may be the first that it shares with a set it links with.
+
+    That key is among the first fifth of all elements, and others follow it: of ``least_shared(n)`` shared keys it is the
+    first, so the last ``least_shared(n) - 1`` live ones are out, and a set with fewer live keys than that has none.
+    """
+    order = np.cumsum(live)
+    counts = np.bincount(row[live], minlength=len(n))
+    order -= (np.cumsum(counts) - counts)[row]  # from 1 within the row's live keys
+    return live & (order <= (counts - least_shared(n) + 1)[row]) & (place < prefix_length(n)[row])
+
+
 class Links:
     """Sets of linked nodes, joined as links are found."""
 
@@ -341,23 +356,25 @@ def _candidate_links(sets: DataFrame, levels: np.ndarray, usual: float, tile: in
     keyed = sets.where("keys is not null")
     total = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     slice_bits = sieve.slice_bits_for(total)
-    marks = sieve.repeated(keyed.select("tag", "keys").mapInArrow(_pack_keys(slice_bits), sieve.PACKED), slice_bits)
     sc = sets.sparkSession.sparkContext
+    found = keyed.groupBy("tag").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    several = sc.broadcast(sieve.members(found, "tag"))
+    packed = keyed.select("tag", "keys", F.xxhash64("tag").alias("hash")).mapInArrow(_pack_keys(slice_bits, several), sieve.PACKED)
+    marks = sieve.repeated(packed, slice_bits)
     shared, ranks = sc.broadcast(marks), sc.broadcast(levels)
     bundles = max(8, int(total // GROUP_KEYS) + 1)
 
     def spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each key of the first fifth that another set may hold, of sets that may share enough keys;
-        sets of a very frequent key go to pairs of blocks of it."""
+        """A row for each key that may be the first one shared with a linked set; sets of a very frequent key go to
+        pairs of blocks of it."""
         for batch in batches:
             count = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False)
             keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(batch.num_rows), count)
             live = sieve.may_repeat(shared.value, keys)
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            enough = np.bincount(row[live], minlength=batch.num_rows) >= least_shared(n)
             place = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
-            live &= enough[row] & (place < prefix_length(n)[row])
+            live = first_shared(live, row, place, n)
             keys, row = keys[live], row[live]
             level = ranks.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             blocks = np.maximum(1, np.ceil((2.0 ** (level / 4.0) - 1) * usual / tile)).astype(np.int64)  # by what is more than usual
@@ -435,7 +452,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table.
 
     Sets that link share one of their first fifth of elements, rare ones first, and a twentieth of all among
-    the first quarter. Keys that two sets hold make tiles for the sets with enough of them; within a tile a pair is left only if sizes and bitmaps allow a link. Such
+    the first quarter. Keys that two sets hold make tiles for the sets with enough of them, save those that come too late to be the
+    first one shared; within a tile a pair is left only if sizes and bitmaps allow a link. Such
     pairs join sets to clusters, and within clusters sorted arrays are intersected exactly,
     pairs already joined being left out. Equal sets are one set from the start.
     """

@@ -21,26 +21,55 @@ def spread(keys: np.ndarray) -> np.ndarray:
     return mix64(keys ^ np.uint64(0xA0761D6478BD642F))
 
 
-def pack(keys: np.ndarray, holders: np.ndarray, slice_bits: int) -> pa.RecordBatch:
+def _shorten(shorts: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as compressed differences, byte by byte."""
+    steps = np.diff(shorts, prepend=np.uint32(0))
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _lengthen(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _ends(keys: np.ndarray) -> np.ndarray:
+    """The first and the last entry of each run of equal keys."""
+    change = keys[1:] != keys[:-1]
+    return np.concatenate([[True], change]) | np.concatenate([change, [True]])
+
+
+def pack(keys: np.ndarray, holders: np.ndarray, slice_bits: int, lone: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each slice of the key space: 32 further bits of each key, and its holder.
 
     A key's holders within the call shrink to the least and the greatest, so a frequent key takes
-    two entries of each call, not one of each holder.
+    two entries of each call, not one of each holder. ``lone`` marks entries whose holder has no other entry of
+    that key in any call; they go without their holder.
     """
+    lone = np.zeros(len(keys), dtype=bool) if lone is None else lone
     mixed = spread(keys)
-    order = np.lexsort((holders, mixed))
-    mixed, holders = mixed[order], holders[order]
-    first = np.ones(len(mixed), dtype=bool)
-    first[1:] = mixed[1:] != mixed[:-1]
-    last = np.append(first[1:], True) if len(first) else first
-    keep = first | (last & ~first)
-    mixed, holders = mixed[keep], holders[keep]
-    part = (mixed >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(mixed), np.int64)
-    short = ((mixed << np.uint64(slice_bits)) >> np.uint64(32)).astype(np.uint32)
-    cuts = np.searchsorted(part, np.arange((1 << slice_bits) + 1))
-    rows = [(s, cuts[s], cuts[s + 1]) for s in range(1 << slice_bits) if cuts[s] < cuts[s + 1]]
-    data = [np.uint32(b - a).tobytes() + short[a:b].tobytes() + holders[a:b].astype(np.uint64).tobytes() for _, a, b in rows]
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in rows], pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
+    named, holders, bare = mixed[~lone], holders[~lone], np.sort(mixed[lone])
+    order = np.lexsort((holders, named))
+    named, holders = named[order], holders[order]
+    if len(named):
+        keep = _ends(named)
+        named, holders = named[keep], holders[keep]
+    if len(bare):
+        bare = bare[_ends(bare)]
+
+    def split(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = (mixed >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(mixed), np.int64)
+        short = ((mixed << np.uint64(slice_bits)) >> np.uint64(32)).astype(np.uint32)
+        return short, np.searchsorted(part, np.arange((1 << slice_bits) + 1))
+
+    (short, cuts), (bare, bare_cuts) = split(named), split(bare)
+    rows, data = [], []
+    for s in range(1 << slice_bits):
+        a, b, c, d = cuts[s], cuts[s + 1], bare_cuts[s], bare_cuts[s + 1]
+        if a < b or c < d:
+            rows.append(s)
+            head = np.array([b - a, d - c], dtype=np.uint32).tobytes()
+            data.append(head + short[a:b].tobytes() + holders[a:b].astype(np.uint64).tobytes() + (_shorten(bare[c:d]) if c < d else b""))
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
 
 def slice_bits_for(keys: int, each: int = 1_500_000) -> int:
@@ -58,20 +87,29 @@ def repeated(packed: DataFrame, slice_bits: int, bits: int = BITS, hot: int | No
     cell_bits = bits - slice_bits
 
     def sift(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shorts, holders = [], []
+        shorts, holders, bare = [], [], []
         for batch in batches:
             for data in batch.column("data"):
-                raw = data.as_buffer()
-                n = int(np.frombuffer(raw, np.uint32, 1)[0])
-                shorts.append(np.frombuffer(raw, np.uint32, n, 4))
-                holders.append(np.frombuffer(bytes(raw[4 + 4 * n :]), np.uint64))
-        short, holder = np.concatenate(shorts), np.concatenate(holders)
+                raw = data.as_py()
+                n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+                shorts.append(np.frombuffer(raw, np.uint32, n, 8))
+                holders.append(np.frombuffer(raw[8 + 4 * n : 8 + 12 * n], np.uint64))
+                if m:
+                    bare.append(_lengthen(raw[8 + 12 * n :], m))
+        holder = np.concatenate(holders)
+        short = np.concatenate(shorts + bare)
+        alone = np.arange(len(short)) >= len(holder)
+        least = np.concatenate([holder, np.full(len(short) - len(holder), ~np.uint64(0))])
+        greatest = np.where(alone, np.uint64(0), least)
         order = np.argsort(short, kind="stable")
-        short, holder = short[order], holder[order]
+        short, alone, least, greatest = short[order], alone[order], least[order], greatest[order]
         first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        live = [np.minimum.reduceat(holder, first) != np.maximum.reduceat(holder, first)]
+        entries, bare_ones = np.diff(np.append(first, len(short))), np.add.reduceat(alone.astype(np.int64), first)
+        known = entries > bare_ones
+        two = known & (np.minimum.reduceat(least, first) != np.maximum.reduceat(greatest, first))
+        live = [two | (bare_ones + known >= 2)]
         if hot:
-            live.append(np.diff(np.append(first, len(short))) >= hot)
+            live.append(entries >= hot)
         piece = b""
         for chosen in live:
             marks = np.zeros(1 << cell_bits, dtype=bool)

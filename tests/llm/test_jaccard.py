@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spoolworks.llm import components, jaccard
+from spoolworks.llm import components, jaccard, sieve
 from spoolworks.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -113,6 +113,50 @@ def test_bounds_hold():
             assert len(np.intersect1d(x, y)) >= max(jaccard.least_shared(len(a)), jaccard.least_shared(len(b)))
 
 
+def test_linked_sets_meet_at_their_first_shared_key():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        pool = rng.permutation(2000).astype(np.uint64)
+        a = np.sort(pool[: rng.integers(1, 400)])
+        b = np.sort(np.concatenate([a[rng.random(len(a)) < rng.choice([0.85, 0.95, 1.0])], pool[400 : 400 + rng.integers(0, 1 + len(a) // 9)]]))
+        if len(b) == 0 or 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        lists = [s[: jaccard.prefix_length(len(s)) + jaccard.more_keys(len(s))] for s in (a, b)]
+        keys, n = np.concatenate(lists), np.array([len(a), len(b)])
+        row = np.repeat([0, 1], [len(s) for s in lists])
+        place = np.concatenate([np.arange(len(s)) for s in lists])
+        live = np.isin(keys, np.intersect1d(*lists)) | (rng.random(len(keys)) < rng.choice([0, 0.3]))  # others may pass the filter
+        chosen = jaccard.first_shared(live, row, place, n)
+        shared = np.intersect1d(*lists)
+        assert shared[0] in keys[chosen & (row == 0)] and shared[0] in keys[chosen & (row == 1)]
+        assert (chosen <= live).all()
+
+
+@pytest.mark.parametrize("slice_bits", [0, 3])
+def test_repeated_keys_with_and_without_names(spark, slice_bits):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    calls, held = [], defaultdict(set)
+    for call in range(4):
+        own, who, lone = [], [], []
+        for holder in range(60):
+            alone = holder % 3 > 0
+            name = 1000 * call + holder if alone else holder  # the others come in every call
+            pick = np.random.default_rng(name).choice(keys, 30, replace=False)
+            for k in pick:
+                held[int(k)].add(name)
+            own.append(pick)
+            who += [name] * 30
+            lone += [alone] * 30
+        calls.append(sieve.pack(np.concatenate(own), np.array(who, np.uint64), slice_bits, np.array(lone)))
+    rows = [(s, bytes(d)) for c in calls for s, d in zip(c.column("slice").to_pylist(), c.column("data").to_pylist())]
+    marks = sieve.repeated(spark.createDataFrame(rows, sieve.PACKED), slice_bits)
+    several = np.array([k for k, names in held.items() if len(names) > 1], np.uint64)
+    single = np.array([k for k, names in held.items() if len(names) == 1], np.uint64)
+    assert len(several) > 100 and len(single) > 100
+    assert sieve.may_repeat(marks, several).all() and sieve.may_repeat(marks, single).mean() < 0.01
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 120)] + [(500, 500 + i) for i in range(1, 60)] + [(700, 701), (701, 700), (800, 800)]
     rows = components.components(spark.createDataFrame(links, "high long, low long")).collect()
