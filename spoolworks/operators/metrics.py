@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.means import exact_mean
 from ..functions.text import round_half_up
 from .ranking import input_rank
 
@@ -17,19 +18,19 @@ def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def perplexity(df: DataFrame, predictions: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean prediction and its exponential; the first entry counts when predictions are arrays."""
+    """Mean prediction and its exponential, the same in any order of rows; the first entry counts when predictions are arrays."""
     kind = df.schema[predictions].dataType.typeName()
     value = F.get(predictions, F.lit(0)) if kind == "array" else F.col(predictions)
-    loss = F.avg(value)
+    loss = exact_mean(value)
     return df.groupBy(*by).agg(loss.alias("eval_loss"), F.exp(loss).alias("eval_perplexity"))
 
 
 def run_summary(log: DataFrame, run: str = "run", extras: Sequence[str] = ()) -> DataFrame:
-    """Mean and last loss and steps of each run; end-of-run figures such as the runtime when logged."""
+    """Mean (the same in any order of rows) and last loss and steps of each run; end-of-run figures such as the runtime when logged."""
     figures = [F.max(c).alias(c) for c in extras]
     has_loss = F.col("loss").isNotNull()
     return log.groupBy(run).agg(
-        F.avg("loss").alias("train_loss"),
+        exact_mean("loss").alias("train_loss"),
         F.max_by(F.when(has_loss, F.col("loss")), F.when(has_loss, F.col("step"))).alias("last_loss"),
         F.max("step").alias("steps"),
         F.count("loss").alias("logged"),
