@@ -223,9 +223,11 @@ def identify(
     script being narrowed to its languages. The prediction is the language of most letters, the smaller
     name in a tie, and the score its share of all letters. A text that is null or has no letter is
     ``und`` with score 0, and so is every text if nothing was learned. Spans give the first word and
-    number of words of each run, words counted as runs without white space.
+    number of words of each run, words counted as runs without white space. Repeated rows each get their
+    answer, and an empty table gives an empty table. A column that has the name of a result is replaced.
     """
-    keep = docs.columns if keep is None else keep
+    results = {name.lower() for name in (lang_name, score_name, spans_name) if name}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep] + [T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]
     schema = T.StructType(fields + ([T.StructField(spans_name, SPANS_TYPE)] if spans_name else []))
@@ -241,7 +243,12 @@ def identify(
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: id, held_out, lang_pred, score. An empty table gives an empty table."""
+    """Per document: id, held_out, lang_pred, score.
+
+    Learns from documents that are not held out and have a language; without any, all are ``und``. Null texts and texts
+    without letters are ``und`` with score 0, ties go to the smaller name, repeated rows get a row each. A null id
+    has a null ``held_out`` and is not learned from. An empty table gives an empty table.
+    """
     labelled = identify(docs.select(id_col, "text"), train(docs, id_col=id_col), keep=[id_col])
     return labelled.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
@@ -249,7 +256,9 @@ def predict(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents in which one language has most letters; all columns stay.
 
-    Rejected are texts without letters and those in which no language reaches ``min_score``.
+    Rejected are texts without letters (null and empty ones among them) and those in which no language reaches
+    ``min_score``. Repeated rows stay or go together; an empty table gives an empty table, and so does one
+    without any learned language.
     """
     lang, score = free(docs, "lang_pred", "score")
     labelled = identify(docs, train(docs), lang_name=lang, score_name=score)

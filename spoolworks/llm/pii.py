@@ -205,7 +205,11 @@ def joined(spans: Column) -> Column:
 
 
 def personal_data_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts of the base kinds, the digest of base spans, and all spans."""
+    """Per document: counts of the base kinds, the digest of base spans, and all spans.
+
+    A null or empty text has counts of zero, no spans and the digest of the empty string; repeated rows get a row each, and an
+    empty table gives an empty table.
+    """
     found = find_personal_data(docs.select(F.col(id_col), F.col(text_col).alias("text")))
     base = F.filter("findings", lambda s: s["order"] < len(BASE))
     counts = [F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]

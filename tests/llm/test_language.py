@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spoolworks.llm import language
 from spoolworks.llm.queries import QUERIES
@@ -86,3 +87,10 @@ def test_labels_of_held_out_rows_are_never_learned(docs_of):
     model = language.train(docs_of([(i, EN, "secret" if i in out else "en") for i in range(400)]))
     assert model["langs"] == ["en"]
     assert not re.search("secret", str(model["langs"]))
+
+
+def test_a_column_of_a_results_name_is_replaced(docs_of):
+    docs = docs_of([(1, "one two three"), (2, None)]).withColumns({"score": F.lit("old"), "lang": F.lit("en"), "other": F.lit(1)})
+    got = language.identify(docs, language.train(docs))
+    assert got.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
+    assert {r.doc_id: r.score for r in got.collect()}[2] == 0.0

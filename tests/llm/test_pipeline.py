@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from spoolworks.llm import pieces
 from test_jaccard import brute
 
@@ -45,5 +46,20 @@ def test_stages_one_by_one(spark, tmp_path):
     assert all(r.text == texts[r.doc_id] for r in back)
 
 
+def test_stages_on_no_rows_and_on_nulls_and_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns({c: F.lit(1) for c in ("id", "hash", "n", "tag", "score", "lang_pred", "size")})
+    copy = "a text of no number that is here twice"
+    edges = spark.createDataFrame([(None, copy), (None, copy), (None, None), (9_000_001, None), (9_000_002, ""), (9_000_003, " \n")], "doc_id long, text string")
+    for name, start in (("none", docs.where("false")), ("edges", docs.unionByName(edges, allowMissingColumns=True))):
+        rows = start
+        for stage_name, stage in corpus_pipeline.STAGES:
+            columns = rows.columns
+            stage(spark, rows, FOLDER).write.parquet(str(tmp_path / name / stage_name))
+            rows = spark.read.parquet(str(tmp_path / name / stage_name))
+            assert rows.columns == columns or stage_name == corpus_pipeline.STAGES[-1][0]
+        assert (rows.count() > 0) == (name == "edges")
+        assert rows.where("doc_id > 9000000").count() == 0
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns == ["doc_id", "lang", "source", "tokens"]
