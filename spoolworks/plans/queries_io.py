@@ -171,8 +171,9 @@ def _(t):
 
 @query("scan_image_files", "SELECT concat('doc_', doc_id, '.txt') AS name, octet_length(encode(text)) AS length FROM documents")
 def _(t):
+    """Every text as a file, a folder for every thousand ids."""
     path = scratch_path(t.spark, "blobs")
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    name = F.concat(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     K.copy_images(t.documents.select(name.alias("dest"), "doc_id", F.encode("text", "UTF-8").alias("body")), path, src="doc_id", content="body")
     return S.scan_image_files(t.spark, path).select(F.substring_index("path", "/", -1).alias("name"), "length")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
 import re
 import urllib.parse
@@ -129,25 +130,29 @@ def copy_images(
     first = first_writer_wins(manifest.select(*{src, dest, order_key or src}), dest, order_key or src).select(dest, src)
     rows = manifest.join(first, [dest, src], "left_semi") if content else first
     wanted = rows.select(F.col(src).cast("string").alias("src"), F.col(dest).alias("dest"), *([F.col(content).alias("content")] if content else []))
-    attempts = f"{dest_dir.rstrip('/')}/{ATTEMPTS}-{uuid.uuid4().hex}"
+    attempts = f"{ATTEMPTS}-{uuid.uuid4().hex}"
 
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = f"{attempts}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+        folder, numbers = _Folder(dest_dir), itertools.count()
         for batch in batches:
             bodies = batch["content"] if content else [None] * len(batch)
-            done = [_stage_one(s, dest_dir, d, b, content is not None, own) for s, d, b in zip(batch["src"], batch["dest"], bodies)]
+            done = [
+                _stage_one(s, folder, d, b, content is not None, f"{own}/{next(numbers)}") for s, d, b in zip(batch["src"], batch["dest"], bodies)
+            ]
             yield pd.DataFrame({"src": batch["src"], "dest": batch["dest"], "status": [x for x, _ in done], "part": [p for _, p in done]})
 
     def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = _Folder(dest_dir)
         for batch in batches:
-            status = [_publish_one(dest_dir, d, p) if s == "staged" else s for d, s, p in zip(batch["dest"], batch["status"], batch["part"])]
+            status = [_publish_one(folder, d, p) if s == "staged" else s for d, s, p in zip(batch["dest"], batch["status"], batch["part"])]
             yield pd.DataFrame({"src": batch["src"], "dest": batch["dest"], "status": status})
 
     try:
         staged = write_through(wanted.mapInPandas(stage, "src string, dest string, status string, part string"), "staged")
         return write_through(staged.mapInPandas(publish, "src string, dest string, status string"), "copied")
     finally:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(attempts)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{dest_dir.rstrip('/')}/{attempts}")
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -163,13 +168,36 @@ def _open_file_system(uri: str):
     return fs.FileSystem.from_uri(plain_uri(uri))
 
 
-def _stage_one(src: str | None, dest_dir: str, name: str, body: bytes | None, from_bytes: bool, own: str) -> tuple[str, str | None]:
-    """Copies one image into the attempt's folder; the status so far, and where the copy lies."""
+class _Folder:
+    """The target folder as one task sees it: opened once, and each of its subfolders made once."""
+
+    def __init__(self, uri: str):
+        self.uri, self.opened, self.made = uri, None, set()
+
+    def find(self, name: str):
+        """The file system, the path of a name, and whether it is there."""
+        from pyarrow import fs
+
+        if not self.opened:
+            files, root = _open_file_system(self.uri)
+            self.opened = files, root.rstrip("/")
+        files, root = self.opened
+        path = f"{root}/{name}"
+        return files, path, files.get_file_info(path).type != fs.FileType.NotFound
+
+    def make_parent(self, path: str) -> None:
+        parent = path.rpartition("/")[0]
+        if parent not in self.made:
+            self.opened[0].create_dir(parent, recursive=True)
+            self.made.add(parent)
+
+
+def _stage_one(src: str | None, folder: _Folder, name: str, body: bytes | None, from_bytes: bool, part: str) -> tuple[str, str | None]:
+    """Copies one image into the attempt's folder; the status so far, and where the copy lies below the target folder."""
     from pyarrow import fs
 
     try:
-        target, root = _open_file_system(dest_dir)
-        if target.get_file_info(f"{root.rstrip('/')}/{name}").type != fs.FileType.NotFound:
+        if folder.find(name)[2]:
             return "kept", None
         if from_bytes:
             if body is None:
@@ -182,9 +210,8 @@ def _stage_one(src: str | None, dest_dir: str, name: str, body: bytes | None, fr
             if source.get_file_info(origin).type != fs.FileType.File:
                 return "missing", None
             read = source.open_input_stream(origin)
-        part = f"{own}/{name}"
-        _, path = _open_file_system(part)
-        target.create_dir(path.rpartition("/")[0], recursive=True)
+        target, path, _ = folder.find(part)
+        folder.make_parent(path)
         with read, target.open_output_stream(path) as write:
             while block := read.read(BLOCK):
                 write.write(block)
@@ -193,19 +220,16 @@ def _stage_one(src: str | None, dest_dir: str, name: str, body: bytes | None, fr
         return "failed", None
 
 
-def _publish_one(dest_dir: str, name: str, part: str) -> str:
+def _publish_one(folder: _Folder, name: str, part: str) -> str:
     """Moves a committed copy to its name; a copy that is gone while its target is there was moved by an earlier attempt."""
-    from pyarrow import fs
-
     try:
-        target, root = _open_file_system(dest_dir)
-        path, (_, staged) = f"{root.rstrip('/')}/{name}", _open_file_system(part)
-        there = target.get_file_info(path).type != fs.FileType.NotFound
-        if target.get_file_info(staged).type == fs.FileType.NotFound:
+        target, path, there = folder.find(name)
+        _, staged, left = folder.find(part)
+        if not left:
             return "written" if there else "failed"
         if there:
             return "kept"
-        target.create_dir(path.rpartition("/")[0], recursive=True)
+        folder.make_parent(path)
         target.move(staged, path)
         return "written"
     except (OSError, ValueError):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
-from collections.abc import Callable
+import os
+import re
+import stat
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +19,7 @@ from ..constants import DEFAULT_DATA_FILE, SPLIT_FILE_PATTERN
 from ..functions.text import clean_tag
 from ..operators.ranking import latest_artifact
 from ..schemas import TRAINER_STATE
+from ..session import write_through
 
 
 def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -147,13 +154,84 @@ def scan_metrics_csv(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+#: What a listing says of a file or folder; a folder's rows are those of the level below.
+LISTED = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("folder", T.BooleanType()),
+])
+#: Tasks for each core that list folders, and rows of one batch of them.
+LIST_TASKS = 4
+LIST_ROWS = 10_000
+
+
 def scan_image_files(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
-    """Files of a folder and everything below it; bytes are read only when asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """Files of a folder and everything below it; bytes are read only when asked for.
+
+    A folder on a shared mount is listed by tasks, level by level, and the listing is a written table, so neither the driver
+    nor a task holds the names; one folder is listed by one task, so many files belong in many folders. Files with
+    content, globs, single files and other stores go through Spark's own file index, which passes over empty files. Names that
+    Spark takes as hidden are left out.
+    """
     wanted = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
+    if not with_content and (folder := _mounted_folder(spark, path)):
+        return _list_files(spark, folder).select(*wanted)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(*wanted)
 
 
+def _mounted_folder(spark: SparkSession, path: str) -> str | None:
+    """The full path of a folder that tasks can list themselves; null for any other path."""
+    if re.search(r"[*?\[{]", path):
+        return None
+    target = _hadoop_path(spark, path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file" or not fs.exists(target) or not fs.getFileStatus(target).isDirectory():
+        return None
+    return fs.makeQualified(target).toString()
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's file index passes over the name."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Path, time in microseconds, length and kind of what lies in a folder; what vanishes meanwhile is left out."""
+    with os.scandir(folder.partition(":")[2]) as found:
+        for entry in found:
+            if _hidden(entry.name):
+                continue
+            try:
+                status = entry.stat()
+            except FileNotFoundError:
+                continue
+            # file systems of Spark tell milliseconds
+            yield f"{folder.rstrip('/')}/{entry.name}", status.st_mtime_ns // 1_000_000 * 1000, status.st_size, stat.S_ISDIR(status.st_mode)
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.bool_()]
+    for batch in batches:
+        entries = itertools.chain.from_iterable(_entries(folder) for folder in batch.column("path").to_pylist())
+        while rows := list(itertools.islice(entries, LIST_ROWS)):
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=LISTED.names)
+
+
+def _list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files below a folder, by one pass over the folders of each depth."""
+    cores = spark.sparkContext.defaultParallelism
+    folders, n, levels = spark.createDataFrame([(folder,)], "path string"), 1, []
+    while n:
+        listed = folders.repartition(min(n, LIST_TASKS * cores)).mapInArrow(_list_folders, LISTED)
+        levels.append(write_through(listed, "listing"))
+        folders = levels[-1].where("folder").select("path")
+        n = folders.count()
+    return functools.reduce(DataFrame.union, levels).where("NOT folder")
+
+
 def read_trainer_states(spark: SparkSession, path: str, multi_line: bool = True, schema: T.StructType = TRAINER_STATE) -> DataFrame:
     """Trainer state documents with the file each came from."""
     return (

@@ -212,3 +212,49 @@ def test_trainer_states_come_in_bounded_pieces(spark, monkeypatch):
     assert {run: sum(r.n for r in states if r.run == run and "checkpoint-00000002" in r.path) for run in steps} == steps
     got = catalog.callables()["scan_trainer_states"](spark, "/root/testdata/sf0.001").collect()
     assert {r.run: (r.step, r.entries) for r in got} == {run: (n, 2 * n) for run, n in steps.items()}
+
+
+def test_listed_folders_agree_with_the_file_index(spark, tmp_path):
+    root = tmp_path / "in x"
+    names = ["a b.jpg", "é%20+#.jpg", "_x", "_x=1", ".h", "_metadata", "c._COPYING_", "_skip/f", "k=1/p/q/r.bin", "k=1/_metadata1", "sub/.d/x", "sub/y"]
+    for i, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * i)
+    (root / "none").mkdir()
+    (root / "link").symlink_to(root / "sub")
+    (root / "gone").symlink_to(root / "nothing")
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root))
+    want = sorted(tuple(r) for r in index.select("path", "modificationTime", "length").collect())
+    listed = sorted(tuple(r) for r in S.scan_image_files(spark, str(root)).collect())
+    assert [r for r in listed if r[2]] == want and {r[0].rpartition("/")[2] for r in want} == {"é%20+#.jpg", "_x=1", "r.bin", "y"}
+    assert [r[0].rpartition("/")[2] for r in listed if not r[2]] == ["a b.jpg"], "the index passes over empty files; they are files"
+    assert sorted(tuple(r) for r in S.scan_image_files(spark, f"file://{root}/").collect()) == listed
+    assert S.scan_image_files(spark, f"{root}/none").collect() == []
+    # globs and single files as before
+    assert [r.length for r in S.scan_image_files(spark, f"{root}/su*/y").collect()] == [11] == [r.length for r in S.scan_image_files(spark, f"{root}/sub/y").collect()]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.scan_image_files(spark, f"{root}/nowhere")
+
+
+def test_many_files_are_no_many_tasks(spark, tmp_path):
+    for i in range(1200):
+        (tmp_path / f"{i % 30}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 30}" / f"{i}.bin").write_bytes(b"x")
+    listed = S.scan_image_files(spark, str(tmp_path))
+    assert listed.count() == 1200
+    assert listed.rdd.getNumPartitions() <= 2 * 8, "the rows of a table, not a task for every 32 files"
+
+
+def test_a_task_opens_the_target_once(spark, tmp_path, monkeypatch):
+    """The helpers as a task calls them: the store is opened and each folder made once, not for every file."""
+    opened, real = [], K._open_file_system
+    monkeypatch.setattr(K, "_open_file_system", lambda uri: opened.append(uri) or real(uri))
+    folder = K._Folder(f"file://{tmp_path}/out")
+    for i in range(20):
+        assert K._stage_one(None, folder, f"d{i % 3}/{i}.bin", b"x" * i, True, f"_a/{i}") == ("staged", f"_a/{i}")
+        assert K._publish_one(folder, f"d{i % 3}/{i}.bin", f"_a/{i}") == "written"
+    assert len(opened) == 1 and folder.made == {f"{tmp_path}/out/{d}" for d in ("_a", "d0", "d1", "d2")}
+    assert {p.name: p.stat().st_size for p in (tmp_path / "out").rglob("*.bin")} == {f"{i}.bin": i for i in range(20)}
+    assert K._publish_one(folder, "d0/0.bin", "_a/0") == "written", "moved by an earlier attempt"
+    assert K._publish_one(folder, "d0/new.bin", "_a/gone") == "failed"
+    assert K._stage_one(None, folder, "d0/0.bin", b"y", True, "_a/99") == ("kept", None)
