@@ -25,7 +25,11 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 #: Documents of one tile; larger groups become several tiles.
 TILE = 20_000
-GROUP_KEYS = 500_000
+GROUP_KEYS = 1_000_000
+#: The filter of repeated keys has two cells for each key, 8 MB at least and 128 MB at most.
+FILTER_BITS = 26, 30
+#: Sets of possible links whose clusters, 32 bytes each, are sent to all tasks; more are joined by a shuffle.
+SENT_SETS = 2_000_000
 #: One element in so many is a key besides the first fifth. Linked sets share as many keys more, so a set
 #: that only shares a passage or a chance key with others is told apart before anything else moves.
 MORE_SHARE = 20
@@ -174,6 +178,12 @@ def _sets_table(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, hash long, n long, tag long, bits binary, keys array<long>")
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of the filter for so many keys, as a power of two: a filter of one size would fill, and let ever more lone keys pass."""
+    least, most = FILTER_BITS
+    return min(most, max(least, int(2 * keys - 1).bit_length()))
+
+
 def _pack_keys(slice_bits: int, several: np.ndarray):
     """Keys and their holders; a set that only one task found needs no name, each of its keys is a holder more."""
 
@@ -275,15 +285,27 @@ def _by_first(pairs: np.ndarray):
     return first.tolist(), np.split(pairs[:, 1], cuts[1:])
 
 
+def _tile_lists(row: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The distinct rows, and the tiles of each, 32 bits of every one, as bytes.
+
+    Tiles of a bundle that agree in those bits become one, which only adds pairs to compare.
+    """
+    order = np.argsort(row, kind="stable")
+    rows, first = np.unique(row[order], return_index=True)
+    data = pa.py_buffer((tiles[order] >> np.uint64(32)).astype(np.uint32).tobytes())
+    ends = pa.py_buffer((4 * np.append(first, len(row))).astype(np.int32).tobytes())
+    return rows, pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, data])
+
+
 def _candidates(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bundle of tiles: rows that share a key meet, smaller sets first."""
+    """One bundle of tiles: sets that share a key meet, smaller sets first."""
     table = pa.Table.from_batches(list(batches))
     n_all, tag_all = table.column("n").to_numpy(), table.column("tag").to_numpy()
-    tile = table.column("tile").to_numpy()
-    # distinct sets, by size; of each a row that carries its bitmap
-    carried = np.flatnonzero(table.column("bits").is_valid().to_numpy())
-    known, first = np.unique(tag_all[carried], return_index=True)
-    at, who = carried[first], np.searchsorted(known, tag_all)
+    lists = table.column("tiles").to_pylist()
+    tile = np.frombuffer(b"".join(lists), np.uint32)
+    # distinct sets, by size
+    known, at, who = np.unique(tag_all, return_index=True, return_inverse=True)
+    who = np.repeat(who, [len(x) // 4 for x in lists])
     order = np.argsort(n_all[at], kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -360,7 +382,7 @@ def _candidate_links(sets: DataFrame, levels: np.ndarray, usual: float, tile: in
     found = keyed.groupBy("tag").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     several = sc.broadcast(sieve.members(found, "tag"))
     packed = keyed.select("tag", "keys", F.xxhash64("tag").alias("hash")).mapInArrow(_pack_keys(slice_bits, several), sieve.PACKED)
-    marks = sieve.repeated(packed, slice_bits)
+    marks = sieve.repeated(packed, slice_bits, filter_bits(total))
     shared, ranks = sc.broadcast(marks), sc.broadcast(levels)
     bundles = max(8, int(total // GROUP_KEYS) + 1)
 
@@ -387,22 +409,16 @@ def _candidate_links(sets: DataFrame, levels: np.ndarray, usual: float, tile: in
                 pair = (np.minimum(own, other) << 20) | np.maximum(own, other)
                 tiles = mix64(k[at] ^ mix64(pair.astype(np.uint64)))
                 bundle = (tiles % np.uint64(bundles)).astype(np.int64)
-                # a set's bitmap goes to a bundle once, not with each of its keys
-                _, first = np.unique(bundle * batch.num_rows + r[at], return_index=True)
-                lead = np.zeros(len(at), dtype=bool)
-                lead[first] = True
+                # a set goes to a bundle once, with all its tiles there
+                sent, lists = _tile_lists(bundle * batch.num_rows + r[at], tiles)
+                bundle, owner = np.divmod(sent, batch.num_rows)
+                owner = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bundle.astype(np.int32)),
-                        pa.array(tiles.view(np.int64)),
-                        pa.array(tags),
-                        batch.column("n").take(pa.array(r[at])),
-                        batch.column("bits").take(pa.array(r[at], mask=~lead)),
-                    ],
-                    names=["bundle", "tile", "tag", "n", "bits"],
+                    [pa.array(bundle.astype(np.int32)), *(batch.column(c).take(owner) for c in ("tag", "n", "bits")), lists],
+                    names=["bundle", "tag", "n", "bits", "tiles"],
                 )
 
-    rows = keyed.select("tag", "n", "bits", "keys").mapInArrow(spread_keys, "bundle int, tile long, tag long, n long, bits binary")
+    rows = keyed.select("tag", "n", "bits", "keys").mapInArrow(spread_keys, "bundle int, tag long, n long, bits binary, tiles binary")
     return rows.groupBy("bundle").applyInArrow(_candidates, LINKS)
 
 
@@ -413,8 +429,11 @@ def _true_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, tile: int
     chosen = sets.where("keys is not null").groupBy("tag").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     chosen = write_through(chosen.join(placed, "tag"), "cluster_sets")
     marks = docs.sparkSession.sparkContext.broadcast(sieve.members(chosen, "id"))
-    count = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bundles = max(8, int(count // 2_000_000) + 1)
+    count, elements = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bundles = max(8, int(elements // 2_000_000) + 1)
+    placed = chosen.select("tag", "cluster", "sets")
+    # elements then move once, to their bundle, not to their cluster's row first
+    placed = F.broadcast(placed) if count <= SENT_SETS else placed
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,7 +450,8 @@ def _true_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, tile: int
     blocks = F.expr(f"cast(ceil(sets / {tile}) AS int)")
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     rows = (
-        texts.join(chosen, F.col("set_tag") == F.col("tag"))
+        texts.join(placed, F.col("set_tag") == F.col("tag"))
+        .withColumn("n", F.expr("octet_length(members) div 8"))
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("tag"), "blocks"))
         .withColumn("band", F.explode(F.when(F.col("blocks") > 1, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))

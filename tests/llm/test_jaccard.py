@@ -169,3 +169,12 @@ def test_the_table(spark, corpus):
     rows = [(d["doc_id"], d["text"]) for d in corpus]
     got = sorted(tuple(r) for r in QUERIES["op6_jaccard_join"](spark, FOLDER).select("doc_id", "n_shingles", "component_id").collect())
     assert got == sorted(brute(rows))
+
+
+def test_what_moves_grows_as_the_input():
+    # a set goes to a bundle once, with all its tiles
+    tiles = np.array([7 << 32, 9 << 32, (7 << 32) + 5, 1 << 32], dtype=np.uint64)
+    rows, lists = jaccard._tile_lists(np.array([4, 2, 4, 2]), tiles)
+    assert rows.tolist() == [2, 4] and [np.frombuffer(x, np.uint32).tolist() for x in lists.to_pylist()] == [[9, 1], [7, 7]]
+    # the filter has two cells a key, within bounds
+    assert [jaccard.filter_bits(n) for n in (0, 30_000_000, 2**26, 2**40)] == [26, 26, 27, 30]
