@@ -38,8 +38,13 @@ def save_events(
     rows = rows.withColumn("ms", F.unix_millis("ts") if ts else F.lit(None).cast("long"))
     idle_ms = None if idle_minutes is None else idle_minutes * 60_000
 
-    def events(key: tuple, steps: np.ndarray, event: str) -> pd.DataFrame:
-        return pd.DataFrame({"run": pd.Series([key[0]] * len(steps), dtype=object), "step": pd.array(steps, dtype="Int64"), "event": event})
+    def events(key: tuple, fresh: np.ndarray, dropped: np.ndarray) -> pd.DataFrame:
+        # one plain frame a call: frames of their own for saves and drops cost more than the steps
+        return pd.DataFrame({
+            "run": np.array([key[0]] * (len(fresh) + len(dropped)), dtype=object),
+            "step": np.concatenate([fresh, dropped]),
+            "event": np.array(["save"] * len(fresh) + ["drop"] * len(dropped), dtype=object),
+        })
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,9 +57,9 @@ def save_events(
             fresh = np.setdiff1d(batch["step"].to_numpy(np.int64), kept)
             every_step = np.union1d(kept, fresh)
             kept, dropped = every_step[-keep:], every_step[:-keep]
-            yield events(key, fresh, "save")
-            yield events(key, dropped, "drop")
-            times = batch["ms"].dropna()
+            if len(fresh) or len(dropped):
+                yield events(key, fresh, dropped)
+            times = batch["ms"].dropna() if ts else ()
             if len(times):
                 newest = max(int(times.max()), newest or 0)
         state.update(([int(x) for x in kept], newest))

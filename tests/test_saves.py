@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 from spoolworks.streaming.jobs import run_available, stream_files
@@ -76,3 +77,22 @@ def test_idle_runs_are_closed(spark, tmp_path):
     run_available(stream(), out, check)
     kept = saves_of(spark.read.parquet(out)).where("kept").collect()
     assert {(r.run, r.step) for r in kept} == {("early", 30), ("early", 40), ("early", 300), ("late", 210), ("late", 300)}
+
+
+def test_one_frame_for_each_run_and_batch(spark, monkeypatch):
+    """The step as a task calls it: a frame of saves and drops together, and none where nothing happens."""
+    held = []
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandasWithState", lambda self, advance, *more: held.append(advance))
+    save_events(spark.range(1).selectExpr("id AS run", "id AS step"), every=1, keep=1)
+
+    class State:
+        hasTimedOut, exists, get = False, True, ([20], None)
+
+        def update(self, value):
+            self.get = value
+
+    state, rows = State(), pd.DataFrame({"step": [10, 30, 20], "ms": [None] * 3})
+    frames = list(held[0]((7,), iter([rows]), state))
+    assert [[tuple(r) for r in f.itertuples(index=False)] for f in frames] == [[(7, 10, "save"), (7, 30, "save"), (7, 10, "drop"), (7, 20, "drop")]]
+    assert state.get == ([30], None)
+    assert list(held[0]((7,), iter([pd.DataFrame({"step": [30], "ms": [None]})]), state)) == []
