@@ -9,11 +9,12 @@ from spoolworks.llm.jaccard import keep_first_of_groups
 from spoolworks.llm.language import keep_known_language
 from spoolworks.llm.mixing import mixed_documents
 from spoolworks.llm.pieces import encode_documents
-from spoolworks.session import write_through
+from spoolworks.session import bound_batches, write_through
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one language has at least half of the letters."""
+    bound_batches(spark)
     return keep_known_language(docs)
 
 
@@ -24,6 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bound_batches(spark)
     return keep_first_of_groups(docs)
 
 
@@ -34,6 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as sampled piece ids."""
+    bound_batches(spark)
     return encode_documents(docs, keep=["doc_id", "lang", "source"])
 
 

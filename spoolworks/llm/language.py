@@ -26,6 +26,8 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 MIN_SCORE = 0.5
 SLICE_BYTES = 8 << 20
+#: Distinct words of a slice become features in runs of about so many bytes, since a run takes some hundred times its size.
+WORD_BYTES = 1 << 18
 
 # First code points of ranges of scripts (fixed values), in order.
 SCRIPTS = (
@@ -102,6 +104,14 @@ class Words:
         return out
 
 
+def word_features(distinct: pa.Array) -> Iterator[tuple[int, Words]]:
+    """The features of all distinct words, a run of words after the other, each with the number of its first word."""
+    at = 0
+    for run in slices(pa.record_batch([distinct], names=["word"]), "word", WORD_BYTES):
+        yield at, Words(run.column("word"))
+        at += run.num_rows
+
+
 def viterbi(scores: np.ndarray, word: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of every word, for all texts at once, one position after the other."""
     lengths = np.diff(starts)
@@ -140,16 +150,20 @@ def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             distinct, word, starts = words(part.column("text"))
-            feats = Words(distinct)
             langs = part.column("lang").dictionary_encode()
             of_doc = langs.indices.to_numpy(zero_copy_only=False)
             of_word = np.repeat(of_doc, np.diff(starts))
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                times = np.bincount(word[of_word == k], minlength=len(distinct))
-                table = counts.setdefault(lang, np.zeros((1 << FEATURE_BITS) + N_SCRIPTS))
-                table[: 1 << FEATURE_BITS] += np.bincount(feats.bucket, weights=times[feats.owner], minlength=1 << FEATURE_BITS)
+            places, times_at = np.unique(of_word.astype(np.int64) * len(distinct) + word, return_counts=True)
+            for at, feats in word_features(distinct):
                 known = feats.script >= 0
-                table[1 << FEATURE_BITS :] += np.bincount(feats.script[known], weights=(times * feats.letters)[known], minlength=N_SCRIPTS)
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    first = k * len(distinct) + at
+                    own = slice(*np.searchsorted(places, [first, first + len(feats.letters)]))
+                    times = np.zeros(len(feats.letters), np.int64)
+                    times[places[own] - first] = times_at[own]
+                    table = counts.setdefault(lang, np.zeros((1 << FEATURE_BITS) + N_SCRIPTS))
+                    table[: 1 << FEATURE_BITS] += np.bincount(feats.bucket, weights=times[feats.owner], minlength=1 << FEATURE_BITS)
+                    table[1 << FEATURE_BITS :] += np.bincount(feats.script[known], weights=(times * feats.letters)[known], minlength=N_SCRIPTS)
     for lang, table in counts.items():
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays(
@@ -182,15 +196,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 def _label(texts: pa.Array, model: dict, with_spans: bool) -> tuple[pa.Array, pa.Array, pa.Array | None]:
     distinct, word, starts = words(texts)
-    feats = Words(distinct)
     n, k = len(texts), len(model["langs"])
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    letters = feats.letters[word] if len(word) else np.empty(0, np.int64)
+    letters, scores = np.zeros(len(distinct), np.int64), np.zeros((len(distinct), k), np.float32)
+    for at, feats in word_features(distinct) if k else ():
+        letters[at : at + len(feats.letters)] = feats.letters
+        scores[at : at + len(feats.letters)] = feats.scores(model)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+    letters = letters[word]
     total = np.bincount(doc, weights=letters, minlength=n)
     if not k:
         spans = pa.array([[] for _ in range(n)], SPANS) if with_spans else None
         return pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), spans
-    labels = viterbi(feats.scores(model), word, starts)
+    labels = viterbi(scores, word, starts)
     held = np.bincount(doc * k + labels, weights=letters, minlength=n * k).reshape(n, k)
     top = held.argmax(axis=1)
     none = total == 0

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: An Arrow batch of Spark has 10,000 rows, whatever their size, and an executor holds it several times over for each task.
+BATCH_BYTES = 8 << 20
 
 
 def build_session(app_name: str = "spoolworks", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +31,13 @@ def build_session(app_name: str = "spoolworks", master: str | None = None, **con
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Ends the session's Arrow batches at ``BATCH_BYTES`` or the row that passes them; a limit that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, which every executor can reach.
 

@@ -1,9 +1,11 @@
 """Language spans: accuracy on held-out rows, mixed texts, edges."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spoolworks.llm import language
@@ -94,3 +96,30 @@ def test_a_column_of_a_results_name_is_replaced(docs_of):
     got = language.identify(docs, language.train(docs))
     assert got.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
     assert {r.doc_id: r.score for r in got.collect()}[2] == 0.0
+
+
+def test_memory_of_a_slice_of_distinct_words(docs_of):
+    model = language.train(docs_of([(i, EN, "en") for i in range(20)] + [(i, FR, "fr") for i in range(20, 40)]))
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (200_000, 9)).astype(np.uint8)
+    letters[:, 8] = 32
+    texts = pa.array([letters[a : a + 500].tobytes().decode() for a in range(0, len(letters), 500)])
+    tracemalloc.start()
+    names, score, _ = language._label(texts, model, False)
+    counted = list(language._training_counts(iter([pa.record_batch([texts, names], names=["text", "lang"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(names) == len(score) == 400 and sum(b.num_rows for b in counted)
+    assert peak < 100 * texts.nbytes
+
+
+def test_runs_of_words_change_no_result(docs_of, monkeypatch):
+    rows = [(i, f"{EN} {i} {'x' * i}", "en") for i in range(40)] + [(i, f"{FR} {RU}", "fr") for i in range(40, 80)] + [(90, None), (91, ""), (92, "12 34")]
+    docs, texts, found = docs_of(rows), pa.array([r[1] for r in rows]), []
+    for size in (1, 40, 1 << 30):
+        monkeypatch.setattr(language, "WORD_BYTES", size)
+        model = language.train(docs)
+        counted = [b.to_pydict() for b in language._training_counts(iter([pa.record_batch([texts, pa.array(["en"] * len(rows))], names=["text", "lang"])]))]
+        found.append((model["langs"], model["table"].tobytes(), counted, [x.to_pylist() for x in language._label(texts, model, True)]))
+    assert found[0] == found[1] == found[2]
+    assert {"en", "fr"} <= set(found[0][3][0])

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 from spoolworks.llm import pieces
 from test_jaccard import brute
@@ -63,3 +64,21 @@ def test_stages_on_no_rows_and_on_nulls_and_clashing_columns(spark, tmp_path):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns == ["doc_id", "lang", "source", "tokens"]
+
+
+def test_batches_of_long_texts_are_bounded_and_a_set_limit_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    for k in (0, 2, 4):
+        own, given = spark.newSession(), spark.newSession()
+        given.conf.set(key, "123456")
+        for session in (own, given):
+            corpus_pipeline.STAGES[k][1](session, session.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+        rows = own.range(5000, numPartitions=1).select(F.repeat(F.lit("eight by"), 1000).alias("text"))
+        got = rows.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 5000 and max(r.bytes for r in got) < 9 << 20
+        assert given.conf.get(key) == "123456"
