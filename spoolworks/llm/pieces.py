@@ -24,10 +24,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
 SPACE = 0x2581  # the mark that stands for a blank in pieces
 OWN_MARK = 0x110000  # the same character where the text itself has it; no piece holds it
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-PREFIX_BITS = 21
+PREFIX_BITS, BUCKET_BITS = 21, 18
+BEGINS, WHOLE = 1, 2  # marks of hashes: of the beginning of a piece, of a whole one
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -44,6 +45,10 @@ def _hash_of(points: np.ndarray) -> np.uint64:
     return (_codes(points) * _powers(BASE, len(points))).sum(dtype=np.uint64)
 
 
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def load_model(path: str = MODEL, alpha: float = ALPHA) -> dict:
     """Piece tables of a model file, read on the driver.
 
@@ -76,10 +81,14 @@ def load_model(path: str = MODEL, alpha: float = ALPHA) -> dict:
     order = np.argsort(hashes)
     if (np.diff(hashes[order]) == 0).any():
         raise ValueError("two pieces of the model have the same hash")
-    prefixes = np.zeros(1 << PREFIX_BITS, dtype=bool)
+    prefixes = np.zeros(1 << PREFIX_BITS, dtype=np.uint8)
     for p in points:
         upto = np.cumsum(_codes(p) * _powers(BASE, len(p)), dtype=np.uint64)
-        prefixes[(upto >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)] = True
+        prefixes[_top(upto, PREFIX_BITS)] |= BEGINS
+    prefixes[_top(hashes, PREFIX_BITS)] |= WHOLE
+    in_bucket = np.bincount(_top(hashes, BUCKET_BITS), minlength=1 << BUCKET_BITS)
+    # a character without a piece costs its bytes; these entries follow those of the pieces
+    byte_weight = float(weights.min()) - 1.0
     surface = [b""] * n
     for i, p in zip(normal, texts):
         surface[i] = p.replace("▁", " ").encode()
@@ -89,10 +98,13 @@ def load_model(path: str = MODEL, alpha: float = ALPHA) -> dict:
         "hashes": hashes[order],
         "ids": np.array(normal, dtype=np.int32)[order],
         "weights": weights[order],
+        "costs": np.concatenate([weights[order], byte_weight * np.arange(1, 5)]),
+        "buckets": (np.cumsum(in_bucket) - in_bucket).astype(np.int32),
+        "fullest": int(in_bucket.max()),
         "prefixes": prefixes,
         "longest": max(map(len, points)),
         "bytes": bytes_at,
-        "byte_weight": float(weights.min()) - 1.0,
+        "byte_weight": byte_weight,
         "surface": np.frombuffer(b"".join(surface), dtype=np.uint8),
         "lengths": np.array([len(s) for s in surface], dtype=np.int64),
     }
@@ -132,64 +144,95 @@ class Chunks:
         while True:
             codes = mix64(self.points.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D) + salt) * powers[offset]
             hashes = np.add.reduceat(codes, self.starts) + self.sizes.astype(np.uint64)
-            _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+            number = pa.array(hashes).dictionary_encode().indices.to_numpy()
+            first = np.empty(number.max() + 1, dtype=np.int64)
+            first[number[::-1]] = np.arange(len(number))[::-1]
             same = np.repeat(self.starts[first][number], self.sizes) + offset
             if (self.sizes[first][number] == self.sizes).all() and (self.points[np.minimum(same, len(self.points) - 1)] == self.points).all():
                 return first, number
             salt += np.uint64(1)
 
 
+def _columns(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of falling size, character by character: how many chunks have a first character, a second and so on; the offset of each."""
+    width = len(sizes) - np.cumsum(np.bincount(sizes))[:-1]
+    return width, np.repeat(np.arange(len(width)), width)
+
+
 def _lattice(points: np.ndarray, sizes: np.ndarray, model: dict):
-    """Edges over distinct chunks: start, end (places between characters), weight and piece (-1: bytes)."""
-    begins = np.cumsum(sizes) - sizes
-    offset = np.arange(len(points)) - np.repeat(begins, sizes)
-    room = np.repeat(sizes, sizes) - offset
-    up, down = (_powers(base, int(sizes.max()) + 1) for base in (BASE, BASE_INVERSE))
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(_codes(points) * up[offset], dtype=np.uint64)])
-    alive, starts, ends, weights, ids = np.arange(len(points)), [], [], [], []
-    covered = np.zeros(len(points), dtype=bool)
+    """Edges over distinct chunks by end, shorter ones first, bytes last: how many end at each place, start, end, weight, piece, offset of each place.
+
+    Chunks stand by falling size; ``points`` has the first characters of all of them, then the second of those that have two
+    and so on. Places (before, between and after characters) go the same way: all entries of chunks, then what follows each
+    character. So the edges into a place stand behind those into all places before it in its chunk, and nothing is sorted.
+    """
+    n, total = len(sizes), len(points)
+    kind = np.int32 if n + total < 1 << 31 else np.int64
+    width, offset = _columns(sizes)
+    last = np.append(width[1:], 0)
+    after = np.arange(total, dtype=kind) + width.astype(kind)[offset]  # the next character of the chunk, -1 behind its last one
+    after[np.arange(total) - (np.cumsum(width) - width)[offset] >= last[offset]] = -1
+    entry = np.concatenate([[0], n - width[:-1]]).astype(kind)[offset] + np.arange(total, dtype=kind)  # the place before a character
+    codes, hashes = _codes(points), model["hashes"]
+    start = at = np.arange(total, dtype=kind)
+    part, powers, runs = codes, _powers(BASE, model["longest"]), []
     for length in range(1, model["longest"] + 1):
-        alive = alive[room[alive] >= length]
-        if len(alive) == 0:
-            break
-        part = (upto[alive + length] - upto[alive]) * down[offset[alive]]
-        live = model["prefixes"][(part >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)]
-        alive, part = alive[live], part[live]
-        at = np.minimum(np.searchsorted(model["hashes"], part), len(model["hashes"]) - 1)
-        hit = model["hashes"][at] == part
-        starts.append(alive[hit])
-        ends.append(alive[hit] + length)
-        weights.append(model["weights"][at[hit]])
-        ids.append(model["ids"][at[hit]])
+        if length > 1:
+            at = after[at]
+            room = np.flatnonzero(at >= 0)
+            start, at = start[room], at[room]
+            part = part[room] + codes[at] * powers[length - 1]
+        mark = model["prefixes"][_top(part, PREFIX_BITS)]
+        maybe = np.flatnonzero(mark & WHOLE)
+        wanted = part[maybe]
+        piece = model["buckets"][_top(wanted, BUCKET_BITS)]
+        hit = hashes[np.minimum(piece, len(hashes) - 1)] == wanted
+        for k in range(1, model["fullest"]):
+            miss = np.flatnonzero(~hit)
+            more = np.minimum(piece[miss] + k, len(hashes) - 1)
+            found = hashes[more] == wanted[miss]
+            piece[miss[found]] = more[found]
+            hit[miss[found]] = True
+        maybe, piece = maybe[hit], piece[hit]
+        runs.append((entry[start[maybe]], at[maybe], piece))
         if length == 1:
-            covered[alive[hit]] = True
-    bare = np.flatnonzero(~covered)
-    starts.append(bare)
-    ends.append(bare + 1)
-    weights.append(model["byte_weight"] * _utf8_sizes(points[bare]))
-    ids.append(np.full(len(bare), -1, dtype=np.int32))
-    # a place between chunks belongs to both; each chunk gets one place more than it has characters
-    chunk = np.repeat(np.arange(len(sizes)), sizes)
-    start, end = np.concatenate(starts), np.concatenate(ends)
-    return start, start + chunk[start], end + chunk[start], np.concatenate(weights), np.concatenate(ids), offset
+            covered = np.zeros(total, dtype=bool)
+            covered[maybe] = True
+        live = np.flatnonzero(mark & BEGINS)
+        start, at, part = start[live], at[live], part[live]
+        if len(at) == 0:
+            break
+    bare = np.flatnonzero(~covered).astype(kind)
+    runs.append((entry[bare], bare, (len(hashes) + _utf8_sizes(points[bare]) - 1).astype(np.int32)))
+    count = np.zeros(total, dtype=np.int32)
+    for _, end, _ in runs:
+        count[end] += 1
+    free_at = np.cumsum(count) - count
+    begin, pieces = np.empty(int(count.sum()), dtype=kind), np.empty(int(count.sum()), dtype=np.int32)
+    while runs:  # the ends of a run differ, so each of its edges has a slot of its own
+        some, end, piece = runs.pop(0)
+        slot = free_at[end]
+        begin[slot], pieces[slot] = some, piece
+        free_at[end] += 1
+    end = np.repeat(np.arange(n, n + total, dtype=kind), count)
+    return count, begin, end, model["costs"][pieces], pieces, np.concatenate([np.zeros(n, dtype=np.int64), offset + 1])
 
 
 def _forward(n_places: int, first: np.ndarray, begin, end, weight, offset) -> np.ndarray:
     """The log sum over all ways from a chunk's first place to each place; ``offset`` is that of an edge's end.
 
-    All chunks go on together, a place at a time; the edges into a place are summed in the order of their begins, so no sum
-    depends on the other chunks.
+    All chunks go on together, a place at a time: the edges come as the lattice has them. The edges into a place are summed in
+    the order of their begins, from its last edge to its first, so no sum depends on the other chunks.
     """
     sums = np.full(n_places, -np.inf)
     sums[first] = 0.0
-    order = np.lexsort((begin, end, offset))
-    begin, end, weight, offset = begin[order], end[order], weight[order], offset[order]
     heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
     cuts = np.flatnonzero(np.concatenate([[True], offset[heads][1:] != offset[heads][:-1], [True]]))
     upto = np.append(heads, len(end))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         lo, hi = upto[a], upto[b]
-        sums[end[heads[a:b]]] = np.logaddexp.reduceat(sums[begin[lo:hi]] + weight[lo:hi], heads[a:b] - lo)
+        ways = sums[begin[lo:hi]] + weight[lo:hi]
+        sums[end[heads[a:b]]] = np.logaddexp.reduceat(ways[::-1], hi - upto[a + 1 : b + 1][::-1])[::-1]
     return sums
 
 
@@ -199,61 +242,63 @@ def encode(texts: list[str], keys: np.ndarray, model: dict, seed: int = 0) -> tu
     if len(chunks.starts) == 0:
         return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
     first, number = chunks.distinct()
-    sizes = chunks.sizes[first]
-    begins = np.cumsum(sizes) - sizes
-    points = chunks.points[np.repeat(chunks.starts[first] - begins, sizes) + np.arange(sizes.sum())]
-    start, begin, end, weight, ids, offset = _lattice(points, sizes, model)
-    entry = begins + np.arange(len(sizes))
-    sums = _forward(len(points) + len(sizes), entry, begin, end, weight, offset[start] + end - begin)
-
-    # incoming edges by place, with running shares of the place's sum
-    order = np.argsort(end, kind="stable")
-    start, begin, end, weight, ids = start[order], begin[order], end[order], weight[order], ids[order]
-    share = np.exp(sums[begin] + weight - sums[end])
-    heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-    count = np.diff(np.append(heads, len(end)))
+    falling = np.argsort(-chunks.sizes[first], kind="stable")
+    rank = np.empty_like(falling)
+    rank[falling] = np.arange(len(falling))
+    first, number = first[falling], rank[number]
+    sizes, n = chunks.sizes[first], len(first)
+    width, column = _columns(sizes)
+    before = np.cumsum(width) - width
+    points = chunks.points[chunks.starts[first][np.arange(len(column)) - before[column]] + column]
+    count, begin, end, weight, piece, offset = _lattice(points, sizes, model)
+    sums = _forward(n + len(points), np.arange(n), begin, end, weight, offset[end])
+
+    # running shares of a place's sum; every place but the entries has edges
+    share = weight
+    share += sums[begin]
+    share -= sums[end]
+    upto = np.exp(share, out=share)
+    heads = np.cumsum(count) - count
     last = heads + count - 1
-    upto = share  # summed place by place, so that no sum depends on the other chunks of the slice
+    at = heads  # summed place by place, so that no sum depends on the other chunks of the slice
     for k in range(1, int(count.max())):
         at = heads[count > k] + k
         upto[at] += upto[at - 1]
-    upto = upto / np.repeat(upto[last], count)
+    upto /= np.repeat(upto[last], count)
     upto[last] = 1.0
-    entrance = np.full(len(points) + len(sizes), -1, dtype=np.int64)
-    entrance[end[heads]] = heads
 
     row = mix64(keys.astype(np.uint64) ^ mix64(np.array([seed + 1], np.uint64)))[chunks.text]
     row = mix64(row + chunks.ordinal.astype(np.uint64) * BASE)
-    place = (entry + sizes)[number]
-    who, step, taken = np.arange(len(place)), 0, []
+    steps = np.zeros(len(number), dtype=np.int64)
+    who, step, taken = np.arange(len(number)), 0, []
+    place = before[sizes - 1][number] + number  # without the entries, that is the place after the last character
     while len(who):
-        u = (mix64(row[who] + np.uint64((step + 1) * int(BASE_INVERSE) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        edge = entrance[place]  # the first edge of the place whose running share exceeds u
+        u = (mix64(row + np.uint64((step + 1) * int(BASE_INVERSE) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        edge = heads[place]  # the first edge of the place whose running share exceeds u
         behind = np.flatnonzero(upto[edge] <= u)
         while len(behind):
             edge[behind] += 1
             behind = behind[upto[edge[behind]] <= u[behind]]
         taken.append((who, edge))
+        steps[who] += 1
         place = begin[edge]
-        more = place != entry[number[who]]
-        who, place, step = who[more], place[more], step + 1
-    steps = np.zeros(len(number), dtype=np.int64)
-    for w, _ in taken:
-        steps[w] += 1
+        more = np.flatnonzero(place >= n)
+        who, row, place, step = who[more], row[more], place[more] - n, step + 1
     ends = np.cumsum(steps)
     edges = np.empty(ends[-1], dtype=np.int64)
     for k, (w, e) in enumerate(taken):
         edges[ends[w] - 1 - k] = e
 
     # edges to ids; a character without a piece becomes its bytes
-    bare = ids[edges] < 0
+    chosen = piece[edges]
+    bare = chosen >= len(model["ids"])
     width = np.ones(len(edges), dtype=np.int64)
-    width[bare] = _utf8_sizes(points[start[edges[bare]]])
+    width[bare] = chosen[bare] - len(model["ids"]) + 1
     out = np.empty(width.sum(), dtype=np.int32)
     at = np.cumsum(width) - width
-    out[at[~bare]] = ids[edges[~bare]]
+    out[at[~bare]] = model["ids"][chosen[~bare]]
     for i in np.flatnonzero(bare):
-        point = int(points[start[edges[i]]])
+        point = int(points[end[edges[i]] - n])
         raw = chr(SPACE if point == OWN_MARK else point).encode("utf-8", "surrogatepass")
         out[at[i] : at[i] + width[i]] = model["bytes"][list(raw)]
     of_text = np.bincount(np.repeat(chunks.text, steps), weights=width, minlength=len(texts)).astype(np.int64)

@@ -1,13 +1,17 @@
 """Sampled segmentations: exact round trips, the sampling law, reproducibility."""
 
+import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from spoolworks.llm import pieces
+from spoolworks.llm.arrow import slices
 from spoolworks.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -115,3 +119,23 @@ def test_a_long_run_is_one_lattice(model):
         crossed |= set(range(1001)) - set(ends.tolist())
     inside = {p for a, b in zip(begin.tolist(), end.tolist()) for p in range(a + 1, b)}
     assert crossed - {0} <= inside and len(crossed) > 0.5 * len(inside)
+
+
+def test_draws_are_those_of_the_sorted_lattice(model):
+    """The digest was taken when the edges of all chunks were sorted."""
+    ids, ends = pieces.encode([*ODD, "é" * 20000, "\U0010ffff", "ab" * 30000], np.arange(len(ODD) + 3, dtype=np.uint64) * 7, model, 3)
+    assert hashlib.sha256(ids.tobytes() + ends.tobytes()).hexdigest()[:16] == "b47c3bfd1cb934fe"
+
+
+def test_memory_of_a_slice_is_bounded(model):
+    """A worker on a batch of many texts, all words of which differ, needs little above the batch."""
+    draw = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = ["".join(letters[draw.integers(0, 26, 8)]) + " " + " ".join("".join(w) for w in letters[draw.integers(0, 26, (250, 8))]) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    for part in slices(batch, "text", pieces.SLICE_BYTES):
+        pieces.encode(part.column("text").to_pylist(), np.arange(part.num_rows, dtype=np.uint64), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 2 << 20 and peak < 60 << 20
