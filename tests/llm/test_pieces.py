@@ -121,6 +121,27 @@ def test_a_long_run_is_one_lattice(model):
     assert crossed - {0} <= inside and len(crossed) > 0.5 * len(inside)
 
 
+def test_edges_come_by_end_and_every_piece_is_found(model):
+    """Edges need no sorting: places go offset by offset, the edges into one by length; a piece alone has an edge over all of it."""
+    processor = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = sorted((processor.id_to_piece(int(i)) for i in model["ids"]), key=len, reverse=True)
+    sizes, n = np.array([len(t) for t in texts]), len(texts)
+    points = np.array([ord(t[k]) for k in range(sizes[0]) for t in texts if len(t) > k])
+    count, begin, end, weight, piece, offset = pieces._lattice(points, sizes, model)
+    assert (np.diff(end) >= 0).all() and count.sum() == len(end) == len(begin) and (count > 0).all()
+    length = offset[end] - offset[begin]
+    assert (length > 0).all() and (np.diff(length)[np.diff(end) == 0] > 0).all()
+    whole = {int(model["ids"][p]) for p in piece[begin < n] if p < len(model["ids"])}
+    assert whole == set(model["ids"].tolist())
+    assert np.array_equal(weight, model["costs"][piece])
+    sums = pieces._forward(n + len(points), np.arange(n), begin, end, weight, offset[end])
+    for k in range(0, n, 997):
+        one = pieces._lattice(np.array([ord(c) for c in texts[k]]), sizes[k : k + 1], model)
+        alone = pieces._forward(sizes[k] + 1, np.array([0]), *one[1:4], one[5][one[2]])
+        ends = [k, *(n + np.cumsum([0, *[(sizes > j).sum() for j in range(sizes[k] - 1)]]) + k)]
+        assert np.array_equal(sums[ends], alone)
+
+
 def test_draws_are_those_of_the_sorted_lattice(model):
     """The digest was taken when the edges of all chunks were sorted."""
     ids, ends = pieces.encode([*ODD, "é" * 20000, "\U0010ffff", "ab" * 30000], np.arange(len(ODD) + 3, dtype=np.uint64) * 7, model, 3)
