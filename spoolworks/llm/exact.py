@@ -50,8 +50,8 @@ def flag_repeats(keys: DataFrame, key: str):
         out, tests = df, []
         for i, cell in enumerate(_cells(key, bits)):
             at, word, marks = free(out, f"cell{i}", f"word{i}", f"marks{i}")
-            part = words.where(F.shiftright("word", bits - 6) == i).toDF(word, marks)
-            out = out.withColumn(at, cell).join(F.broadcast(part), F.shiftright(at, 6) == F.col(word), "left")
+            # the same words for every probe, so they are counted and sent once
+            out = out.withColumn(at, cell).join(F.broadcast(words.toDF(word, marks)), F.shiftright(at, 6) == F.col(word), "left")
             bit = F.expr(f"shiftright(`{marks}`, cast(`{at}` & 63 AS int))").bitwiseAND(1)
             tests.append(F.coalesce(bit == 1, F.lit(False)))
         hit = tests[0]

@@ -138,8 +138,8 @@ def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, float]:
     rows = docs.select("text").mapInArrow(_sketch, sieve.PACKED).groupBy("slice").applyInArrow(_sketch_sum, "slice int, total long, data binary")
     steps = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     width, total = len(steps) // SKETCH_PARTS, 0
-    for row in rows.toLocalIterator():  # the sketch has a fixed size, a byte for each cell
-        steps[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["data"]), np.uint8)
+    for row in rows.toArrow().to_pylist():  # in one job: the sketch has a fixed size, a byte for each cell
+        steps[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["data"], np.uint8)
         total += row["total"]
     usual = max(1.5 * total / len(steps), 2.0)
     floor = np.uint8(np.ceil(4 * np.log2(usual)))

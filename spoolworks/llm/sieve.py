@@ -119,8 +119,9 @@ def repeated(packed: DataFrame, slice_bits: int, bits: int = BITS, hot: int | No
 
     out = np.zeros((2 if hot else 1, 1 << (bits - 3)), dtype=np.uint8)
     width = 1 << (cell_bits - 3)
-    # one piece of the filter for each slice: its size is that of the filter
-    for row in packed.groupBy("slice").applyInArrow(sift, PACKED).toLocalIterator():
+    # one piece of the filter for each slice: its size is that of the filter; all slices are sifted at once, and a job brings 4 MB
+    sifted = packed.groupBy("slice").applyInArrow(sift, PACKED).repartition(max(1, out.nbytes >> 22))
+    for row in sifted.toLocalIterator():
         out[:, row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["data"]), dtype=np.uint8).reshape(-1, width)
     return out if hot else out[0]
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..session import write_through
 from .arrow import slices
 from .common import free
-from .components import components
+from .components import Forest, components
 
 SHINGLE = 4
 SEED = 42
@@ -116,33 +116,13 @@ def _cells(fps: DataFrame, m: int, distance: int) -> DataFrame:
     return fps.select("fp", _counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*keys)).alias("cell"))
 
 
-class _Forest:
-    """Union of links among numbered nodes, by hooking roots to lesser roots."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        root = self.root
-        while len(a):
-            x, y = root[a], root[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root[:] = up
-
-
 def _near_in_cells(fps: np.ndarray, cell: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, lesser node) that join all near fingerprints which share a cell."""
     total = np.bitwise_count(fps).astype(np.int64)
     order = np.lexsort((total, cell))
     fps, cell, total = fps[order], cell[order], total[order]
     nodes, at = np.unique(fps, return_inverse=True)
-    forest = _Forest(len(nodes))
+    forest = Forest(len(nodes))
     live, gap = np.arange(len(fps) - 1), 1
     while len(live):
         live = live[live + gap < len(fps)]
@@ -157,7 +137,7 @@ def _near_in_cells(fps: np.ndarray, cell: np.ndarray, distance: int) -> tuple[np
 def _near_in_tile(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all near fingerprints of two blocks."""
     nodes = np.unique(np.concatenate([left, right]))
-    forest = _Forest(len(nodes))
+    forest = Forest(len(nodes))
     left, right = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (left, right))
     total = np.bitwise_count(right).astype(np.int64)
     at_left, at_right = np.searchsorted(nodes, left), np.searchsorted(nodes, right)

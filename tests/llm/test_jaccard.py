@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,31 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "high long, low long")).count() == 0
 
 
+def test_components_take_no_rounds_for_links_of_one_task_and_none_to_confirm(spark, monkeypatch):
+    written = []
+    keep = components.write_through
+    monkeypatch.setattr(components, "write_through", lambda df, name: written.append(name) or keep(df, name))
+    chain = spark.createDataFrame([(i + 1, i) for i in range(300)], "high long, low long")
+    expected = {i: 0 for i in range(301)}
+    assert {r.node: r.root for r in components.components(chain).collect()} == expected
+    assert written == ["links"]
+    # links of several blocks still need rounds, and end on the same roots
+    monkeypatch.setattr(components, "BLOCK", 7)
+    blocks = [components._stars(np.arange(a + 1, a + 8), np.arange(a, a + 7)).to_pylist() for a in range(0, 294, 7)]
+    spread = spark.createDataFrame([(r["high"], r["low"]) for b in blocks for r in b] + [(i + 1, i) for i in range(294, 300)], "high long, low long")
+    monkeypatch.setattr(components, "_block_stars", lambda batches: batches)
+    assert {r.node: r.root for r in components.components(spread).collect()} == expected
+    assert len(written) > 2
+
+
+def test_blocks_of_links_are_joined_to_stars(monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 3)
+    links = pa.RecordBatch.from_pydict({"high": pa.array([5, 9, 4, -1, 7]), "low": pa.array([4, 5, -3, -8, 7])})
+    out = [r for b in components._block_stars(iter([links.slice(0, 2), links.slice(2, 1), links.slice(3)])) for r in b.to_pylist()]
+    assert out == [{"high": h, "low": low} for h, low in ((4, -3), (5, -3), (9, -3), (-1, -8))]
+    assert list(components._block_stars(iter([links.slice(0, 0)])))[0].num_rows == 0 and not list(components._block_stars(iter([])))
+
+
 def test_the_table(spark, corpus):
     rows = [(d["doc_id"], d["text"]) for d in corpus]
     got = sorted(tuple(r) for r in QUERIES["op6_jaccard_join"](spark, FOLDER).select("doc_id", "n_shingles", "component_id").collect())

@@ -268,3 +268,14 @@ def test_quotas_are_sainte_lague(spark, targets):
             got[r["rank"]] += r.quota * (r.shard < upto)
         assert dict(got) == want
     assert all(r.quota >= 0 for r in rows)
+
+
+def test_repeated_cells_are_counted_and_sent_once(spark, docs_of, capsys):
+    docs = docs_of([(i, f"text {i % 40}") for i in range(100)])
+    flagged = exact.flag_repeats(docs.select("text"), "text")(docs, "maybe")
+    assert {r.doc_id for r in flagged.collect() if r.maybe} == set(range(100))
+    capsys.readouterr()
+    flagged.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastHashJoin") == exact.PROBES
+    assert plan.count("- BroadcastExchange") == 1 and plan.count("- ReusedExchange") == exact.PROBES - 1
